@@ -11,16 +11,16 @@ from evalspark.functions.text import strip
 # ("5d", "0x1p3"), which a plain cast would turn into numbers.
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
 _FLOAT = (
-    rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
-    r"|^[+-]?(?i:inf|infinity)$|^(?i:nan)$"
+    rf"\A(?:[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+    r"|[+-]?(?i:inf|infinity)|(?i:nan))\z"
 )
 _CELL_NUMBER = r"-?\d+(?:\.\d+)?"
 
 
 def to_double(text: Column) -> Column:
     """Double from number text, null for anything else."""
-    t = strip(text)
-    return F.when(t.rlike(_FLOAT), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
+    number = F.replace(F.regexp_extract(strip(text), _FLOAT, 0), F.lit("_"), F.lit(""))
+    return number.try_cast("double")
 
 
 def _without_marks(text: Column) -> Column:

@@ -23,7 +23,6 @@ TABLE_OPS = ("table_max", "table_min", "table_sum", "table_average")
 STEP_PATTERN = r"(?U)(\w+)\(([^()]*)\)"
 
 _RESULT = "struct<num:double,txt:string>"
-_STATE = f"struct<results:array<{_RESULT}>,warnings:array<string>,err:string>"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,7 +41,7 @@ def _argument(arg: Column) -> Column:
     kind = F.when(arg.startswith("#"), "ref").when(arg.startswith("const_"), "const").otherwise("num")
     return F.struct(
         kind.alias("kind"),
-        F.regexp_extract(arg, r"^#\s*\+?(\d+)\s*$", 1).try_cast("int").alias("ref"),
+        F.when(kind == "ref", F.regexp_extract(arg, r"^#\s*\+?(\d+)\s*$", 1).try_cast("int")).alias("ref"),
         F.when(kind == "const", const).when(kind == "num", parse_number(arg)).alias("num"),
     )
 
@@ -145,7 +144,7 @@ def _advance(state: Column, step: Column) -> Column:
             F.when(out["warning"].isNotNull(), F.concat(state["warnings"], F.array(out["warning"])))
             .otherwise(state["warnings"]).alias("warnings"),
             F.coalesce(out["err"], finite).alias("err"),
-        ).cast(_STATE)
+        )
 
     return F.when(state["err"].isNotNull(), state).otherwise(_let(_step_outcome(state, step), push))
 
@@ -189,7 +188,7 @@ def evaluate_programs(df: DataFrame, program: str, table: str | None = None) ->
         F.array().cast(f"array<{_RESULT}>").alias("results"),
         F.array().cast("array<string>").alias("warnings"),
         _no_text().alias("err"),
-    ).cast(_STATE)
+    )
     last = F.try_element_at("_state.results", F.lit(-1))
     return (
         parse_programs(df, program)

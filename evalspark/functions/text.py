@@ -19,17 +19,19 @@ STOPWORDS = tuple(
     """.split()
 )
 
-# (?U) makes \s, \d and \b follow Unicode; the control separators are whitespace too.
-_EDGE_SPACE = r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z"
+# Every character that counts as whitespace, the control separators and NBSP included.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+              + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip(c: Column) -> Column:
-    """Remove all leading and trailing whitespace (``trim`` only removes spaces)."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    """Remove all leading and trailing whitespace (plain ``trim`` only removes spaces)."""
+    return F.trim(c, F.lit(WHITESPACE))
 
 
 def tokens(text: Column) -> Column:
     """Lowercase words and numbers; thousands separators are joined, signs and currency dropped."""
+    # (?U) makes \d and \b follow Unicode.
     joined = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "(?U)" + THOUSANDS_PATTERN, "")
     return F.regexp_extract_all(joined, F.lit("(?U)" + TOKEN_PATTERN), F.lit(0))
 
