@@ -9,13 +9,11 @@ exception, so one bad program cannot stop a job.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.numbers import double_text, parse_cell, parse_number, to_double
-from evalspark.functions.text import strip
+from evalspark.functions.text import let, strip
 
 # Operation names and the step pattern.
 BINARY_OPS = ("add", "subtract", "multiply", "divide", "exp", "greater")
@@ -25,10 +23,6 @@ STEP_PATTERN = r"(?U)(\w+)\(([^()]*)\)"
 _RESULT = "struct<num:double,txt:string>"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body`` inside a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
 
 def _no_text() -> Column:
     return F.lit(None).cast("string")
@@ -59,7 +53,7 @@ def _row_values(label: Column, table: Column) -> Column:
         )
         return F.struct(F.size(rows).alias("hits"), numbers.alias("vals"))
 
-    return _let(hits, summary)
+    return let(hits, summary)
 
 
 def _table_outcome(step: Column, table: Column) -> Column:
@@ -87,7 +81,7 @@ def _table_outcome(step: Column, table: Column) -> Column:
         return F.struct(value.alias("num"), err.alias("err"), warning.alias("warning"))
 
     return F.when(step["op"].isin(*TABLE_OPS),
-                  _let(_row_values(label, F.coalesce(table, F.array().cast("array<array<string>>"))), outcome))
+                  let(_row_values(label, F.coalesce(table, F.array().cast("array<array<string>>"))), outcome))
 
 
 def _operand(arg: Column, results: Column) -> Column:
@@ -102,7 +96,7 @@ def _operand(arg: Column, results: Column) -> Column:
         )
         return F.struct(F.when(arg["kind"] == "ref", prior["num"]).otherwise(arg["num"]).alias("num"), err.alias("err"))
 
-    return _let(F.get(results, F.coalesce(arg["ref"], F.lit(-1))), read)
+    return let(F.get(results, F.coalesce(arg["ref"], F.lit(-1))), read)
 
 
 def _binary(op: Column, x: Column, y: Column) -> Column:
@@ -131,7 +125,7 @@ def _step_outcome(state: Column, step: Column) -> Column:
                      step["tab"]["err"].alias("err"), step["tab"]["warning"].alias("warning"))
     operands = F.struct(_operand(step["a"], state["results"]).alias("x"),
                         _operand(step["b"], state["results"]).alias("y"))
-    return F.when(step["tab"].isNotNull(), table).otherwise(_let(operands, binary))
+    return F.when(step["tab"].isNotNull(), table).otherwise(let(operands, binary))
 
 
 def _advance(state: Column, step: Column) -> Column:
@@ -146,7 +140,7 @@ def _advance(state: Column, step: Column) -> Column:
             F.coalesce(out["err"], finite).alias("err"),
         )
 
-    return F.when(state["err"].isNotNull(), state).otherwise(_let(_step_outcome(state, step), push))
+    return F.when(state["err"].isNotNull(), state).otherwise(let(_step_outcome(state, step), push))
 
 
 def parse_programs(df: DataFrame, program: str) -> DataFrame:

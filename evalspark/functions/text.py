@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,14 @@ WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr,
               + "\u2028\u2029\u202f\u205f\u3000")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once for all its uses in ``body``.
+
+    A column used inside a lambda is otherwise merged into it and evaluated for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Remove all leading and trailing whitespace (plain ``trim`` only removes spaces)."""
     return F.trim(c, F.lit(WHITESPACE))

@@ -26,7 +26,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.text import STOPWORDS, tokenize, tokens, without_stopwords
+from evalspark.functions.text import let, tokenize, tokens, without_stopwords
 from evalspark.scratch import materialize
 
 SCOPES = ("page", "corpus")
@@ -169,15 +169,10 @@ def match_counts(terms: DataFrame, units: DataFrame) -> DataFrame:
         F.transform("words", lambda w: F.get(F.col("v.slots"), F.array_position(F.col("v.forms"), w).cast("int") - 1)),
         lambda slot: slot.isNotNull(),
     )
-    return (
-        words.select(
-            "question_id", "v.variant", "unit_id",
-            F.when(F.col("v.variant").bitwiseAND(F.lit(1)) == 1, F.col("n_kept")).otherwise(F.col("n_words")).alias("dl"),
-            F.col("v.n_terms").alias("n_terms"), hits.alias("hits"))
-        .select("question_id", "variant", "unit_id", "dl", F.transform(
-            F.filter(F.sequence(F.lit(0), F.col("n_terms")), lambda i: i < F.col("n_terms")),
-            lambda i: F.size(F.filter("hits", lambda h: h == i))).alias("tfs"))
-    )
+    slots = F.filter(F.sequence(F.lit(0), F.col("v.n_terms")), lambda i: i < F.col("v.n_terms"))
+    counts = let(hits, lambda found: F.transform(slots, lambda i: F.size(F.filter(found, lambda h: h == i))))
+    length = F.when(F.col("v.variant").bitwiseAND(F.lit(1)) == 1, F.col("n_kept")).otherwise(F.col("n_words"))
+    return words.select("question_id", "v.variant", "unit_id", length.alias("dl"), counts.alias("tfs"))
 
 
 def page_sizes(pairs: DataFrame) -> DataFrame:
@@ -294,6 +289,3 @@ def bm25_retriever(configs: Sequence[BM25Config] = (BM25Config(),), corpus: Data
 
     return score
 
-
-__all__ = ["BM25Config", "STOPWORDS", "bm25_grid", "bm25_retriever", "bm25_scores", "corpus_size", "corpus_term_df", "idf",
-           "match_counts", "page_sizes", "page_term_df", "question_terms", "scoring_plan"]
