@@ -46,12 +46,12 @@ AUDIT = f"""audit AS (
          WHEN l_linenumber < 7 THEN CAST(v AS VARCHAR) END AS value_text,
     CASE WHEN l_linenumber < 7 THEN NULL WHEN l_returnflag = 'R' THEN 'division_by_zero'
          WHEN l_returnflag = 'A' THEN 'forward_reference' ELSE 'row_not_found' END AS program_err,
-    CASE WHEN l_linenumber <> 3 THEN CAST({fixed('coalesce(v, 1.0)', 5)} AS DOUBLE) END AS g,
+    CASE WHEN l_linenumber <> 3 THEN CAST({fixed('coalesce(v, 1.0)', 8)} AS DOUBLE) END AS g,
     CASE WHEN l_linenumber = 3 OR tax = '0.05' THEN NULL
-         WHEN tax = '0.02' THEN CAST({fixed('coalesce(v, 1.0) * 1.03', 5)} AS DOUBLE)
-         WHEN tax = '0.03' THEN CAST({fixed('coalesce(v, 1.0) * 1.2', 5)} AS DOUBLE)
-         WHEN tax = '0.04' THEN CAST({fixed('coalesce(v, 1.0) * 100', 5)} AS DOUBLE) / 100
-         ELSE CAST({fixed('coalesce(v, 1.0)', 5)} AS DOUBLE) END AS a
+         WHEN tax = '0.02' THEN CAST({fixed('coalesce(v, 1.0) * 1.03', 8)} AS DOUBLE)
+         WHEN tax = '0.03' THEN CAST({fixed('coalesce(v, 1.0) * 1.2', 8)} AS DOUBLE)
+         WHEN tax = '0.04' THEN CAST({fixed('coalesce(v, 1.0) * 100', 8)} AS DOUBLE) / 100
+         ELSE CAST({fixed('coalesce(v, 1.0)', 8)} AS DOUBLE) END AS a
   FROM lines),
 status AS (
   SELECT *, CASE WHEN l_linenumber = 3 THEN value_text ELSE CAST(g AS VARCHAR) END AS gold_exe_ans,

@@ -75,11 +75,11 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     tax = fixed(F.col("l_tax"))
     answer = (
         F.when(line == 3, F.lit("yes"))
-        .when(tax == "0.02", fixed(value * 1.03, 5)).when(tax == "0.03", fixed(value * 1.2, 5))
-        .when(tax == "0.04", F.concat(fixed(value * 100, 5), F.lit("%"))).when(tax == "0.05", F.lit("n/a"))
-        .when(tax == "0.06", F.concat(F.lit("$ "), fixed(value, 5))).otherwise(fixed(value, 5))
+        .when(tax == "0.02", fixed(value * 1.03, 8)).when(tax == "0.03", fixed(value * 1.2, 8))
+        .when(tax == "0.04", F.concat(fixed(value * 100, 8), F.lit("%"))).when(tax == "0.05", F.lit("n/a"))
+        .when(tax == "0.06", F.concat(F.lit("$ "), fixed(value, 8))).otherwise(fixed(value, 8))
     )
-    exe_ans = F.when(line == 3, F.when(quantity > 25, "yes").otherwise("no")).otherwise(fixed(value, 5))
+    exe_ans = F.when(line == 3, F.when(quantity > 25, "yes").otherwise("no")).otherwise(fixed(value, 8))
     gold = (
         F.when(flag == "R", F.array(F.lit("text_0"), F.lit("table_1")))
         .when(flag == "A", F.array(F.lit("table_3"))).otherwise(F.array(F.lit("text_1")))
