@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalspark.functions.text import strip
+from evalspark.functions.text import let, strip
 
 # Digits may be grouped with single underscores. The gate keeps out forms only the JVM accepts
 # ("5d", "0x1p3"), which a plain cast would turn into numbers.
@@ -19,27 +19,30 @@ _CELL_NUMBER = r"-?\d+(?:\.\d+)?"
 
 def to_double(text: Column) -> Column:
     """Double from number text, null for anything else."""
-    number = F.replace(F.regexp_extract(strip(text), _FLOAT, 0), F.lit("_"), F.lit(""))
-    return number.try_cast("double")
+    # Text that is no number must not reach the cast, which is slow at failing.
+    return let(F.regexp_extract(strip(text), _FLOAT, 0), lambda number: F.when(
+        number != "", F.replace(number, F.lit("_"), F.lit("")).try_cast("double")))
 
 
 def _without_marks(text: Column) -> Column:
-    return strip(F.translate(text, ",$", ""))
+    return strip(F.replace(F.replace(text, F.lit(","), F.lit("")), F.lit("$"), F.lit("")))
 
 
 def parse_number(token: Column) -> Column:
     """Literal as double: ``,`` and ``$`` dropped, ``5%`` is 0.05; null when not a number."""
-    t = _without_marks(token)
-    value = to_double(F.regexp_replace(t, r"%+\z", ""))
-    return F.when(t.endswith("%"), value / 100).otherwise(value)
+    return let(_without_marks(token), lambda t: F.when(
+        t.endswith("%"), to_double(F.regexp_replace(t, r"%+\z", "")) / 100).otherwise(to_double(t)))
 
 
 def parse_cell(cell: Column) -> Column:
     """First number in a table cell, scaled when written as a percentage; null when there is none."""
-    t = _without_marks(cell)
-    found = F.regexp_extract(t, _CELL_NUMBER, 0)
-    value = F.when(found != "", found).cast("double")
-    return F.when(t.endswith("%") | F.contains(t, F.concat(found, F.lit("%"))), value / 100).otherwise(value)
+    def scaled(parts: Column) -> Column:
+        t, found = parts["t"], parts["found"]
+        value = F.when(found != "", found).cast("double")
+        return F.when(t.endswith("%") | F.contains(t, F.concat(found, F.lit("%"))), value / 100).otherwise(value)
+
+    return let(_without_marks(cell), lambda t: let(
+        F.struct(t.alias("t"), F.regexp_extract(t, _CELL_NUMBER, 0).alias("found")), scaled))
 
 
 def double_text(x: Column) -> Column:

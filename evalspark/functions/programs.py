@@ -2,8 +2,8 @@
 
 A program is ``op(arg, arg), op(arg, arg), ...``; an argument is a number, ``n%``, ``const_N``,
 ``const_mN``, ``#k`` (result of step k), a table row label, or ``none``. A whole questions table is
-evaluated in three projections and no shuffle: parse the steps, resolve everything that does not
-depend on earlier results, then fold over the steps. Failures become an error name, never an
+evaluated in a few projections and no shuffle: parse the steps, resolve everything that does not
+depend on earlier values, then fold the numbers over the steps. Failures become an error name, never an
 exception, so one bad program cannot stop a job.
 """
 
@@ -20,31 +20,35 @@ BINARY_OPS = ("add", "subtract", "multiply", "divide", "exp", "greater")
 TABLE_OPS = ("table_max", "table_min", "table_sum", "table_average")
 STEP_PATTERN = r"(?U)(\w+)\(([^()]*)\)"
 
-_RESULT = "struct<num:double,txt:string>"
+_NUMBERS = "array<double>"
 
 
+def _argument(arg: Column, steps: Column, i: Column) -> Column:
+    """Number or step reference of an argument of step ``i``, or why it is neither.
 
-def _no_text() -> Column:
-    return F.lit(None).cast("string")
-
-
-def _argument(arg: Column) -> Column:
-    """kind, step reference and number of one argument; a null ref or num marks an error."""
+    References can be judged here: the steps before ``i`` are known, and only ``greater`` is not a number.
+    """
     body = F.regexp_replace(arg, "^const_", "")
     const = F.when(body.startswith("m"), -to_double(F.substring(body, 2, 1_000_000))).otherwise(to_double(body))
-    kind = F.when(arg.startswith("#"), "ref").when(arg.startswith("const_"), "const").otherwise("num")
-    return F.struct(
-        kind.alias("kind"),
-        F.when(kind == "ref", F.regexp_extract(arg, r"^#\s*\+?(\d+)\s*$", 1).try_cast("int")).alias("ref"),
-        F.when(kind == "const", const).when(kind == "num", parse_number(arg)).alias("num"),
-    )
+    is_ref, is_const = arg.startswith("#"), arg.startswith("const_")
+
+    def judged(a: Column) -> Column:
+        err = (
+            F.when(~is_ref, F.when(a["num"].isNull(), F.when(is_const, "bad_constant").otherwise("not_a_number")))
+            .when(a["ref"].isNull(), "bad_reference")
+            .when(a["ref"] >= i, "forward_reference")
+            .when(F.get(steps, a["ref"])["op"] == "greater", "boolean_reference")
+        )
+        return F.struct(a["num"].alias("num"), a["ref"].alias("ref"), err.alias("err"))
+
+    return let(F.struct(
+        F.when(is_const, const).when(~is_ref, parse_number(arg)).alias("num"),
+        F.when(is_ref, F.regexp_extract(arg, r"^#\s*\+?(\d+)\s*$", 1).try_cast("int")).alias("ref"),
+    ), judged)
 
 
 def _row_values(label: Column, table: Column) -> Column:
     """Numeric cells of the last row carrying ``label``, with how many rows carry it."""
-    key = F.lower(strip(label))
-    hits = F.filter(table, lambda r: F.coalesce(F.lower(strip(F.get(r, F.lit(0)))) == key, F.lit(False)))
-
     def summary(rows: Column) -> Column:
         cells = F.try_element_at(rows, F.lit(-1))
         numbers = F.filter(
@@ -53,11 +57,14 @@ def _row_values(label: Column, table: Column) -> Column:
         )
         return F.struct(F.size(rows).alias("hits"), numbers.alias("vals"))
 
-    return let(hits, summary)
+    def hits(key: Column) -> Column:
+        return F.filter(table, lambda r: F.coalesce(F.lower(strip(F.get(r, F.lit(0)))) == key, F.lit(False)))
+
+    return let(let(F.lower(strip(label)), hits), summary)
 
 
 def _table_outcome(step: Column, table: Column) -> Column:
-    """Value, error and warning of a table operation (null for the other operations)."""
+    """Value, error and warning of a table operation."""
     label = F.get(step["parts"], F.lit(0))
 
     def outcome(found: Column) -> Column:
@@ -70,9 +77,9 @@ def _table_outcome(step: Column, table: Column) -> Column:
             .otherwise(F.try_divide(total, F.size(vals)))
         )
         err = (
-            F.when(F.coalesce(F.size(table), F.lit(0)) < 1, "no_table")
+            F.when(F.size(table) < 1, "no_table")
             .when(found["hits"] < 1, "row_not_found")
-            .when(F.coalesce(F.size(vals), F.lit(0)) < 1, "no_numeric_cells")
+            .when(F.size(vals) < 1, "no_numeric_cells")
         )
         warning = F.when(
             found["hits"] > 1,
@@ -80,67 +87,40 @@ def _table_outcome(step: Column, table: Column) -> Column:
         )
         return F.struct(value.alias("num"), err.alias("err"), warning.alias("warning"))
 
-    return F.when(step["op"].isin(*TABLE_OPS),
-                  let(_row_values(label, F.coalesce(table, F.array().cast("array<array<string>>"))), outcome))
+    return let(_row_values(label, table), outcome)
 
 
-def _operand(arg: Column, results: Column) -> Column:
-    """Number or error of an argument once the earlier results are known."""
-    def read(prior: Column) -> Column:
-        err = (
-            F.when(arg["kind"] == "const", F.when(arg["num"].isNull(), "bad_constant"))
-            .when(arg["kind"] == "num", F.when(arg["num"].isNull(), "not_a_number"))
-            .when(arg["ref"].isNull(), "bad_reference")
-            .when(arg["ref"] >= F.size(results), "forward_reference")
-            .when(prior["txt"].isNotNull(), "boolean_reference")
+def _resolved(step: Column, i: Column, steps: Column, table: Column) -> Column:
+    """A step with everything filled in that does not depend on earlier values."""
+    def parts(r: Column) -> Column:
+        return F.struct(
+            step["op"].alias("op"),
+            r["a"]["num"].alias("x"), r["a"]["ref"].alias("x_ref"), r["b"]["num"].alias("y"), r["b"]["ref"].alias("y_ref"),
+            r["tab"]["num"].alias("tab"),
+            F.coalesce(r["tab"]["err"], r["a"]["err"], r["b"]["err"]).alias("err"),
+            r["tab"]["warning"].alias("warning"),
         )
-        return F.struct(F.when(arg["kind"] == "ref", prior["num"]).otherwise(arg["num"]).alias("num"), err.alias("err"))
 
-    return let(F.get(results, F.coalesce(arg["ref"], F.lit(-1))), read)
+    is_table = step["op"].isin(*TABLE_OPS)
+    argument = lambda n: F.when(~is_table, _argument(F.get(step["parts"], F.lit(n)), steps, i))
+    return let(F.struct(argument(0).alias("a"), argument(1).alias("b"),
+                        F.when(is_table, _table_outcome(step, table)).alias("tab")), parts)
 
 
-def _binary(op: Column, x: Column, y: Column) -> Column:
-    number = (
+def _value(step: Column, done: Column) -> Column:
+    """Number of a step from the numbers before it; yes and no are 1 and 0, division by zero is null."""
+    x = F.coalesce(step["x"], F.get(done, step["x_ref"]))
+    y = F.coalesce(step["y"], F.get(done, step["y_ref"]))
+    op = step["op"]
+    return (
         F.when(op == "add", x + y)
         .when(op == "subtract", x - y)
         .when(op == "multiply", x * y)
         .when(op == "divide", F.try_divide(x, y))
         .when(op == "exp", F.pow(x, y))
+        .when(op == "greater", ((x > y) & ~F.isnan(x)).cast("double"))
+        .otherwise(step["tab"])
     )
-    yes = (x > y) & ~F.isnan(x) & ~F.isnan(y)
-    text = F.when(op == "greater", F.when(yes, "yes").otherwise("no"))
-    err = F.when((op == "divide") & (y == 0), "division_by_zero")
-    return F.struct(number.alias("num"), text.alias("txt"), err.alias("err"), _no_text().alias("warning"))
-
-
-def _step_outcome(state: Column, step: Column) -> Column:
-    def binary(args: Column) -> Column:
-        first_err = F.coalesce(args["x"]["err"], args["y"]["err"])
-        failed = F.struct(F.lit(None).cast("double").alias("num"), _no_text().alias("txt"),
-                          first_err.alias("err"), _no_text().alias("warning"))
-        return F.when(first_err.isNotNull(), failed).otherwise(
-            _binary(step["op"], args["x"]["num"], args["y"]["num"]))
-
-    table = F.struct(step["tab"]["num"].alias("num"), _no_text().alias("txt"),
-                     step["tab"]["err"].alias("err"), step["tab"]["warning"].alias("warning"))
-    operands = F.struct(_operand(step["a"], state["results"]).alias("x"),
-                        _operand(step["b"], state["results"]).alias("y"))
-    return F.when(step["tab"].isNotNull(), table).otherwise(let(operands, binary))
-
-
-def _advance(state: Column, step: Column) -> Column:
-    def push(out: Column) -> Column:
-        finite = F.when(out["num"].isNotNull() & (F.isnan(out["num"]) | (F.abs(out["num"]) == float("inf"))),
-                        "non_finite")
-        return F.struct(
-            F.concat(state["results"], F.array(F.struct(out["num"].alias("num"), out["txt"].alias("txt"))))
-            .alias("results"),
-            F.when(out["warning"].isNotNull(), F.concat(state["warnings"], F.array(out["warning"])))
-            .otherwise(state["warnings"]).alias("warnings"),
-            F.coalesce(out["err"], finite).alias("err"),
-        )
-
-    return F.when(state["err"].isNotNull(), state).otherwise(let(_step_outcome(state, step), push))
 
 
 def parse_programs(df: DataFrame, program: str) -> DataFrame:
@@ -167,34 +147,46 @@ def parse_programs(df: DataFrame, program: str) -> DataFrame:
 
 
 def evaluate_programs(df: DataFrame, program: str, table: str | None = None) -> DataFrame:
-    """Add ``steps``, ``step_results``, ``value_num``, ``value_text``, ``warnings`` and ``program_err``.
+    """Add ``steps``, ``step_values``, ``value_num``, ``value_text``, ``warnings`` and ``program_err``.
 
-    ``value_text`` is the canonical number text or yes/no. On an error both values are null.
+    ``step_values`` are the results up to the first failing step, as text. ``value_text`` is the canonical
+    number text or yes/no; on an error it is null, like ``value_num``, and there are no warnings.
     """
-    grid = F.col(table) if table else F.lit(None).cast("array<array<string>>")
-    resolved = F.transform("steps", lambda s: F.struct(
-        s["op"].alias("op"),
-        _argument(F.get(s["parts"], F.lit(0))).alias("a"),
-        _argument(F.get(s["parts"], F.lit(1))).alias("b"),
-        _table_outcome(s, grid).alias("tab"),
-    ))
-    start = F.struct(
-        F.array().cast(f"array<{_RESULT}>").alias("results"),
-        F.array().cast("array<string>").alias("warnings"),
-        _no_text().alias("err"),
-    )
-    last = F.try_element_at("_state.results", F.lit(-1))
+    no_table = F.array().cast("array<array<string>>")
+    grid = F.coalesce(F.col(table), no_table) if table else no_table
+
+    # Every step gets a number (null or not finite where it failed); the first failure then decides.
+    failure = F.zip_with("_resolved", "_done", lambda s, v: F.coalesce(
+        s["err"],
+        F.when((s["op"] == "divide") & v.isNull(), "division_by_zero")
+        .when(F.isnan(v) | (F.abs(v) == float("inf")), "non_finite")))
+    def as_text(op: Column, v: Column) -> Column:
+        return F.when(op == "greater", F.when(v == 1, "yes").otherwise("no")).otherwise(double_text(v))
+
+    text = F.zip_with("_resolved", "_done", lambda s, v: as_text(s["op"], v))
+    good = F.col("program_err").isNull()
     return (
         parse_programs(df, program)
-        .withColumn("_resolved", F.when(F.col("parse_err").isNull(), resolved))
-        .withColumn("_state", F.aggregate("_resolved", start, _advance))
-        .withColumn("program_err", F.coalesce("parse_err", "_state.err"))
-        .withColumn("_last", F.when(F.col("program_err").isNull(), last))
+        .withColumn("_grid", grid)
+        .withColumn("_resolved", F.when(F.col("parse_err").isNull(), F.transform(
+            "steps", lambda s, i: _resolved(s, i, F.col("steps"), F.col("_grid")))))
+        .withColumn("_done", F.aggregate("_resolved", F.array().cast(_NUMBERS),
+                                         lambda done, s: F.concat(done, F.array(_value(s, done)))))
+        .withColumn("_fail", failure)
+        .withColumn("program_err", F.coalesce("parse_err", F.get(F.filter("_fail", lambda e: e.isNotNull()), F.lit(0))))
+        .withColumns({
+            "_op": F.when(good, F.try_element_at("_resolved.op", F.lit(-1))),
+            "_last": F.when(good, F.try_element_at("_done", F.lit(-1))),
+        })
         .withColumns({
-            "step_results": F.coalesce("_state.results", F.array().cast(f"array<{_RESULT}>")),
-            "warnings": F.coalesce("_state.warnings", F.array().cast("array<string>")),
-            "value_num": F.col("_last.num"),
-            "value_text": F.coalesce("_last.txt", double_text(F.col("_last.num"))),
+            "step_values": F.coalesce(
+                F.when(good, text),
+                F.slice(text, F.lit(1), F.array_position(F.transform("_fail", lambda e: e.isNotNull()), True).cast("int") - 1),
+                F.array().cast("array<string>")),
+            "value_num": F.when(F.col("_op") != "greater", F.col("_last")),
+            "value_text": as_text(F.col("_op"), F.col("_last")),
+            "warnings": F.when(good, F.filter(F.col("_resolved.warning"), lambda w: w.isNotNull()))
+            .otherwise(F.array().cast("array<string>")),
         })
-        .drop("_resolved", "_state", "_last", "parse_err")
+        .drop("_grid", "_resolved", "_done", "_fail", "_op", "_last", "parse_err")
     )

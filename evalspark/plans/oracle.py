@@ -91,7 +91,7 @@ UNION ALL SELECT doc_id || '#table_' || position, doc_id, 'table_row', text FROM
 SELECT 'text' AS kind, doc_id FROM text_ UNION ALL SELECT 'table_row', doc_id FROM rows_) JOIN pages_ USING (doc_id) WHERE split = 'train' GROUP BY kind"""),
     "evidence_type": with_([LINES, AUDIT], "SELECT question_id, evidence_type, gold_unit_ids, n_steps FROM status"),
     "program_values": with_([LINES, AUDIT], """SELECT question_id, round(v, 6) AS value_num, value_text, program_err,
-CASE WHEN l_linenumber < 7 THEN n_steps WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN 1 ELSE 1 END AS n_results,
+CASE WHEN l_linenumber < 7 THEN n_steps ELSE 0 END AS n_results,
 CASE WHEN l_linenumber IN (4, 5) THEN 'ambiguous_row:total price:2_matches' ELSE '' END AS warnings FROM status"""),
     "program_errors": with_([LINES, AUDIT], "SELECT coalesce(program_err, 'none') AS program_err, count(*) AS n FROM status GROUP BY 1"),
     "label_status": with_([LINES, AUDIT], "SELECT question_id, split, gold_exe_ans, executor_matches_gold, label_status FROM status"),

@@ -117,7 +117,7 @@ def _programs(spark, sf_dir):
 
 def program_values(spark, sf_dir):
     return _rounded(evaluate_programs(_programs(spark, sf_dir), "program", "table").select(
-        F.col("id").alias("question_id"), "value_num", "value_text", "program_err", F.size("step_results").alias("n_results"),
+        F.col("id").alias("question_id"), "value_num", "value_text", "program_err", F.size("step_values").alias("n_results"),
         F.array_join("warnings", ";").alias("warnings")))
 
 

@@ -57,7 +57,8 @@ def test_values(spark):
 def test_trace_and_warning(spark):
     got = run(spark, ["subtract(5, 3), greater(#0, 1)", "table_max(first quarter, none)"])
     row = got["subtract(5, 3), greater(#0, 1)"]
-    assert [(r["num"], r["txt"]) for r in row["step_results"]] == [(2.0, None), (None, "yes")]
+    assert row["step_values"] == ["2.0", "yes"]
+    assert run(spark, ["add(1, 2), divide(#0, 0), add(#1, 1)"]).popitem()[1]["step_values"] == ["3.0"]
     assert row["value_text"] == "yes" and row["value_num"] is None
     assert got["table_max(first quarter, none)"]["warnings"] == ["ambiguous_row:first quarter:2_matches"]
 
