@@ -191,30 +191,29 @@ def page_term_df(pairs: DataFrame) -> DataFrame:
 
 
 def _reference_df(terms: DataFrame, corpus: DataFrame, variants: list[int]) -> DataFrame:
-    """(question_id, variant, slot, df) with frequencies from the reference corpus."""
-    asked = terms.filter(F.col("variant").isin(variants)).select(
-        "question_id", "variant", F.posexplode("terms").alias("slot", "term"))
-    frequencies = []
-    for v in variants:
-        if v & 2:
-            # Units holding at least one form of the stem; only forms some question needs are kept.
-            forms = (
-                terms.filter(F.col("variant") == v)
-                .select(F.explode(F.arrays_zip("forms", "slots")).alias("f"), "terms")
-                .select(F.col("f.forms").alias("form"), F.get("terms", F.col("f.slots")).alias("term")).distinct()
-            )
-            frequency = (
-                corpus.select("unit_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("form"))
-                .join(forms, "form").select("unit_id", "term").distinct()
-                .groupBy("term").agg(F.count("*").alias("df"))
-            )
-        else:
-            frequency = corpus_term_df(corpus, bool(v & 1))
-        frequencies.append(frequency.select(F.lit(v).alias("variant"), "term", "df"))
-    all_frequencies = frequencies[0]
-    for f in frequencies[1:]:
-        all_frequencies = all_frequencies.unionByName(f)
-    return asked.join(all_frequencies, ["variant", "term"]).select("question_id", "variant", "slot", "df")
+    """(question_id, variant, slot, df) with frequencies from the reference corpus.
+
+    A term found as one word takes that word's count, which all variants share (removing stopwords
+    changes no other count). Only stems with several word forms need units counted per set of forms.
+    """
+    slots = (
+        terms.filter(F.col("variant").isin(variants))
+        .select("question_id", "variant", F.explode(F.arrays_zip("slots", "forms")).alias("f"))
+        .groupBy("question_id", "variant", F.col("f.slots").alias("slot"))
+        .agg(F.array_sort(F.collect_list("f.forms")).alias("forms"))
+    )
+    single = slots.filter(F.size("forms") == 1).select("question_id", "variant", "slot", F.get("forms", F.lit(0)).alias("term"))
+    found = single.join(corpus_term_df(corpus, stopwords=False), "term").select("question_id", "variant", "slot", "df")
+    if not any(v & 2 for v in variants):
+        return found
+    several = slots.filter(F.size("forms") > 1).withColumn("forms_key", F.array_join("forms", " "))
+    members = several.select("forms_key", F.explode("forms").alias("form")).distinct()
+    per_set = (
+        corpus.select("unit_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("form"))
+        .join(members, "form").select("unit_id", "forms_key").distinct()
+        .groupBy("forms_key").agg(F.count("*").alias("df"))
+    )
+    return found.unionByName(several.join(per_set, "forms_key").select("question_id", "variant", "slot", "df"))
 
 
 def _df_map(df: DataFrame, name: str) -> DataFrame:

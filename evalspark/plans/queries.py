@@ -238,7 +238,8 @@ def tokens_query(spark, sf_dir):
 
 
 def _units_and_questions(spark, sf_dir):
-    return standins.document_units(spark, sf_dir), standins.document_questions(spark, sf_dir)
+    """Units straight from the scan; the questions, read by many stages, as a written table."""
+    return standins.document_units(spark, sf_dir), materialize(standins.document_questions(spark, sf_dir), "questions")
 
 
 def _stems(spark, sf_dir):
@@ -377,14 +378,16 @@ def run_rows(spark, sf_dir):
 
 
 def conversation_metrics(spark, sf_dir):
-    units, asked = standins.conversation_units(spark, sf_dir), standins.conversation_questions(spark, sf_dir)
+    units = standins.conversation_units(spark, sf_dir)
+    asked = materialize(standins.conversation_questions(spark, sf_dir), "questions")
     results = evaluation.evaluate(bm25.bm25_retriever([PAGE]), asked, units)
     return _rounded(results.select("question_id", "evidence_type", "label_status", "n_candidates", "n_gold",
                                    F.array_join("gold_ranks", ";").alias("gold_ranks"), *METRICS))
 
 
 def conversation_summary(spark, sf_dir):
-    units, asked = standins.conversation_units(spark, sf_dir), standins.conversation_questions(spark, sf_dir)
+    units = standins.conversation_units(spark, sf_dir)
+    asked = materialize(standins.conversation_questions(spark, sf_dir), "questions")
     results = evaluation.evaluate(bm25.bm25_retriever([PAGE]), asked, units)
     return _rounded(evaluation.run_means(results).drop("config_id"))
 
