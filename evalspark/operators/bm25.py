@@ -26,7 +26,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.text import let, tokenize, tokens, without_stopwords
+from evalspark.functions.text import STOPWORDS, let, tokenize, tokens, without_stopwords
 from evalspark.scratch import materialize
 
 SCOPES = ("page", "corpus")
@@ -81,53 +81,48 @@ def corpus_size(units: DataFrame) -> DataFrame:
 
 def _plain_terms(variant: int) -> Column:
     terms = F.array_sort(F.array_distinct(tokenize(F.col("question"), bool(variant & 1))))
-    return F.struct(
-        F.lit(variant).alias("variant"), terms.alias("terms"), terms.alias("forms"),
-        F.transform(terms, lambda t, i: i).alias("slots"),
-    )
+    return F.struct(F.lit(variant).alias("variant"), terms.alias("terms"),
+                    F.transform(terms, lambda t: F.array(t)).alias("forms"))
 
 
-def _stem_forms(stemmed: DataFrame, stems: DataFrame) -> DataFrame:
-    """(stem, forms): the word forms that share a stem, over the whole stem table.
+def _word_forms(words: DataFrame, stems: DataFrame) -> DataFrame:
+    """(term, stem, forms) for each of the distinct ``words``: all word forms that share its stem.
 
-    A word the table does not list is its own stem.
+    A word the stem table does not list is its own stem.
     """
+    stemmed = words.join(stems, "term", "left").select("term", F.coalesce("stem", "term").alias("stem"))
     wanted = stemmed.select("stem").distinct()
     listed = stems.join(wanted, "stem", "left_semi").select("stem", F.col("term").alias("form"))
     own = wanted.join(stems.select(F.col("term").alias("stem")), "stem", "left_anti").select(
         "stem", F.col("stem").alias("form"))
-    return listed.unionByName(own).groupBy("stem").agg(F.array_sort(F.collect_set("form")).alias("forms"))
+    forms = listed.unionByName(own).groupBy("stem").agg(F.array_sort(F.collect_set("form")).alias("forms"))
+    return stemmed.join(forms, "stem")
 
 
 def _stemmed_terms(questions: DataFrame, variants: list[int], stems: DataFrame) -> DataFrame:
-    """(question_id, variant, terms, forms, slots) where terms are stems and forms their word forms."""
-    words = F.array_distinct(tokens(F.col("question")))
-    per_variant = F.array(*[
-        F.struct(F.lit(v).alias("variant"), (without_stopwords(words) if v & 1 else words).alias("words"))
-        for v in variants
-    ])
-    stemmed = (
-        questions.select("question_id", F.inline(per_variant))
-        .select("question_id", "variant", F.explode("words").alias("term"))
-        .join(stems, "term", "left")
-        .select("question_id", "variant", F.coalesce("stem", "term").alias("stem")).distinct()
-    )
-    # Stopwords go before stemming, so a form that is one does not count where they are removed.
-    forms = F.when(F.col("variant").bitwiseAND(F.lit(1)) == 1, without_stopwords(F.col("forms"))).otherwise(F.col("forms"))
-    return (
-        stemmed.join(_stem_forms(stemmed, stems), "stem")
-        .groupBy("question_id", "variant")
-        .agg(F.array_sort(F.collect_list(F.struct("stem", forms.alias("forms")))).alias("found"))
-        .select("question_id", "variant", F.col("found.stem").alias("terms"),
-                F.flatten("found.forms").alias("forms"),
-                F.flatten(F.transform("found", lambda f, i: F.transform(f["forms"], lambda _: i))).alias("slots"))
+    """(question_id, variant, terms, forms) where terms are stems. One join serves all variants."""
+    words = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
+    found = (
+        words.join(_word_forms(words.select("term").distinct(), stems), "term")
+        .groupBy("question_id").agg(F.collect_list(F.struct("term", "stem", "forms")).alias("found"))
     )
 
+    def variant(v: int) -> Column:
+        # Stopwords go before stemming: neither the question's nor the units' count where they are removed.
+        kept = F.filter("found", lambda f: ~f["term"].isin(*STOPWORDS)) if v & 1 else F.col("found")
+        forms = (lambda f: without_stopwords(f["forms"])) if v & 1 else (lambda f: f["forms"])
+        terms = F.array_sort(F.array_distinct(F.transform(
+            kept, lambda f: F.struct(f["stem"].alias("stem"), forms(f).alias("forms")))))
+        return F.struct(F.lit(v).alias("variant"), terms.alias("t"))
+
+    return found.select("question_id", F.inline(F.array(*map(variant, variants)))).select(
+        "question_id", "variant", F.col("t.stem").alias("terms"), F.col("t.forms").alias("forms"))
+
 
 def question_terms(questions: DataFrame, variants: Sequence[int], stems: DataFrame | None = None) -> DataFrame:
-    """(question_id, doc_id, variant, terms, forms, slots), one row per question and tokenizer variant.
+    """(question_id, doc_id, variant, terms, forms), one row per question and tokenizer variant.
 
-    ``forms[i]`` is a word to look for and ``slots[i]`` the position of the term it counts for.
+    ``terms`` are distinct and sorted; ``forms[i]`` are the words that count as ``terms[i]``.
     """
     plain = [v for v in variants if not v & 2]
     stemmed = [v for v in variants if v & 2]
@@ -137,15 +132,13 @@ def question_terms(questions: DataFrame, variants: Sequence[int], stems: DataFra
     if stemmed:
         if stems is None:
             raise ValueError("stem=True needs a stem table (term, stem)")
-        found = _stemmed_terms(questions, stemmed, stems)
-        empty = F.array().cast("array<string>")
         # A question with no words still ranks its page.
         parts.append(
             questions.select("question_id", "doc_id", F.explode(F.array(*map(F.lit, stemmed))).alias("variant"))
-            .join(found, ["question_id", "variant"], "left")
-            .select("question_id", "doc_id", "variant", F.coalesce("terms", empty).alias("terms"),
-                    F.coalesce("forms", empty).alias("forms"),
-                    F.coalesce("slots", F.array().cast("array<int>")).alias("slots")))
+            .join(_stemmed_terms(questions, stemmed, stems), ["question_id", "variant"], "left")
+            .select("question_id", "doc_id", "variant",
+                    F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),
+                    F.coalesce("forms", F.array().cast("array<array<string>>")).alias("forms")))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -157,7 +150,9 @@ def match_counts(terms: DataFrame, units: DataFrame) -> DataFrame:
     ``dl`` is the unit's length in tokens and ``tfs`` the counts of the question's terms.
     """
     wanted = terms.groupBy("question_id", "doc_id").agg(
-        F.collect_list(F.struct("variant", F.size("terms").alias("n_terms"), "forms", "slots")).alias("variants"))
+        F.collect_list(F.struct(
+            "variant", F.size("terms").alias("n_terms"), F.flatten("forms").alias("words"),
+            F.flatten(F.transform("forms", lambda f, i: F.transform(f, lambda _: i))).alias("slots"))).alias("variants"))
     words = (
         units.select("doc_id", "unit_id", "text").join(wanted, "doc_id")
         .select("question_id", "unit_id", tokens(F.col("text")).alias("words"), "variants")
@@ -166,7 +161,7 @@ def match_counts(terms: DataFrame, units: DataFrame) -> DataFrame:
     )
     # Position of each word in the question's list; words the question does not have drop out.
     hits = F.filter(
-        F.transform("words", lambda w: F.get(F.col("v.slots"), F.array_position(F.col("v.forms"), w).cast("int") - 1)),
+        F.transform("words", lambda w: F.get(F.col("v.slots"), F.array_position(F.col("v.words"), w).cast("int") - 1)),
         lambda slot: slot.isNotNull(),
     )
     slots = F.filter(F.sequence(F.lit(0), F.col("v.n_terms")), lambda i: i < F.col("v.n_terms"))
@@ -196,12 +191,8 @@ def _reference_df(terms: DataFrame, corpus: DataFrame, variants: list[int]) -> D
     A term found as one word takes that word's count, which all variants share (removing stopwords
     changes no other count). Only stems with several word forms need units counted per set of forms.
     """
-    slots = (
-        terms.filter(F.col("variant").isin(variants))
-        .select("question_id", "variant", F.explode(F.arrays_zip("slots", "forms")).alias("f"))
-        .groupBy("question_id", "variant", F.col("f.slots").alias("slot"))
-        .agg(F.array_sort(F.collect_list("f.forms")).alias("forms"))
-    )
+    slots = terms.filter(F.col("variant").isin(variants)).select(
+        "question_id", "variant", F.posexplode("forms").alias("slot", "forms"))
     single = slots.filter(F.size("forms") == 1).select("question_id", "variant", "slot", F.get("forms", F.lit(0)).alias("term"))
     found = single.join(corpus_term_df(corpus, stopwords=False), "term").select("question_id", "variant", "slot", "df")
     if not any(v & 2 for v in variants):
@@ -276,7 +267,8 @@ def bm25_scores(questions: DataFrame, units: DataFrame, configs: Sequence[BM25Co
         terms = materialize(terms, "question-terms")  # read by the match and by the plan
     pairs = materialize(match_counts(terms, units), "term-counts")
     plan = scoring_plan(terms, pairs, configs, corpus)
-    return pairs.join(plan, ["question_id", "variant"]).select(
+    # Every pair has its plan rows. As a left join only the plan, one row per question, can be broadcast.
+    return pairs.join(plan, ["question_id", "variant"], "left").select(
         "config_id", "question_id", "unit_id", _score().alias("score"))
 
 

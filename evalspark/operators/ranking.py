@@ -40,7 +40,7 @@ def rank_units(scored: DataFrame) -> DataFrame:
     before = F.sum("_n").over(W.partitionBy(*KEYS).orderBy("_run").rowsBetween(W.unboundedPreceding, -1))
     offsets = runs.select(*KEYS, "_run", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
     return (
-        ordered.join(offsets, [*KEYS, "_run"])
+        ordered.join(offsets, [*KEYS, "_run"], "left")
         .withColumn("rank", F.col("_at") + F.col("_shift")).drop("_at", "_run", "_shift")
     )
 
@@ -65,14 +65,15 @@ def gold_ranks(scored: DataFrame, questions: DataFrame) -> DataFrame:
     sorted gold units; the counts per slot, combined per task, add up to the ranks. Arrays are as long as
     the gold list of one question record.
     """
-    gold = questions.select("question_id", "gold_unit_ids")
+    gold = questions.select("question_id", F.explode("gold_unit_ids").alias("unit_id"))
     keyed = scored.select(*KEYS, "unit_id", order_key().alias("key"))
     marks = (
-        keyed.join(gold, "question_id").filter(F.array_contains("gold_unit_ids", F.col("unit_id")))
+        keyed.join(gold, ["question_id", "unit_id"], "left_semi")
         .groupBy(*KEYS).agg(F.array_sort(F.collect_list("key")).alias("marks"))
     )
+    # The outer side of a left join is never broadcast, so the candidates stay where they are.
     slots = (
-        keyed.join(marks, KEYS)
+        keyed.join(marks, KEYS, "left")
         .groupBy(*KEYS, F.size(F.filter("marks", lambda m: m < F.col("key"))).alias("slot"),
                  F.size("marks").alias("n_gold"))
         .agg(F.count("*").alias("n"))
@@ -83,7 +84,7 @@ def gold_ranks(scored: DataFrame, questions: DataFrame) -> DataFrame:
         slots.groupBy(*KEYS, "n_gold")
         .agg(F.sum("n").alias("n_candidates"), F.collect_list(F.struct("slot", "n")).alias("slots"))
         .select(*KEYS, "n_candidates",
-                F.transform(F.sequence(F.lit(0), F.col("n_gold") - 1), lambda i: at_most(i)).alias("gold_ranks"))
+                F.when(F.col("n_gold") > 0, F.transform(F.sequence(F.lit(0), F.col("n_gold") - 1), at_most)).alias("gold_ranks"))
     )
 
 
