@@ -79,10 +79,17 @@ def corpus_size(units: DataFrame) -> DataFrame:
 
 # ---------- question terms ----------
 
-def _plain_terms(variant: int) -> Column:
-    terms = F.array_sort(F.array_distinct(tokenize(F.col("question"), bool(variant & 1))))
-    return F.struct(F.lit(variant).alias("variant"), terms.alias("terms"),
-                    F.transform(terms, lambda t: F.array(t)).alias("forms"))
+def _plain_terms(questions: DataFrame, variants: list[int]) -> DataFrame:
+    """(question_id, doc_id, variant, terms, forms) where every term stands for itself."""
+    def variant(v: int) -> Column:
+        terms = without_stopwords(F.col("words")) if v & 1 else F.col("words")
+        return F.struct(F.lit(v).alias("variant"), terms.alias("terms"))
+
+    return (
+        questions.select("question_id", "doc_id", F.array_sort(F.array_distinct(tokens(F.col("question")))).alias("words"))
+        .select("question_id", "doc_id", F.inline(F.array(*map(variant, variants))))
+        .select("*", F.transform("terms", lambda t: F.array(t)).alias("forms"))
+    )
 
 
 def _word_forms(words: DataFrame, stems: DataFrame) -> DataFrame:
@@ -128,7 +135,7 @@ def question_terms(questions: DataFrame, variants: Sequence[int], stems: DataFra
     stemmed = [v for v in variants if v & 2]
     parts = []
     if plain:
-        parts.append(questions.select("question_id", "doc_id", F.inline(F.array(*map(_plain_terms, plain)))))
+        parts.append(_plain_terms(questions, plain))
     if stemmed:
         if stems is None:
             raise ValueError("stem=True needs a stem table (term, stem)")
@@ -153,11 +160,13 @@ def match_counts(terms: DataFrame, units: DataFrame) -> DataFrame:
         F.collect_list(F.struct(
             "variant", F.size("terms").alias("n_terms"), F.flatten("forms").alias("words"),
             F.flatten(F.transform("forms", lambda f, i: F.transform(f, lambda _: i))).alias("slots"))).alias("variants"))
+    wanted = wanted.withColumn("any_word", F.array_distinct(F.flatten("variants.words")))
     words = (
         units.select("doc_id", "unit_id", "text").join(wanted, "doc_id")
-        .select("question_id", "unit_id", tokens(F.col("text")).alias("words"), "variants")
-        .select("question_id", "unit_id", "words", F.size("words").alias("n_words"),
-                F.size(without_stopwords(F.col("words"))).alias("n_kept"), F.explode("variants").alias("v"))
+        .select("question_id", "unit_id", tokens(F.col("text")).alias("words"), "any_word", "variants")
+        .select("question_id", "unit_id", F.filter("words", lambda w: F.array_contains("any_word", w)).alias("words"),
+                F.size("words").alias("n_words"), F.size(without_stopwords(F.col("words"))).alias("n_kept"), "variants")
+        .select("question_id", "unit_id", "words", "n_words", "n_kept", F.explode("variants").alias("v"))
     )
     # Position of each word in the question's list; words the question does not have drop out.
     hits = F.filter(

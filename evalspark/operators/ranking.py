@@ -66,14 +66,13 @@ def gold_ranks(scored: DataFrame, questions: DataFrame) -> DataFrame:
     the gold list of one question record.
     """
     gold = questions.select("question_id", F.explode("gold_unit_ids").alias("unit_id"))
-    keyed = scored.select(*KEYS, "unit_id", order_key().alias("key"))
     marks = (
-        keyed.join(gold, ["question_id", "unit_id"], "left_semi")
-        .groupBy(*KEYS).agg(F.array_sort(F.collect_list("key")).alias("marks"))
+        scored.join(gold, ["question_id", "unit_id"], "left_semi")
+        .groupBy(*KEYS).agg(F.array_sort(F.collect_list(order_key())).alias("marks"))
     )
     # The outer side of a left join is never broadcast, so the candidates stay where they are.
     slots = (
-        keyed.join(marks, KEYS, "left")
+        scored.select(*KEYS, order_key().alias("key")).join(marks, KEYS, "left")
         .groupBy(*KEYS, F.size(F.filter("marks", lambda m: m < F.col("key"))).alias("slot"),
                  F.size("marks").alias("n_gold"))
         .agg(F.count("*").alias("n"))
