@@ -238,7 +238,7 @@ def results() -> list[str]:
         "top AS (SELECT config_id, question_id, string_agg(unit_id, ';' ORDER BY rank) AS top_unit_ids FROM ranked WHERE rank <= 10 GROUP BY ALL)",
         f"system AS (SELECT config_id, question_id, count(*) AS g, string_agg(rank::VARCHAR, ';' ORDER BY rank) AS gold_ranks, {', '.join(system)} "
         "FROM ranked JOIN gold USING (question_id, unit_id) GROUP BY ALL)",
-        f"results AS (SELECT q.*, s.* EXCLUDE (question_id), n AS n_candidates, g AS n_gold, top_unit_ids, {', '.join(chance)} "
+        f"results AS (SELECT q.*, s.* EXCLUDE (question_id), n AS n_candidates, CAST(g AS INTEGER) AS n_gold, top_unit_ids, {', '.join(chance)} "
         "FROM system s JOIN sized USING (config_id, question_id) JOIN top USING (config_id, question_id) JOIN questions q USING (question_id))",
     ]
 
