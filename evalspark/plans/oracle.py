@@ -347,8 +347,8 @@ SELECT page, split, CAST(n AS INTEGER) AS n_text_units FROM copies WHERE rn = 1"
     "split_leak": """SELECT sha256(text) AS filename, min(source) AS first_split, max(source) AS last_split FROM documents GROUP BY text
 HAVING count(DISTINCT source) > 1""",
     "duplicate_keys": "SELECT sha256(text) AS text_hash, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1",
-    "tokens": f"""WITH every AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents
-UNION ALL SELECT 'turn', conv_id * 1000 + turn, text FROM conversations), cut AS (SELECT kind, id, {toks('text')} AS w FROM every)
+    "tokens": f"""WITH every AS (SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS id, text FROM documents
+UNION ALL SELECT 'turn', conv_id || '-' || turn, text FROM conversations), cut AS (SELECT kind, id, {toks('text')} AS w FROM every)
 SELECT kind, id, CAST(len(w) AS INTEGER) AS n_tokens, CAST(len(list_filter(w, lambda t: t NOT IN ({STOP}))) AS INTEGER) AS n_kept,
 md5(array_to_string(w, ' ')) AS token_hash FROM cut""",
     "stem_map": f"SELECT t AS term, {STEM} AS stem FROM (SELECT DISTINCT unnest({toks('text')}) AS t FROM documents)",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from evalspark.scratch import materialize, scratch_root
 from evalspark.sinks.tables import upsert
 from evalspark.sources import standins
 from evalspark.sources.bronze import file_manifest, read_bronze
+from evalspark.sources.tables import units_of_split
 
 Query = Callable[[SparkSession, str], DataFrame]
 GRID = bm25.bm25_grid()
@@ -69,8 +71,6 @@ def evidence_type(spark, sf_dir):
 
 
 def train_units(spark, sf_dir):
-    from evalspark.sources.tables import units_of_split
-
     bronze = standins.order_records(spark, sf_dir)
     kept = units_of_split(silver.evidence_units(bronze), silver.documents(bronze), "train")
     return kept.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
@@ -78,8 +78,6 @@ def train_units(spark, sf_dir):
 
 def json_round_trip(spark, sf_dir):
     """Records written as JSON lines and read back through the raw schema."""
-    import uuid
-
     path = f"{scratch_root(spark)}/evalspark/json-{uuid.uuid4().hex}"
     standins.order_records(spark, sf_dir).drop("split").write.json(path)
     bronze = read_bronze(spark, path, "c0ffee", "run-1", one_array_per_file=False)
@@ -228,9 +226,9 @@ def audit_counts(spark, sf_dir):
 # ---------- retrieval ----------
 
 def tokens_query(spark, sf_dir):
-    rows = standins.spread(standins.load(spark, sf_dir, "documents")).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    rows = standins.spread(standins.load(spark, sf_dir, "documents")).select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text")
     turns = standins.load(spark, sf_dir, "conversations").select(
-        F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+        F.lit("turn").alias("kind"), F.concat("conv_id", F.lit("-"), "turn").alias("id"), "text")
     both = rows.unionByName(turns)
     return both.select(
         "kind", "id", F.size(tokens(F.col("text"))).alias("n_tokens"), F.size(tokenize(F.col("text"))).alias("n_kept"),
