@@ -11,14 +11,17 @@ from pyspark.sql.types import StructType
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
+    """Made on the driver: the DDL parser is not there in tasks."""
     from pyspark.sql.pandas.types import to_arrow_schema
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
 def map_batches(df: DataFrame, ddl: str, start: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]]) -> DataFrame:
     """One output per batch. ``start`` runs once in each task and returns the batch function."""
+    schema = arrow_schema(ddl)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, step = arrow_schema(ddl), None
+        step = None
         for batch in batches:
             step = step or start()
             out = step(batch)

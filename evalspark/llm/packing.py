@@ -54,11 +54,11 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                                         ("ids_crc32", zlib.crc32(part)), ("doc_tokens", len(ids) // 4), ("slot", slot)):
                         out[name].append(value)
                     slot += 1
-            return {f.name: out[f.name] for f in schema}
-        schema = arrow_schema(ddl)
+            return {name: out[name] for name in names}
         return step
 
     ddl = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, slot bigint"
+    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "slot"]
     return map_batches(texts(docs, id_col, text_col), ddl, start)
 
 
@@ -115,6 +115,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     kinds = dict(pieces.dtypes)
     ddl = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", sequence_id bigint, offset bigint"
 
+    schema = arrow_schema(ddl)
+
     def place(table: pa.Table) -> pa.Table:
         table = table.sort_by("slot")
         number = table.column("group")[0].as_py()
@@ -126,7 +128,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
                 sequence[i], offset[i] = (number << 32) + k, at
                 at += lengths[i]
         out = table.select(columns).append_column("sequence_id", pa.array(sequence, pa.int64()))
-        return out.append_column("offset", pa.array(offset, pa.int64())).cast(arrow_schema(ddl))
+        return out.append_column("offset", pa.array(offset, pa.int64())).cast(schema)
 
     dealt = rest.withColumn("group", F.pmod(F.xxhash64("slot"), F.lit(groups)))
     full = pieces.filter(F.col("length") >= capacity).select(

@@ -6,22 +6,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalspark.llm import packing, token_counts
+from evalspark.llm import exact, packing, simhash, token_counts, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_exact_dedup(spark, sf_dir):
+    return exact.exact_groups(_read(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark, sf_dir):
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash.near_groups(_read(spark, sf_dir, "documents"))
+
+
+def op7_url_rules(spark, sf_dir):
+    return urls.judge(_read(spark, sf_dir, "pages"), urls.rule_table(spark))
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_packing, op8_token_counts)
+    f.__name__: f for f in (op2_exact_dedup, op3_packing, op6_simhash, op7_url_rules, op8_token_counts)
+}
+
+ORACLE: dict[str, str] = {
+    "op2_exact_dedup": r"""
+        WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+                   FROM documents)
+        SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               doc_id = min(doc_id) OVER g AS kept, text_sha256
+        FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op7_url_rules": r"""
+        WITH p AS (SELECT page_id,
+                 coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+                                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                 coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+               FROM pages),
+             rules(h, p, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                                             ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+             fits AS (SELECT page_id, arg_max(h || rules.p, length(h || rules.p)) AS rule,
+                             arg_max(verdict, length(h || rules.p)) AS verdict
+                      FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p)
+                      GROUP BY page_id)
+        SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM p LEFT JOIN fits ON p.page_id = fits.page_id""",
 }
-ORACLE: dict[str, str] = {}
