@@ -5,14 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evalspark.llm import exact, packing, simhash, token_counts, urls
+from evalspark.llm import (exact, language, licenses, packing, sentencepieces, simhash, substrings, token_counts, topk,
+                           urls)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    model = language.fit(docs, train=~language.held_out())
+    return language.predict(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact.exact_groups(_read(spark, sf_dir, "documents"))
 
@@ -21,6 +29,16 @@ def op3_packing(spark, sf_dir):
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark, sf_dir):
+    return sentencepieces.verify(_read(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.train(docs))
+    return found.withColumns({c: F.round(c, 6) for c in ("probability", "similarity")})
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.near_groups(_read(spark, sf_dir, "documents"))
 
@@ -33,8 +51,17 @@ def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op9_substrings(spark, sf_dir):
+    return substrings.repeats(_read(spark, sf_dir, "documents"))
+
+
+def op10_search(spark, sf_dir):
+    return topk.search(_read(spark, sf_dir, "documents"), F.col("id") % 20 == 0).withColumn("score", F.round("score", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_packing, op6_simhash, op7_url_rules, op8_token_counts)
+    f.__name__: f for f in (op1_language, op2_exact_dedup, op3_packing, op4_sentencepiece, op5_licenses, op6_simhash,
+                            op7_url_rules, op8_token_counts, op9_substrings, op10_search)
 }
 
 ORACLE: dict[str, str] = {
