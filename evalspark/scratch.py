@@ -7,27 +7,44 @@ recomputing, cuts the lineage, keeps column pruning, and gives the optimizer rea
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open: list[list[str]] = []  # folders made inside each open ``temporary`` block
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the session's own setting where there is one."""
+    """Shared folder for intermediate tables: the session's checkpoint folder, else a folder in its warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="evalspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    path = f"{scratch_root(spark).rstrip('/')}/evalspark/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh folder and return the table read back."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/evalspark/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables made inside, once the result of the run is written."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _open.pop():
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)

@@ -49,7 +49,7 @@ if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     names = sys.argv[2:] or list(queries())
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = build_session("compare", master="local[8]", shuffle_partitions=8,
+    spark = build_session("compare", master="local[4]", shuffle_partitions=8,
                           **{"spark.ui.enabled": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
