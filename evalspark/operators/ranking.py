@@ -8,6 +8,8 @@ No step gives all candidates of one question to one task, whatever its page hold
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from evalspark.scratch import materialize
 
 SCORE_DECIMALS = 9
 TOP = 10
+PARTS = 32  # over which the candidates of each question are counted
 KEYS = ["config_id", "question_id"]
 
 
@@ -62,21 +65,25 @@ def gold_ranks(scored: DataFrame, questions: DataFrame) -> DataFrame:
     """(config_id, question_id, n_candidates, gold_ranks): sorted 1-based ranks of the distinct gold units.
 
     Ranks come from counting, not sorting. Each candidate falls into a slot between the question's
-    sorted gold units; the counts per slot, combined per task, add up to the ranks. Arrays are as long as
-    the gold list of one question record.
+    sorted gold units; the counts per slot add up to the ranks. Arrays are as long as the gold list of one question record.
+
+    Candidates are dealt over a fixed number of parts by a hash of the unit, and the marks, one row per question, are repeated
+    for each part. So the candidates of one question are counted by many tasks, and only counts meet on the question.
     """
     gold = questions.select("question_id", F.explode("gold_unit_ids").alias("unit_id"))
     marks = (
         scored.join(gold, ["question_id", "unit_id"], "left_semi")
         .groupBy(*KEYS).agg(F.array_sort(F.collect_list(order_key())).alias("marks"))
+        .select(*KEYS, "marks", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     )
+    dealt = scored.select(*KEYS, order_key().alias("key"), F.pmod(F.xxhash64("unit_id"), F.lit(PARTS)).cast("int").alias("part"))
     # The outer side of a left join is never broadcast, so the candidates stay where they are.
-    slots = (
-        scored.select(*KEYS, order_key().alias("key")).join(marks, KEYS, "left")
-        .groupBy(*KEYS, F.size(F.filter("marks", lambda m: m < F.col("key"))).alias("slot"),
-                 F.size("marks").alias("n_gold"))
+    counted = (
+        dealt.join(marks, [*KEYS, "part"], "left")
+        .groupBy(*KEYS, "part", F.size(F.filter("marks", lambda m: m < F.col("key"))).alias("slot"), F.size("marks").alias("n_gold"))
         .agg(F.count("*").alias("n"))
     )
+    slots = counted.groupBy(*KEYS, "slot", "n_gold").agg(F.sum("n").alias("n"))
     at_most = lambda i: F.aggregate(
         F.filter("slots", lambda s: s["slot"] <= i), F.lit(0).cast("long"), lambda total, s: total + s["n"])
     return (
@@ -93,19 +100,42 @@ def missing_gold(questions: DataFrame, units: DataFrame) -> DataFrame:
     return gold.join(units.select("doc_id", "unit_id"), ["doc_id", "unit_id"], "left_anti").select("question_id", "unit_id")
 
 
-def ranking_gaps(scored: DataFrame, questions: DataFrame, units: DataFrame) -> DataFrame:
+def expected_rankings(questions: DataFrame, config_ids: Sequence[int]) -> DataFrame:
+    """(config_id, question_id, doc_id): every configuration has to rank every question's page."""
+    configs = F.explode(F.array(*[F.lit(int(c)) for c in config_ids])).alias("config_id")
+    return questions.select("question_id", "doc_id", configs)
+
+
+def ranking_gaps(scored: DataFrame, questions: DataFrame, units: DataFrame, config_ids: Sequence[int]) -> DataFrame:
     """(config_id, question_id, unit_id, scored, expected): where a retriever did not score exactly its candidates.
 
-    Must be empty. Both sides are counted per unit, so neither a missing, a foreign nor a repeated unit passes.
+    Must be empty. Both sides are counted per unit, so neither a missing, a foreign nor a repeated unit passes, and
+    the configurations are the caller's, so one that scored nothing shows.
     """
-    configs = [r["config_id"] for r in scored.select("config_id").distinct().collect()]
     candidates = (
-        questions.select("question_id", "doc_id").join(units.select("doc_id", "unit_id"), "doc_id")
-        .select(F.explode(F.array(*map(F.lit, configs)) if configs else F.array(F.lit(0))).alias("config_id"),
-                "question_id", "unit_id", F.lit(0).alias("s"), F.lit(1).alias("e"))
+        expected_rankings(questions, config_ids).join(units.select("doc_id", "unit_id"), "doc_id")
+        .select(*KEYS, "unit_id", F.lit(0).alias("s"), F.lit(1).alias("e"))
     )
-    given = scored.select("config_id", "question_id", "unit_id", F.lit(1).alias("s"), F.lit(0).alias("e"))
+    given = scored.select(*KEYS, "unit_id", F.lit(1).alias("s"), F.lit(0).alias("e"))
     return (
         candidates.unionByName(given).groupBy(*KEYS, "unit_id")
         .agg(F.sum("s").alias("scored"), F.sum("e").alias("expected")).filter("scored != expected")
     )
+
+
+def incomplete_rankings(scored: DataFrame, questions: DataFrame, units: DataFrame, config_ids: Sequence[int]) -> DataFrame:
+    """(config_id, question_id): rankings that are not exactly the page's units, by counts and checksums of unit ids.
+
+    Cheaper than ``ranking_gaps``: the page side is aggregated once per page and no candidate is joined.
+    """
+    def summary(n: str) -> list[Column]:
+        unit = F.xxhash64("unit_id").cast("decimal(38,0)")
+        return [F.count("*").alias(n), F.sum(unit).alias(f"{n}_sum"), F.sum(F.xxhash64("unit_id", F.lit(1)).cast("decimal(38,0)")).alias(f"{n}_sum2")]
+
+    pages = units.groupBy("doc_id").agg(*summary("want"))
+    wanted = expected_rankings(questions, config_ids).join(pages, "doc_id", "left")
+    given = scored.groupBy(*KEYS).agg(*summary("got"))
+    same = F.lit(True)
+    for c in ("", "_sum", "_sum2"):
+        same = same & F.col(f"want{c}").eqNullSafe(F.col(f"got{c}"))
+    return wanted.join(given, KEYS, "full").filter(~same | F.col("doc_id").isNull()).select(*KEYS)

@@ -6,43 +6,49 @@ import uuid
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions.metrics import COMPARED, HEADLINE, METRICS, SELECTION, random_metrics, rank_metrics
 from evalspark.operators import bootstrap, ranking
-from evalspark.scratch import materialize
+from evalspark.operators.bm25 import BM25Config, bm25_retriever
+from evalspark.scratch import materialize, temporary
+from evalspark.sinks import tables
+from evalspark.sources.tables import read_table, units_of_split
 
 Retriever = Callable[[DataFrame, DataFrame], DataFrame]
 DIMENSIONS = ("evidence_type", "n_gold", "label_status")
 
 
 def new_run_id() -> str:
-    return f"{datetime.now(UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+    """Sorts by start time; the random part keeps runs of the same second apart."""
+    started = datetime.now(UTC).replace(microsecond=0, tzinfo=None)
+    return "-".join([started.isoformat().replace("-", "").replace(":", ""), uuid.uuid4().hex[:8]])
 
 
 def evaluate(retriever: Retriever, questions: DataFrame, units: DataFrame, run_ids: Sequence[str] | None = None,
-             check_ranking: bool = False) -> DataFrame:
+             config_ids: Sequence[int] | None = None) -> DataFrame:
     """One row per configuration and question: ranks of the gold units, top 10, metrics, random baseline.
 
     ``questions`` has question_id, doc_id, split, question, gold_unit_ids, evidence_type, label_status.
-    ``retriever`` returns (config_id, question_id, unit_id, score). With ``check_ranking`` it must have
-    scored exactly the candidates; use that for retrievers that do not guarantee it.
+    ``retriever`` returns (config_id, question_id, unit_id, score) for the configurations ``config_ids`` (by default as many as
+    ``run_ids``, else the first). Every one of them must score exactly the units of each question's page; anything else is
+    an error, never a run with fewer questions or candidates.
     """
+    config_ids = list(config_ids) if config_ids is not None else list(range(len(run_ids or [0])))
     scored = materialize(retriever(questions, units), "scores")
-    if check_ranking:
-        gaps = ranking.ranking_gaps(scored, questions, units).limit(3).collect()
-        if gaps:
-            raise ValueError(f"retriever did not return a full ranking: {[g.asDict() for g in gaps]}")
-    asked = questions.select(
+    if ranking.incomplete_rankings(scored, questions, units, config_ids).limit(1).collect():
+        gaps = ranking.ranking_gaps(scored, questions, units, config_ids).limit(3).collect()
+        raise ValueError(f"not a full ranking of the candidates: {[g.asDict() for g in gaps]}")
+    asked = ranking.expected_rankings(questions, config_ids).drop("doc_id").join(questions.select(
         "question_id", "doc_id", "split", "evidence_type", "label_status",
-        F.size(F.array_distinct("gold_unit_ids")).alias("_wanted"))
+        F.size(F.array_distinct("gold_unit_ids")).alias("_wanted")), "question_id")
     found = ranking.gold_ranks(scored, questions).join(ranking.top_units(scored), ranking.KEYS)
     # Every question must come out, with every gold unit among its candidates.
     complete = F.when(F.size("gold_ranks") == F.col("_wanted"), F.col("gold_ranks")).otherwise(
         F.raise_error(F.concat(F.lit("gold units not among candidates of "), "question_id")))
     run_id = F.get(F.array(*map(F.lit, run_ids)), F.col("config_id")) if run_ids else F.lit("run")
-    ranked = asked.join(found, "question_id", "left").select(
+    ranked = asked.join(found, ranking.KEYS, "left").select(
         run_id.alias("run_id"), "config_id", "question_id", "doc_id", "split", "evidence_type", "label_status",
         "n_candidates", F.size("gold_ranks").alias("n_gold"), complete.alias("gold_ranks"), "top_unit_ids")
     system = rank_metrics(F.col("gold_ranks"))
@@ -67,6 +73,33 @@ def _means(names: Sequence[str]) -> list[Column]:
     return [F.avg(p + m).alias(p + m) for p in ("", "random_") for m in names]
 
 
+def run(spark: SparkSession, split: str, configs: Sequence[BM25Config], prefix: str = "qa", stems: DataFrame | None = None,
+        commit: str | None = None, dirty: bool = False, **options) -> DataFrame:
+    """One evaluation from the silver tables to the gold tables; returns the run rows.
+
+    The questions of ``split`` are asked, document frequencies come from the units of the pages of the train split, and the runs carry
+    the versions of the tables that were read. Runs and per-question rows are appended. Choosing among several
+    configurations is for the other splits: on ``test`` only one may run.
+    """
+    if split == "test" and len(configs) > 1:
+        raise ValueError("a grid is not run on the test split")
+    names = {n: f"silver.{prefix}_{n}" for n in ("documents", "evidence_units", "questions")}
+    versions = tables.table_versions(spark, list(names.values()))
+    questions = read_table(spark, names["questions"]).filter(F.col("split") == split)
+    units = read_table(spark, names["evidence_units"], ["doc_id", "unit_id", "text"])
+    pages = read_table(spark, names["documents"], ["doc_id", "split"])
+    retriever = bm25_retriever(configs, corpus=units_of_split(units, pages, "train"), stems=stems)
+    run_ids = [new_run_id() for _ in configs]
+    candidates = units_of_split(units, pages, split)
+    with temporary(spark):
+        results = materialize(evaluate(retriever, questions, candidates, run_ids), "results")
+        runs = materialize(build_runs(results, [c.params_json for c in configs], split, "bm25", versions, commit, dirty, **options), "runs")
+        tables.create_layers(spark)
+        tables.append_table(gold_rows(results), f"gold.{prefix}_retrieval_results")
+        tables.append_table(runs, f"gold.{prefix}_retrieval_runs")
+    return spark.table(f"gold.{prefix}_retrieval_runs").filter(F.col("run_id").isin(run_ids))
+
+
 def run_means(results: DataFrame) -> DataFrame:
     """One row per configuration: number of questions and the mean of every metric, system and random."""
     return results.groupBy("config_id").agg(F.count("*").alias("n_questions"), *_means(METRICS))
@@ -94,6 +127,7 @@ def breakdown(results: DataFrame, metrics: Sequence[str] = HEADLINE) -> DataFram
 
 
 def _config_ids(results: DataFrame) -> list[int]:
+    """One row per configuration, of a written table of results."""
     return sorted(r["config_id"] for r in results.select("config_id").distinct().collect())
 
 
@@ -110,9 +144,12 @@ def _split_name(df: DataFrame) -> DataFrame:
     })
 
 
-def overall_ci(results: DataFrame, metrics: Sequence[str] = HEADLINE, **options) -> DataFrame:
-    """(config_id, metric, mean, low, high); all configurations and metrics share the resamples."""
-    configs = _config_ids(results)
+def overall_ci(results: DataFrame, metrics: Sequence[str] = HEADLINE, config_ids: Sequence[int] | None = None, **options) -> DataFrame:
+    """(config_id, metric, mean, low, high); all configurations and metrics share the resamples.
+
+    ``config_ids`` saves a pass that looks for them.
+    """
+    configs = list(config_ids) if config_ids is not None else _config_ids(results)
     wide = _side_by_side(results, configs, metrics)
     columns = [f"{c}:{m}" for c in configs for m in metrics]
     return _split_name(bootstrap.bootstrap_ci(wide, "question_id", columns, **options)).select(
@@ -136,12 +173,12 @@ def best_config(results: DataFrame) -> int:
     return means.orderBy(F.round("mean", 12).desc(), "config_id").first()["config_id"]
 
 
-def compare_to_best(results: DataFrame, metrics: Sequence[str] = COMPARED, **options) -> DataFrame:
+def compare_to_best(results: DataFrame, metrics: Sequence[str] = COMPARED, config_ids: Sequence[int] | None = None, **options) -> DataFrame:
     """(best_config_id, config_id, metric, diff, low, high): paired intervals of every other configuration.
 
     An interval that includes 0 means the data cannot tell the two apart.
     """
-    configs = _config_ids(results)
+    configs = list(config_ids) if config_ids is not None else _config_ids(results)
     best = best_config(results)
     others = [c for c in configs if c != best]
     wide = _side_by_side(results, configs, metrics)
@@ -154,6 +191,7 @@ def compare_to_best(results: DataFrame, metrics: Sequence[str] = COMPARED, **opt
 def build_runs(results: DataFrame, params_json: Sequence[str], split: str, retriever: str,
                silver_versions: dict[str, int], commit: str | None = None, dirty: bool = False, **options) -> DataFrame:
     """One row per configuration: identity, parameters, provenance, input versions, summaries, breakdown."""
+    options = {"config_ids": range(len(params_json)), **options}
     intervals = overall_ci(results, **options).groupBy("config_id").agg(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct(F.replace("metric", F.lit("_at_"), F.lit("@")), F.array("low", "high"))))).alias("overall_ci95"))
     group = F.struct("n", _metric_map("", HEADLINE).alias("system"), _metric_map("random_", HEADLINE).alias("random"))
