@@ -6,21 +6,23 @@
 
 Shape of the job, for many pages at once:
 
-1. One join of units with their page's questions. Each text is tokenized in place and only the counts
-   of the question's own terms are kept: an int array aligned with the sorted term list. Token rows
-   are never shuffled, and a small questions side is broadcast so texts do not move at all.
+1. Each text is tokenized once, before its unit meets the page's questions in one join, and only the counts
+   of the question's own terms are kept: an int array aligned with the sorted term list. A small questions side is
+   broadcast, so texts do not move at all.
 2. Page statistics (N, average length, df) are partial aggregates over those counts.
 3. One row per question and configuration holds its idf vector; scoring is arithmetic in the row, so
    the float sum has one order whatever the partitioning.
 
-All configurations share steps 1 and 2. Stemming and stopword removal are variants of the term list.
+All configurations share steps 1 and 2. Stemming and stopword removal are variants of the term list. A stemmer is an
+expression on a word (a function from Column to Column), applied in the row, or a table (term, stem), which is joined to the distinct words;
+with a table, reference frequencies of stems that have several word forms shuffle one row per unit and form.
 """
 
 from __future__ import annotations
 
 import itertools
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -79,14 +81,22 @@ def corpus_size(units: DataFrame) -> DataFrame:
 
 # ---------- question terms ----------
 
-def _plain_terms(questions: DataFrame, variants: list[int]) -> DataFrame:
-    """(question_id, doc_id, variant, terms, forms) where every term stands for itself."""
+Stemmer = Callable[[Column], Column]
+
+
+def _variant_words(words: str, variant: int, stem: Stemmer | None) -> Column:
+    """The words that count under a variant. Stopwords go before stemming."""
+    kept = without_stopwords(F.col(words)) if variant & 1 else F.col(words)
+    return F.transform(kept, stem) if variant & 2 else kept
+
+
+def _terms_in_row(questions: DataFrame, variants: list[int], stem: Stemmer | None) -> DataFrame:
+    """(question_id, doc_id, variant, terms, forms) where every term stands for itself, stemmed words included."""
     def variant(v: int) -> Column:
-        terms = without_stopwords(F.col("words")) if v & 1 else F.col("words")
-        return F.struct(F.lit(v).alias("variant"), terms.alias("terms"))
+        return F.struct(F.lit(v).alias("variant"), F.array_sort(F.array_distinct(_variant_words("words", v, stem))).alias("terms"))
 
     return (
-        questions.select("question_id", "doc_id", F.array_sort(F.array_distinct(tokens(F.col("question")))).alias("words"))
+        questions.select("question_id", "doc_id", tokens(F.col("question")).alias("words"))
         .select("question_id", "doc_id", F.inline(F.array(*map(variant, variants))))
         .select("*", F.transform("terms", lambda t: F.array(t)).alias("forms"))
     )
@@ -126,19 +136,21 @@ def _stemmed_terms(questions: DataFrame, variants: list[int], stems: DataFrame)
         "question_id", "variant", F.col("t.stem").alias("terms"), F.col("t.forms").alias("forms"))
 
 
-def question_terms(questions: DataFrame, variants: Sequence[int], stems: DataFrame | None = None) -> DataFrame:
+def question_terms(questions: DataFrame, variants: Sequence[int], stems: DataFrame | Stemmer | None = None) -> DataFrame:
     """(question_id, doc_id, variant, terms, forms), one row per question and tokenizer variant.
 
     ``terms`` are distinct and sorted; ``forms[i]`` are the words that count as ``terms[i]``.
     """
+    if stems is None and any(v & 2 for v in variants):
+        raise ValueError("stem=True needs a stemmer: an expression or a table (term, stem)")
+    if not isinstance(stems, DataFrame):
+        return _terms_in_row(questions, list(variants), stems)
     plain = [v for v in variants if not v & 2]
     stemmed = [v for v in variants if v & 2]
     parts = []
     if plain:
-        parts.append(_plain_terms(questions, plain))
+        parts.append(_terms_in_row(questions, plain, None))
     if stemmed:
-        if stems is None:
-            raise ValueError("stem=True needs a stem table (term, stem)")
         # A question with no words still ranks its page.
         parts.append(
             questions.select("question_id", "doc_id", F.explode(F.array(*map(F.lit, stemmed))).alias("variant"))
@@ -151,32 +163,35 @@ def question_terms(questions: DataFrame, variants: Sequence[int], stems: DataFra
 
 # ---------- term counts per question and candidate ----------
 
-def match_counts(terms: DataFrame, units: DataFrame) -> DataFrame:
+def match_counts(terms: DataFrame, units: DataFrame, stem: Stemmer | None = None) -> DataFrame:
     """(question_id, variant, unit_id, dl, tfs): one row per question, variant and candidate.
 
-    ``dl`` is the unit's length in tokens and ``tfs`` the counts of the question's terms.
+    ``dl`` is the unit's length in tokens and ``tfs`` the counts of the question's terms. ``stem`` is given if the terms of stemmed
+    variants are stems rather than word forms.
     """
     wanted = terms.groupBy("question_id", "doc_id").agg(
         F.collect_list(F.struct(
             "variant", F.size("terms").alias("n_terms"), F.flatten("forms").alias("words"),
             F.flatten(F.transform("forms", lambda f, i: F.transform(f, lambda _: i))).alias("slots"))).alias("variants"))
-    wanted = wanted.withColumn("any_word", F.array_distinct(F.flatten("variants.words")))
-    words = (
-        units.select("doc_id", "unit_id", "text").join(wanted, "doc_id")
-        .select("question_id", "unit_id", tokens(F.col("text")).alias("words"), "any_word", "variants")
-        .select("question_id", "unit_id", F.filter("words", lambda w: F.array_contains("any_word", w)).alias("words"),
-                F.size("words").alias("n_words"), F.size(without_stopwords(F.col("words"))).alias("n_kept"), "variants")
-        .select("question_id", "unit_id", "words", "n_words", "n_kept", F.explode("variants").alias("v"))
-    )
-    # Position of each word in the question's list; words the question does not have drop out.
-    hits = F.filter(
-        F.transform("words", lambda w: F.get(F.col("v.slots"), F.array_position(F.col("v.words"), w).cast("int") - 1)),
-        lambda slot: slot.isNotNull(),
-    )
+    cut = units.select("doc_id", "unit_id", tokens(F.col("text")).alias("plain")).select(
+        "doc_id", "unit_id", "plain", F.size("plain").alias("n_words"), F.size(without_stopwords(F.col("plain"))).alias("n_kept"))
+    v = F.col("v.variant")
+    row = cut.join(wanted, "doc_id").select("question_id", "unit_id", "plain", "n_words", "n_kept", F.explode("variants").alias("v"))
+    words = F.col("plain")
+    if stem is not None:
+        # without stopwords first; their stems are left in place as nulls, so lengths stay those of the plain words
+        bare = F.transform("plain", lambda w: F.when((v.bitwiseAND(F.lit(1)) == 0) | ~w.isin(*STOPWORDS), stem(w)))
+        words = F.when(v.bitwiseAND(F.lit(2)) == 2, bare).otherwise(F.col("plain"))
+    # the distinct words in common come from a hash set; only they are searched for in the question's list
+    row = row.withColumn("words", words).withColumn("common", F.array_intersect("words", "v.words"))
     slots = F.filter(F.sequence(F.lit(0), F.col("v.n_terms")), lambda i: i < F.col("v.n_terms"))
-    counts = let(hits, lambda found: F.transform(slots, lambda i: F.size(F.filter(found, lambda h: h == i))))
-    length = F.when(F.col("v.variant").bitwiseAND(F.lit(1)) == 1, F.col("n_kept")).otherwise(F.col("n_words"))
-    return words.select("question_id", "v.variant", "unit_id", length.alias("dl"), counts.alias("tfs"))
+    kept = F.when(F.size("common") == 0, F.array().cast("array<string>")).otherwise(
+        F.filter("words", lambda w: F.array_contains("common", w)))
+    hits = F.transform(kept, lambda w: F.get(F.col("v.slots"), F.array_position(F.col("v.words"), w).cast("int") - 1))
+    counts = let(hits, lambda found: F.transform(slots, lambda i: F.when(F.size(found) == 0, 0).otherwise(
+        F.size(F.filter(found, lambda h: h == i)))))
+    length = F.when(v.bitwiseAND(F.lit(1)) == 1, F.col("n_kept")).otherwise(F.col("n_words"))
+    return row.select("question_id", v.alias("variant"), "unit_id", length.alias("dl"), counts.alias("tfs"))
 
 
 def page_sizes(pairs: DataFrame) -> DataFrame:
@@ -194,6 +209,21 @@ def page_term_df(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _reference_df_in_row(terms: DataFrame, corpus: DataFrame, variants: list[int], stem: Stemmer | None) -> DataFrame:
+    """(question_id, variant, slot, df) with frequencies from the reference corpus: each text is tokenized once, and its
+    distinct terms of every variant are counted together. Stopword removal changes no count of a word that stays, but may change that of a stem."""
+    lists = sorted({v if v & 2 else 0 for v in variants})
+    distinct = F.array(*[F.struct(F.lit(v).alias("list"), F.array_distinct(_variant_words("words", v, stem)).alias("terms")) for v in lists])
+    counted = (
+        corpus.select(tokens(F.col("text")).alias("words")).select(F.inline(distinct))
+        .select("list", F.explode("terms").alias("term")).groupBy("list", "term").agg(F.count("*").alias("df"))
+    )
+    of = F.when(F.col("variant").bitwiseAND(F.lit(2)) == 2, F.col("variant")).otherwise(0)
+    slots = terms.filter(F.col("variant").isin(variants)).select(
+        "question_id", "variant", of.alias("list"), F.posexplode("terms").alias("slot", "term"))
+    return slots.join(counted, ["list", "term"]).select("question_id", "variant", "slot", "df")
+
+
 def _reference_df(terms: DataFrame, corpus: DataFrame, variants: list[int]) -> DataFrame:
     """(question_id, variant, slot, df) with frequencies from the reference corpus.
 
@@ -226,8 +256,8 @@ def _idf_vector(name: str, n: Column) -> Column:
     return F.transform("terms", lambda t, i: idf(F.coalesce(F.try_element_at(F.col(name), i), F.lit(0)), n))
 
 
-def scoring_plan(terms: DataFrame, pairs: DataFrame, configs: Sequence[BM25Config],
-                 corpus: DataFrame | None = None) -> DataFrame:
+def scoring_plan(terms: DataFrame, pairs: DataFrame, configs: Sequence[BM25Config], corpus: DataFrame | None = None,
+                 stems: DataFrame | Stemmer | None = None) -> DataFrame:
     """(question_id, variant, config_id, k1, b, avgdl, idfs): everything a score needs but the counts."""
     keys = ["question_id", "variant"]
     plan = terms.select(*keys, "terms").join(page_sizes(pairs), keys)
@@ -238,9 +268,11 @@ def scoring_plan(terms: DataFrame, pairs: DataFrame, configs: Sequence[BM25Confi
         vectors["page"] = _idf_vector("page_df", F.col("n"))
     if "corpus" in scopes:
         if corpus is None:
-            raise ValueError("idf_scope='corpus' needs a reference corpus")
+            raise ValueError("a configuration takes frequencies from a corpus, but none is given")
         variants = sorted({c.variant for c in configs if c.idf_scope == "corpus"})
-        plan = plan.join(_df_map(_reference_df(terms, corpus, variants), "corpus_df"), keys, "left")
+        found = (_reference_df(terms, corpus, variants) if isinstance(stems, DataFrame) else
+                 _reference_df_in_row(terms, corpus, variants, stems))
+        plan = plan.join(_df_map(found, "corpus_df"), keys, "left")
         plan = plan.withColumn("corpus_n", corpus_size(corpus).scalar())
         vectors["corpus"] = _idf_vector("corpus_df", F.col("corpus_n"))
     plan = plan.select(*keys, "avgdl", *[v.alias(f"idf_{s}") for s, v in vectors.items()])
@@ -263,26 +295,26 @@ def _score() -> Column:
 
 
 def bm25_scores(questions: DataFrame, units: DataFrame, configs: Sequence[BM25Config] = (BM25Config(),),
-                corpus: DataFrame | None = None, stems: DataFrame | None = None) -> DataFrame:
+                corpus: DataFrame | None = None, stems: DataFrame | Stemmer | None = None) -> DataFrame:
     """(config_id, question_id, unit_id, score) for every candidate, those sharing no term at score 0.
 
     ``questions`` has question_id, doc_id, question; ``units`` and ``corpus`` have doc_id, unit_id, text;
     ``config_id`` is the position in ``configs``.
     """
     if corpus is None and any(c.idf_scope == "corpus" for c in configs):
-        raise ValueError("idf_scope='corpus' needs a reference corpus")
+        raise ValueError("a configuration takes frequencies from a corpus, but none is given")
     terms = question_terms(questions, sorted({c.variant for c in configs}), stems)
-    if stems is not None:
+    if isinstance(stems, DataFrame):
         terms = materialize(terms, "question-terms")  # read by the match and by the plan
-    pairs = materialize(match_counts(terms, units), "term-counts")
-    plan = scoring_plan(terms, pairs, configs, corpus)
+    pairs = materialize(match_counts(terms, units, None if isinstance(stems, DataFrame) else stems), "term-counts")
+    plan = scoring_plan(terms, pairs, configs, corpus, stems)
     # Every pair has its plan rows. As a left join only the plan, one row per question, can be broadcast.
     return pairs.join(plan, ["question_id", "variant"], "left").select(
         "config_id", "question_id", "unit_id", _score().alias("score"))
 
 
 def bm25_retriever(configs: Sequence[BM25Config] = (BM25Config(),), corpus: DataFrame | None = None,
-                   stems: DataFrame | None = None):
+                   stems: DataFrame | Stemmer | None = None):
     """The retriever interface: a function of (questions, units) that scores every candidate."""
     def score(questions: DataFrame, units: DataFrame) -> DataFrame:
         return bm25_scores(questions, units, configs, corpus, stems)

@@ -10,7 +10,6 @@ import math
 from evalspark.functions.metrics import HEADLINE, KS, METRICS
 from evalspark.functions.text import STOPWORDS
 from evalspark.operators.bm25 import bm25_grid
-from evalspark.operators.bootstrap import percentile_index
 
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 TOKEN = r"'[a-z]+|\d+(?:,\d{3}\b)*(?:\.\d+(?:,\d{3}\b)*)?'"
@@ -89,6 +88,13 @@ ORDERS = {
 UNION ALL SELECT doc_id || '#table_' || position, doc_id, 'table_row', text FROM rows_"""),
     "train_units": with_([LINES, PAGES], """SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (
 SELECT 'text' AS kind, doc_id FROM text_ UNION ALL SELECT 'table_row', doc_id FROM rows_) JOIN pages_ USING (doc_id) WHERE split = 'train' GROUP BY kind"""),
+    "json_lineage": with_([LINES], """SELECT doc_id || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, doc_id AS filename, '' AS split,
+'c0ffee' AS _source_commit, 'run-1' AS _run_id, true AS from_json, true AS stamped FROM lines"""),
+    "table_writes": """SELECT shape, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE round(o_totalprice * 2, 2) END AS o_totalprice, o_orderstatus,
+(SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS written, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS added, 3 AS version
+FROM orders, (VALUES ('flat'), ('partitioned')) s(shape)""",
+    "file_manifest": r"""SELECT coalesce(regexp_extract(url, '([a-z_]+)\.html$', 1), '') AS split, string_split(url, '/')[-1] AS name, sha256(html) AS sha256,
+octet_length(encode(html)) AS bytes, 'c0ffee' AS source_commit FROM pages""",
     "evidence_type": with_([LINES, AUDIT], "SELECT question_id, evidence_type, gold_unit_ids, n_steps FROM status"),
     "program_values": with_([LINES, AUDIT], """SELECT question_id, round(v, 6) AS value_num, value_text, program_err,
 CASE WHEN l_linenumber < 7 THEN n_steps ELSE 0 END AS n_results,
@@ -136,6 +142,7 @@ round(CASE WHEN f = 'A' THEN -p / 100 WHEN f = 'N' AND l_linenumber > 3 THEN p *
     "program_arith": f"""WITH t AS (SELECT *, l_extendedprice - l_extendedprice * l_discount AS net FROM lineitem),
 u AS (SELECT *, net + net * l_tax AS v FROM t)
 SELECT {KEY}, round(v, 6) AS value_num, CAST(v AS VARCHAR) AS value_text, CAST(NULL AS VARCHAR) AS program_err FROM u""",
+    "program_overflow": f"""SELECT {KEY}, CAST(NULL AS DOUBLE) AS value_num, CAST(NULL AS VARCHAR) AS value_text, 'non_finite' AS program_err FROM lineitem""",
     "program_greater": f"""SELECT {KEY}, CAST(NULL AS DOUBLE) AS value_num, CASE WHEN l_extendedprice / l_quantity > 1000 THEN 'yes' ELSE 'no' END AS value_text,
 CAST(NULL AS VARCHAR) AS program_err FROM lineitem""",
     "program_table_ops": f"""WITH t AS (SELECT *, l_extendedprice AS p, -l_quantity AS q, l_tax / 100 AS x FROM lineitem),
@@ -152,23 +159,34 @@ lower(l_returnflag) = lower(l_linestatus) AS text_match FROM t""",
 # ---------- documents ----------
 
 DOC = "source || '/' || n_chars || '/page_' || doc_id"
+KEPT = f"list_filter({toks('{}')}, lambda t: t NOT IN ({STOP}))"
 DOCS = f"""docs AS (SELECT doc_id AS number, {DOC} AS doc, lang, string_split(text, chr(10)) AS l FROM documents),
-units AS (SELECT doc AS doc_id, doc || '#text_' || (i - 2) AS unit_id, CAST(i - 2 AS INTEGER) AS position, l[i] AS text
-          FROM (SELECT *, unnest(range(2, len(l) + 1)) AS i FROM docs)),
-gold AS (SELECT doc_id || '-1' AS question_id, unit_id, text FROM units WHERE position < 3),
+units AS (SELECT doc AS doc_id, doc || '#text_' || (i - 1) AS unit_id, CAST(i - 1 AS INTEGER) AS position, l[i] AS text
+          FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM docs)),
+corpus AS (SELECT unit_id FROM units),
+gold AS (SELECT u.doc_id || '-1' AS question_id, unit_id, text FROM units u JOIN docs ON doc = u.doc_id
+         WHERE position > 0 AND list_has_any({KEPT.replace('{}', 'text')}, {KEPT.replace('{}', 'l[1]')})),
 kinds AS (SELECT question_id, CASE WHEN bool_and(contains(text, '|')) THEN 'table' WHEN bool_or(contains(text, '|')) THEN 'table+text' ELSE 'text' END AS evidence_type FROM gold GROUP BY 1),
 questions AS (SELECT doc || '-1' AS question_id, doc AS doc_id, lang AS split, l[1] AS question, evidence_type,
        CASE WHEN toxic = 1 THEN 'boolean' WHEN quality = 1 THEN 'consistent' WHEN quality = 0 THEN 'conflict' ELSE 'non_numeric' END AS label_status
   FROM docs JOIN kinds ON kinds.question_id = doc || '-1' LEFT JOIN labels ON labels.doc_id = number)"""
 
-TURNS = """asking AS (SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id),
-turns AS (SELECT c.*, a.turn AS q FROM conversations c LEFT JOIN asking a USING (conv_id)),
-units AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, conv_id || '#text_' || turn AS unit_id, text FROM turns WHERE q IS NULL OR turn <> q),
-gold AS (SELECT conv_id || '-' || q AS question_id, conv_id || '#text_' || turn AS unit_id FROM turns WHERE role = 'assistant' AND turn BETWEEN q + 1 AND q + 6),
-ends AS (SELECT conv_id, bool_or(role = 'system') AS has_system, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id),
-questions AS (SELECT conv_id || '-' || q AS question_id, CAST(conv_id AS VARCHAR) AS doc_id, 'test' AS split, text AS question,
-       CASE WHEN has_system THEN 'table+text' ELSE 'text' END AS evidence_type, CASE WHEN last_role = 'assistant' THEN 'consistent' ELSE 'conflict' END AS label_status
-  FROM turns JOIN ends USING (conv_id) WHERE turn = q AND (conv_id || '-' || q) IN (SELECT question_id FROM gold))"""
+TURNS = """numbered_ AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations),
+units AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, conv_id || '#text_' || turn AS unit_id, text FROM conversations),
+corpus AS (SELECT unit_id FROM units),
+asked AS (SELECT conv_id, q, turn, text, conv_id || '-' || turn AS question_id FROM numbered_ WHERE role = 'user'),
+gold AS (SELECT question_id, n.conv_id || '#text_' || n.turn AS unit_id FROM numbered_ n JOIN asked USING (conv_id, q) WHERE n.role = 'assistant'),
+ends AS (SELECT conv_id, q, arg_max(role, turn) AS last_role, count(*) FILTER (role = 'assistant') AS answers FROM numbered_ GROUP BY ALL),
+questions AS (SELECT question_id, CAST(conv_id AS VARCHAR) AS doc_id, 'test' AS split, text AS question,
+       CASE WHEN answers > 1 THEN 'table+text' ELSE 'text' END AS evidence_type, CASE WHEN last_role = 'assistant' THEN 'consistent' ELSE 'conflict' END AS label_status
+  FROM asked JOIN ends USING (conv_id, q) WHERE answers > 0)"""
+
+ORDER_PAGES = """units AS (SELECT doc_id, doc_id || '#text_' || position AS unit_id, text FROM text_
+  UNION ALL SELECT doc_id, doc_id || '#table_' || position, text FROM rows_),
+corpus AS (SELECT unit_id FROM units),
+once AS (SELECT * FROM status QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY evidence_type, label_status) = 1),
+gold AS (SELECT question_id, unnest(string_split(gold_unit_ids, ';')) AS unit_id FROM once),
+questions AS (SELECT question_id, doc_id, split, 'what is the value of line ' || l_linenumber || ' for part ' || l_partkey || ' ?' AS question, evidence_type, label_status FROM once)"""
 
 STEM = """CASE WHEN t LIKE '%ies' AND NOT (t LIKE '%eies' OR t LIKE '%aies') THEN left(t, length(t) - 3) || 'y'
   WHEN t LIKE '%es' AND NOT (t LIKE '%aes' OR t LIKE '%ees' OR t LIKE '%oes') THEN left(t, length(t) - 1)
@@ -193,14 +211,14 @@ def scoring(configs) -> list[str]:
         "sizes AS (SELECT variant, question_id, count(*) AS n, CASE WHEN sum(dl) > 0 THEN sum(dl)::DOUBLE / count(*) ELSE 1.0 END AS avgdl "
         "FROM questions JOIN dl USING (doc_id) GROUP BY ALL)",
         "page_df AS (SELECT variant, doc_id, term, count(*) AS df FROM tf GROUP BY ALL)",
-        "all_df AS (SELECT variant, term, count(*) AS df FROM tf GROUP BY ALL)",
-        "all_n AS (SELECT count(*) AS n FROM units)",
+        "all_df AS (SELECT variant, term, count(*) AS df FROM tf WHERE unit_id IN (SELECT unit_id FROM corpus) GROUP BY ALL)",
+        "all_n AS (SELECT count(*) AS n FROM corpus)",
         """hits AS (SELECT c.config_id, q.question_id, tf.unit_id, q.term, tf.tf::DOUBLE AS tf, dl.dl::DOUBLE AS dl, s.avgdl, c.k1, c.b,
-  CASE c.scope WHEN 'page' THEN s.n ELSE all_n.n END::DOUBLE AS n, CASE c.scope WHEN 'page' THEN page_df.df ELSE all_df.df END::DOUBLE AS df
+  CASE c.scope WHEN 'page' THEN s.n ELSE all_n.n END::DOUBLE AS n, CASE c.scope WHEN 'page' THEN page_df.df ELSE coalesce(all_df.df, 0) END::DOUBLE AS df
   FROM configs c JOIN qterm q ON q.variant = c.variant JOIN tf ON tf.variant = c.variant AND tf.doc_id = q.doc_id AND tf.term = q.term
   JOIN dl ON dl.variant = c.variant AND dl.unit_id = tf.unit_id JOIN sizes s ON s.variant = c.variant AND s.question_id = q.question_id
   JOIN page_df ON page_df.variant = c.variant AND page_df.doc_id = q.doc_id AND page_df.term = q.term
-  JOIN all_df ON all_df.variant = c.variant AND all_df.term = q.term CROSS JOIN all_n)""",
+  LEFT JOIN all_df ON all_df.variant = c.variant AND all_df.term = q.term CROSS JOIN all_n)""",
         """sums AS (SELECT config_id, question_id, unit_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + k1 * (1 - b + b * dl / avgdl)) ORDER BY term) AS score
   FROM hits GROUP BY ALL)""",
         """scored AS (SELECT c.config_id, q.question_id, u.unit_id, coalesce(s.score, 0) AS score
@@ -219,9 +237,9 @@ def gain(rank: str) -> str:
 def results() -> list[str]:
     """CTEs from ``ranked`` to ``results``: every metric and its expectation per configuration and question."""
     system = ["1.0 / min(rank) AS rr"]
-    chance = ["list_sum(list_transform(range(1, n - g + 2), lambda r: "
-              "(CASE g WHEN 1 THEN 1 WHEN 2 THEN n - r ELSE (n - r) * (n - r - 1) / 2 END)::DOUBLE"
-              " / (CASE g WHEN 1 THEN n WHEN 2 THEN n * (n - 1) / 2 ELSE n * (n - 1) * (n - 2) / 6 END) / r)) AS random_rr"]
+    # C(a, b) as a logarithm, for any number of gold units
+    choose = lambda x, y: f"(lgamma({x} + 1) - lgamma({y} + 1) - lgamma({x} - ({y}) + 1))"
+    chance = [f"list_sum(list_transform(range(1, n - g + 2), lambda r: exp({choose('n - r', 'g - 1')} - {choose('n', 'g')}) / r)) AS random_rr"]
     for k in KS:
         ideal = f"list_sum(list_transform(range(1, least({{g}}, {k}) + 1), lambda i: {gain('i')}))"
         kk = f"least(n, {k})"
@@ -230,8 +248,7 @@ def results() -> list[str]:
             f"sum(CASE WHEN rank <= {k} THEN {gain('rank')} ELSE 0 END) / {ideal.format(g='count(*)')} AS ndcg_at_{k}"]
         chance += [
             f"{kk}::DOUBLE / n AS random_recall_at_{k}",
-            f"CASE g WHEN 1 THEN {kk}::DOUBLE / n WHEN 2 THEN {kk} * ({kk} - 1)::DOUBLE / (n * (n - 1)) "
-            f"ELSE {kk} * ({kk} - 1) * ({kk} - 2)::DOUBLE / (n * (n - 1) * (n - 2)) END AS random_all_gold_at_{k}",
+            f"CASE WHEN g > {kk} THEN 0.0 ELSE exp({choose(kk, 'g')} - {choose('n', 'g')}) END AS random_all_gold_at_{k}",
             f"g * list_sum(list_transform(range(1, {kk} + 1), lambda i: {gain('i')})) / n / {ideal.format(g='g')} AS random_ndcg_at_{k}"]
     return [
         "sized AS (SELECT config_id, question_id, count(*) AS n FROM ranked GROUP BY ALL)",
@@ -257,47 +274,40 @@ ONE = [DOCS, *scoring([PAGE])]
 EVAL = [*ONE, *RANKED, *results()]
 EVAL_TWO = [DOCS, *scoring([PAGE, CORPUS]), *RANKED, *results()]
 EVAL_GRID = [DOCS, *scoring(GRID), *RANKED, *results()]
+EVAL_ORDERS = [LINES, AUDIT, PAGES, ORDER_PAGES, *scoring([PAGE]), *RANKED, *results()]
 EVAL_TURNS = [TURNS, *scoring([PAGE]), *RANKED, *results()]
 RANDOM = tuple(f"random_{m}" for m in METRICS)
-LOW, HIGH = percentile_index(1000, 0.025) + 1, percentile_index(1000, 0.975) + 1
-
-
 def draws(key: str, what: str) -> str:
     return f"('0x' || substr(md5('0:' || {key}), CAST(1 + 8 * ({what} % 4) AS INTEGER), 8))::UBIGINT"
 
 
-def slots(source: str, metrics) -> list[str]:
-    """CTEs resampling ``source(question_id, <metrics>)`` by drawing row numbers, up to ``interval_``."""
-    return [
-        f"vals AS ({source})",
-        "numbered AS (SELECT *, row_number() OVER (ORDER BY question_id) - 1 AS row FROM vals)",
-        "size_ AS (SELECT count(*) AS n FROM vals)",
-        "slot_ AS (SELECT r.range AS replicate, s.s AS s, n FROM range(1000) r, (SELECT unnest(range(n)) AS s, n FROM size_) s)",
-        f"drawn AS (SELECT replicate, {draws(chr(39).join(['replicate || ', ':', ' || (s // 4)']), 's')} % n AS row FROM slot_)",
-        f"means AS (SELECT replicate, {', '.join(f'avg({m}) AS {m}' for m in metrics)} FROM drawn JOIN numbered USING (row) GROUP BY replicate)",
-        *interval(metrics),
-    ]
+def at(m: str, q: float) -> str:
+    """The value at a share of the replicates that have a mean."""
+    return f"list_sort(list({m}))[1 + CAST(round_even({q!r}::DOUBLE * (count(*) - 1), 0) AS INTEGER)]"
 
 
 def interval(metrics) -> list[str]:
     parts = " UNION ALL ".join(
-        f"SELECT '{m}' AS metric, (SELECT avg({m}) FROM vals) AS mean, list_sort(list({m}))[{LOW}] AS low, list_sort(list({m}))[{HIGH}] AS high FROM means"
+        f"SELECT '{m}' AS metric, (SELECT avg({m}) FROM vals) AS mean, {at(m, 0.025)} AS low, {at(m, 0.975)} AS high FROM means"
         for m in metrics)
     return [f"interval_ AS ({parts})"]
 
 
-def weights(source: str, metrics) -> list[str]:
+def weighted(keys: str, metrics) -> list[str]:
+    """CTEs from ``vals(question_id, <keys>, <metrics>)`` to the mean of each replicate."""
     cdf = [math.fsum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
     cases = " ".join(f"WHEN u < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(cdf))
     return [
-        f"vals AS ({source})",
         f"drawn AS (SELECT v.*, r.range AS replicate, {draws(chr(39).join(['question_id || ', ':', ' || (r.range // 4)']), 'r.range')}::DOUBLE / 4294967296 AS u FROM vals v, range(1000) r)",
-        f"weighted AS (SELECT *, CASE {cases} ELSE 12 END AS w FROM drawn)",
-        f"means AS (SELECT replicate, {', '.join(f'sum({m} * w) / sum(w) AS {m}' for m in metrics)} FROM weighted GROUP BY replicate)",
-        *interval(metrics),
+        f"weighted AS (SELECT *, CASE {cases} ELSE 12 END AS w FROM drawn WHERE u >= {cdf[0]!r}::DOUBLE)",
+        f"means AS (SELECT {keys} replicate, {', '.join(f'sum({m} * w) / sum(w) AS {m}' for m in metrics)} FROM weighted GROUP BY ALL)",
     ]
 
 
+def weights(source: str, metrics) -> list[str]:
+    return [f"vals AS ({source})", *weighted("", metrics), *interval(metrics)]
+
+
 def _breakdown() -> str:
     columns = avg6(*HEADLINE, *[f"random_{m}" for m in HEADLINE])
     dims = {"evidence_type": "evidence_type", "n_gold": "CASE WHEN n_gold < 3 THEN n_gold::VARCHAR ELSE '3+' END", "label_status": "label_status"}
@@ -305,6 +315,15 @@ def _breakdown() -> str:
         f"SELECT '{d}' AS dimension, {e} AS value, count(*) AS n, {columns} FROM results GROUP BY 2" for d, e in dims.items())
 
 
+def _run_rows() -> str:
+    params = f"CASE config_id WHEN 0 THEN '{PAGE.params_json}' ELSE '{CORPUS.params_json}' END"
+    columns = avg6("all_gold_at_5", "random_all_gold_at_5")
+    dims = {"all": "'all'", "evidence_type": "evidence_type", "n_gold": "CASE WHEN n_gold < 3 THEN n_gold::VARCHAR ELSE '3+' END", "label_status": "label_status"}
+    return " UNION ALL ".join(
+        f"SELECT {params} AS params_json, 'all' AS split, 'bm25' AS retriever, '{{\"documents\":0}}' AS silver_versions_json, '{d}' AS dimension, "
+        f"{e} AS value, count(*) AS n, {columns} FROM results GROUP BY config_id, {'1' if d == 'all' else e}" for d, e in dims.items())
+
+
 COMPARED = ("all_gold_at_5", "ndcg_at_10", "recall_at_3")
 _PAIRED = "SELECT question_id, " + ", ".join(f"p.{m} - c.{m} AS {m}" for m in COMPARED) + \
     " FROM results p JOIN results c USING (question_id) WHERE p.config_id = 0 AND c.config_id = 1"
@@ -315,22 +334,18 @@ def _compare() -> str:
             "best AS (SELECT config_id FROM results GROUP BY config_id ORDER BY round(avg(all_gold_at_5), 12) DESC, config_id LIMIT 1)",
             "vals AS (SELECT r.config_id, r.question_id, " + ", ".join(f"r.{m} - b.{m} AS {m}" for m in COMPARED) +
             " FROM results r JOIN results b USING (question_id) WHERE b.config_id = (SELECT config_id FROM best) AND r.config_id <> b.config_id)",
-            "numbered AS (SELECT *, dense_rank() OVER (ORDER BY question_id) - 1 AS row FROM vals)",
-            "size_ AS (SELECT count(DISTINCT question_id) AS n FROM vals)",
-            "slot_ AS (SELECT r.range AS replicate, s.s AS s, n FROM range(1000) r, (SELECT unnest(range(n)) AS s, n FROM size_) s)",
-            f"drawn AS (SELECT replicate, {draws(chr(39).join(['replicate || ', ':', ' || (s // 4)']), 's')} % n AS row FROM slot_)",
-            "means AS (SELECT config_id, replicate, " + ", ".join(f"avg({m}) AS {m}" for m in COMPARED) + " FROM drawn JOIN numbered USING (row) GROUP BY ALL)"]
+            *weighted("config_id,", COMPARED)]
     parts = " UNION ALL ".join(
         f"SELECT (SELECT config_id FROM best) AS best_config_id, config_id, '{m}' AS metric, "
         f"round((SELECT avg({m}) FROM vals v WHERE v.config_id = means.config_id), 6) AS diff, "
-        f"round(list_sort(list({m}))[{LOW}], 6) AS low, round(list_sort(list({m}))[{HIGH}], 6) AS high FROM means GROUP BY config_id" for m in COMPARED)
+        f"round({at(m, 0.025)}, 6) AS low, round({at(m, 0.975)}, 6) AS high FROM means GROUP BY config_id" for m in COMPARED)
     return with_(ctes, parts)
 
 
 def _report() -> str:
     head = "SELECT question_id, " + ", ".join(HEADLINE) + " FROM results"
     random = " UNION ALL ".join(f"SELECT '{m}' AS metric, avg(random_{m}) AS random FROM results" for m in HEADLINE)
-    return with_([*EVAL, *slots(head, HEADLINE), f"random_ AS ({random})"],
+    return with_([*EVAL, *weights(head, HEADLINE), f"random_ AS ({random})"],
                  f"SELECT metric, round(mean, 6) AS system, {r6('low', 'high', 'random')} FROM interval_ JOIN random_ USING (metric)")
 
 
@@ -339,7 +354,7 @@ _INTERVAL = f"SELECT metric, {r6('mean', 'low', 'high')} FROM interval_"
 
 DOCUMENTS = {
     "documents_profile": with_([DOCS], """SELECT d.doc AS doc_id, source AS ticker, CAST(n_chars AS INTEGER) AS fiscal_year, 'page_' || documents.doc_id AS page,
-documents.lang AS split, CAST(len(l) - 1 AS INTEGER) AS n_text_units, 0 AS n_table_rows FROM docs d JOIN documents ON documents.doc_id = number"""),
+documents.lang AS split, CAST(len(l) AS INTEGER) AS n_text_units, 0 AS n_table_rows FROM docs d JOIN documents ON documents.doc_id = number"""),
     "text_units": with_([DOCS], "SELECT doc_id, unit_id, position, text FROM units"),
     "page_dedupe": """WITH copies AS (SELECT sha256(text) AS page, source AS split, len(string_split(text, chr(10))) AS n,
 row_number() OVER (PARTITION BY text ORDER BY source, CAST(doc_id AS VARCHAR)) AS rn FROM documents)
@@ -356,11 +371,20 @@ md5(array_to_string(w, ' ')) AS token_hash FROM cut""",
     "page_sizes": with_(ONE, f"SELECT question_id, n, {r6('avgdl')} FROM sizes"),
     "corpus_term_df": with_(ONE, "SELECT term, df FROM all_df"),
     "bm25_page": with_(ONE, f"SELECT question_id, unit_id, {r6('score')} FROM scored"),
+    "bm25_train_corpus": with_([DOCS.replace("corpus AS (SELECT unit_id FROM units)", "corpus AS (SELECT unit_id FROM units JOIN docs ON doc = doc_id WHERE lang = 'en')")
+                               .replace("questions AS (SELECT", "questions AS (SELECT * FROM (SELECT") + " WHERE split <> 'en')", *scoring([CORPUS])],
+                               f"SELECT question_id, unit_id, {r6('score')} FROM scored"),
     "bm25_corpus": with_([DOCS, *scoring([CORPUS])], f"SELECT question_id, unit_id, {r6('score')} FROM scored"),
     "ranking_full": with_([*ONE, *RANKED], "SELECT question_id, unit_id, rank FROM ranked"),
     "ranking_top10": with_(EVAL, "SELECT question_id, top_unit_ids FROM results"),
-    "ranking_checks": with_([DOCS], """SELECT 'scored' AS "check", count(*) AS n FROM questions JOIN units USING (doc_id)
-UNION ALL SELECT 'gaps', 0 UNION ALL SELECT 'missing_gold', count(*) FROM gold WHERE unit_id NOT IN (SELECT unit_id FROM units)"""),
+    "ranking_checks": with_([DOCS, """pairs AS (SELECT *, contains(text, '|') AS bar FROM questions JOIN units USING (doc_id)),
+wrong AS (SELECT question_id, bool_or(bar OR position = 0) AS w FROM pairs GROUP BY 1)"""], """SELECT 'scored' AS "check", count(*) AS n FROM pairs
+UNION ALL SELECT 'whole_gaps', count(*) FROM pairs WHERE unit_id IS NULL
+UNION ALL SELECT 'whole_rankings', count(*) FROM questions WHERE question_id NOT IN (SELECT question_id FROM pairs)
+UNION ALL SELECT 'whole_missing_gold', count(*) FROM gold WHERE unit_id NOT IN (SELECT unit_id FROM units)
+UNION ALL SELECT 'broken_gaps', (SELECT count(*) FROM pairs WHERE bar OR position = 0) + (SELECT count(*) FROM questions)
+UNION ALL SELECT 'broken_rankings', count(*) FROM wrong WHERE w
+UNION ALL SELECT 'broken_missing_gold', count(*) FROM questions"""),
     "gold_ranks": with_(EVAL, "SELECT question_id, n_candidates, gold_ranks FROM results"),
     "rank_metrics": with_(EVAL, f"SELECT question_id, {r6(*METRICS)} FROM results"),
     "expected_random": with_(EVAL, f"SELECT question_id, n_candidates, n_gold, {r6(*RANDOM)} FROM results"),
@@ -369,11 +393,15 @@ UNION ALL SELECT 'gaps', 0 UNION ALL SELECT 'missing_gold', count(*) FROM gold W
     "run_summary": with_(EVAL, f"SELECT count(*) AS n_questions, {avg6(*METRICS, *RANDOM)} FROM results"),
     "breakdown": with_(EVAL, _breakdown()),
     "grid_summary": with_(EVAL_GRID, f"SELECT config_id, count(*) AS n_questions, {avg6('all_gold_at_5', 'recall_at_5', 'rr', 'ndcg_at_10')} FROM results GROUP BY config_id"),
-    "bootstrap_ci": with_([*EVAL, *slots(_HEAD, HEADLINE)], _INTERVAL),
+    "bootstrap_ci": with_([*EVAL, *weights(_HEAD, HEADLINE)], _INTERVAL),
     "bootstrap_weights": with_([*EVAL, *weights(_HEAD, HEADLINE)], _INTERVAL),
-    "paired_bootstrap": with_([*EVAL_TWO, *slots(_PAIRED, COMPARED)], _INTERVAL),
+    "paired_bootstrap": with_([*EVAL_TWO, *weights(_PAIRED, COMPARED)], _INTERVAL),
     "compare_to_best": _compare(),
     "report": _report(),
+    "order_rank_metrics": with_(EVAL_ORDERS, f"SELECT question_id, {r6(*METRICS)} FROM results"),
+    "order_question_results": with_(EVAL_ORDERS, f"""SELECT question_id, doc_id, split, evidence_type, label_status, n_candidates, n_gold, gold_ranks, top_unit_ids,
+{r6('rr', 'ndcg_at_10', 'random_rr')} FROM results"""),
+    "run_rows": with_(EVAL_TWO, _run_rows()),
     "conversation_metrics": with_(EVAL_TURNS, f"SELECT question_id, evidence_type, label_status, n_candidates, n_gold, gold_ranks, {r6(*METRICS)} FROM results"),
     "conversation_summary": with_(EVAL_TURNS, f"SELECT count(*) AS n_questions, {avg6(*METRICS, *RANDOM)} FROM results"),
 }

@@ -15,10 +15,11 @@ from evalspark.functions.programs import evaluate_programs
 from evalspark.functions.text import tokenize, tokens
 from evalspark.operators import bm25, bootstrap, quality, ranking, silver
 from evalspark.plans import evaluation
-from evalspark.scratch import materialize, scratch_root
+from evalspark.scratch import materialize, new_folder
+from evalspark.sinks import tables
 from evalspark.sinks.tables import upsert
 from evalspark.sources import standins
-from evalspark.sources.bronze import file_manifest, read_bronze
+from evalspark.sources.bronze import manifest_rows, read_bronze
 from evalspark.sources.tables import units_of_split
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,15 +78,45 @@ def train_units(spark, sf_dir):
 
 
 def json_round_trip(spark, sf_dir):
-    """Records written as JSON lines and read back through the raw schema."""
-    path = f"{scratch_root(spark)}/evalspark/json-{uuid.uuid4().hex}"
+    """Records written as JSON lines and read back through the raw schema, with their lineage."""
+    path = new_folder(spark, "json")
     standins.order_records(spark, sf_dir).drop("split").write.json(path)
     bronze = read_bronze(spark, path, "c0ffee", "run-1", one_array_per_file=False)
     return silver.documents(bronze).drop("split")
 
 
+def json_lineage(spark, sf_dir):
+    """The lineage of the same records; Spark's own file names are no split names, so the split is empty."""
+    path = new_folder(spark, "json")
+    standins.order_records(spark, sf_dir).drop("split").write.json(path)
+    bronze = read_bronze(spark, path, "c0ffee", "run-1", one_array_per_file=False)
+    return bronze.select("id", "filename", "split", "_source_commit", "_run_id",
+                         F.col("_source_file").endswith(".json").alias("from_json"), F.col("_ingested_at").isNotNull().alias("stamped"))
+
+
+def table_writes(spark, sf_dir):
+    """Orders written as a table, appended to, merged into twice and read back, flat and partitioned."""
+    name = f"writes_{uuid.uuid4().hex}"
+    tables.create_layers(spark)
+    orders = standins.load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    changed = orders.filter("o_orderstatus != 'F'").withColumn("o_totalprice", F.round(F.col("o_totalprice") * 2, 2))
+    out = []
+    for shape, by in (("flat", []), ("partitioned", ["o_orderstatus"])):
+        table = f"bronze.{name}_{shape}"
+        written = tables.write_table(orders.filter("o_orderstatus = 'F'"), table, by)
+        added = tables.append_table(orders.filter("o_orderstatus = 'P'"), table)
+        for _ in range(2):
+            tables.merge_into(changed, table, ["o_orderkey"])
+        out.append(spark.table(table).select(
+            F.lit(shape).alias("shape"), "o_orderkey", "o_totalprice", "o_orderstatus", F.lit(written).alias("written"),
+            F.lit(added).alias("added"), F.lit(tables.table_version(spark, table)).alias("version")))
+    return out[0].unionByName(out[1])
+
+
 def manifest(spark, sf_dir):
-    return file_manifest(spark, sf_dir, "c0ffee", kind="parquet").drop("ingested_at")
+    """Pages as the files of a manifest, by url and content."""
+    pages = standins.load(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").alias("content"))
+    return manifest_rows(pages, "c0ffee", kind="html").drop("ingested_at")
 
 
 def upsert_orders(spark, sf_dir):
@@ -138,6 +169,12 @@ def program_arith(spark, sf_dir):
         F.lit("multiply("), p, F.lit(", "), d, F.lit("), subtract("), p, F.lit(", #0), multiply(#1, "), t, F.lit("), add(#1, #2)")))
 
 
+def program_overflow(spark, sf_dir):
+    """A power that leaves the range of doubles, for prices above 10."""
+    price = standins.fixed(F.col("l_extendedprice"))
+    return _line_programs(spark, sf_dir, F.concat(F.lit("exp("), price, F.lit(", 100), exp("), price, F.lit(", 0), multiply(#0, #0)")))
+
+
 def program_greater(spark, sf_dir):
     return _line_programs(spark, sf_dir, F.concat(
         F.lit("divide("), standins.fixed(F.col("l_extendedprice")), F.lit(", "), standins.fixed(F.col("l_quantity")),
@@ -240,11 +277,6 @@ def _units_and_questions(spark, sf_dir):
     return standins.document_units(spark, sf_dir), materialize(standins.document_questions(spark, sf_dir), "questions")
 
 
-def _stems(spark, sf_dir):
-    words = standins.vocabulary(standins.spread(standins.load(spark, sf_dir, "documents")))
-    return materialize(standins.stem_table(words), "stems")
-
-
 def stem_map(spark, sf_dir):
     words = standins.vocabulary(standins.spread(standins.load(spark, sf_dir, "documents")))
     return standins.stem_table(words)
@@ -273,6 +305,13 @@ def bm25_page(spark, sf_dir):
     return _rounded(bm25.bm25_scores(asked, units, [PAGE]).drop("config_id"))
 
 
+def bm25_train_corpus(spark, sf_dir):
+    """Questions of the other languages; document frequencies come from English pages, so many of their terms have none."""
+    units, asked = _units_and_questions(spark, sf_dir)
+    corpus = units_of_split(units, silver.documents(standins.document_pages(spark, sf_dir).withColumn("id", F.lit("1"))), "en")
+    return _rounded(bm25.bm25_scores(asked.filter("split != 'en'"), units, [CORPUS], corpus=corpus).drop("config_id"))
+
+
 def bm25_corpus(spark, sf_dir):
     units, asked = _units_and_questions(spark, sf_dir)
     return _rounded(bm25.bm25_scores(asked, units, [CORPUS], corpus=units).drop("config_id"))
@@ -290,13 +329,26 @@ def ranking_top10(spark, sf_dir):
 
 
 def ranking_checks(spark, sf_dir):
-    """Rows that break a rule: gold outside the candidates, rankings that are not the candidate set."""
+    """Rows that break a rule, for the scores as they are and after they were broken: units with a bar lost, first lines scored twice, a
+    foreign unit for each question, and a gold unit that no page has for each question."""
     units, asked = _units_and_questions(spark, sf_dir)
     scored = materialize(bm25.bm25_scores(asked, units, [PAGE]), "scores")
-    gaps = ranking.ranking_gaps(scored, asked, units)
-    missing = ranking.missing_gold(asked, units)
+    placed = scored.join(units.select("unit_id", "position", "text"), "unit_id").filter(~F.contains("text", F.lit("|")))
+    once = placed.select(*scored.columns)
+    twice = placed.filter("position = 0").select(*scored.columns)
+    foreign = asked.select(F.lit(0).alias("config_id"), "question_id", F.concat("doc_id", F.lit("#foreign")).alias("unit_id"), F.lit(1.0).alias("score"))
+    broken = once.unionByName(twice).unionByName(foreign)
+    lost = asked.withColumn("gold_unit_ids", F.array_append("gold_unit_ids", F.concat("doc_id", F.lit("#lost"))))
     count = lambda name, df: df.agg(F.lit(name).alias("check"), F.count("*").alias("n"))
-    return count("scored", scored).unionByName(count("gaps", gaps)).unionByName(count("missing_gold", missing))
+    parts = [count("scored", scored)]
+    for name, scores, questions in (("whole", scored, asked), ("broken", broken, lost)):
+        parts += [count(f"{name}_gaps", ranking.ranking_gaps(scores, asked, units, [0])),
+                  count(f"{name}_rankings", ranking.incomplete_rankings(scores, asked, units, [0])),
+                  count(f"{name}_missing_gold", ranking.missing_gold(questions, units))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def gold_ranks(spark, sf_dir):
@@ -306,9 +358,28 @@ def gold_ranks(spark, sf_dir):
         "question_id", "n_candidates", F.array_join("gold_ranks", ";").alias("gold_ranks"))
 
 
-def _results(spark, sf_dir, configs=(PAGE,), stems=None):
+def _results(spark, sf_dir, configs=(PAGE,), stem=None):
     units, asked = _units_and_questions(spark, sf_dir)
-    return evaluation.evaluate(bm25.bm25_retriever(configs, corpus=units, stems=stems), asked, units)
+    return evaluation.evaluate(bm25.bm25_retriever(configs, corpus=units, stems=stem), asked, units, config_ids=range(len(configs)))
+
+
+def _order_results(spark, sf_dir):
+    """Up to seven questions on each order's page, over its sentences and table rows. Lines with the same key ask one question."""
+    bronze = standins.order_records(spark, sf_dir)
+    once = F.min(F.struct("evidence_type", "label_status", "doc_id", "split", "question", "gold_unit_ids")).alias("q")
+    asked = materialize(silver.questions(bronze).groupBy("question_id").agg(once).select("question_id", "q.*"), "questions")
+    return evaluation.evaluate(bm25.bm25_retriever([PAGE]), asked, materialize(silver.evidence_units(bronze), "units"))
+
+
+def order_rank_metrics(spark, sf_dir):
+    return _rounded(_order_results(spark, sf_dir).select("question_id", *METRICS))
+
+
+def order_question_results(spark, sf_dir):
+    return _rounded(_order_results(spark, sf_dir).select(
+        "question_id", "doc_id", "split", "evidence_type", "label_status", "n_candidates", "n_gold",
+        F.array_join("gold_ranks", ";").alias("gold_ranks"), F.array_join("top_unit_ids", ";").alias("top_unit_ids"),
+        "rr", "ndcg_at_10", "random_rr"))
 
 
 def rank_metrics(spark, sf_dir):
@@ -336,19 +407,19 @@ def breakdown(spark, sf_dir):
 
 
 def grid_summary(spark, sf_dir):
-    results = _results(spark, sf_dir, GRID, _stems(spark, sf_dir))
+    results = _results(spark, sf_dir, GRID, standins.plural_stem)
     means = evaluation.run_means(results).select("config_id", "n_questions", "all_gold_at_5", "recall_at_5", "rr", "ndcg_at_10")
     return _rounded(means)
 
 
 def bootstrap_ci(spark, sf_dir):
     results = materialize(_results(spark, sf_dir), "results")
-    return _rounded(bootstrap.bootstrap_ci(results, "question_id", HEADLINE, method="slots"))
+    return _rounded(bootstrap.bootstrap_ci(results, "question_id", HEADLINE))
 
 
 def bootstrap_weights(spark, sf_dir):
     results = materialize(_results(spark, sf_dir), "results")
-    return _rounded(bootstrap.bootstrap_ci(results, "question_id", HEADLINE, method="weights"))
+    return _rounded(bootstrap.bootstrap_ci(results, "question_id", HEADLINE))
 
 
 def paired_bootstrap(spark, sf_dir):
@@ -359,8 +430,8 @@ def paired_bootstrap(spark, sf_dir):
 
 
 def compare_to_best(spark, sf_dir):
-    results = materialize(_results(spark, sf_dir, GRID, _stems(spark, sf_dir)), "results")
-    return _rounded(evaluation.compare_to_best(results))
+    results = materialize(_results(spark, sf_dir, GRID, standins.plural_stem), "results")
+    return _rounded(evaluation.compare_to_best(results, config_ids=range(len(GRID))))
 
 
 def report(spark, sf_dir):
@@ -369,10 +440,21 @@ def report(spark, sf_dir):
 
 
 def run_rows(spark, sf_dir):
+    """The run rows, flattened: per configuration the summary, and every group of the breakdown from its JSON."""
     results = materialize(_results(spark, sf_dir, (PAGE, CORPUS)), "results")
     runs = evaluation.build_runs(results, [c.params_json for c in (PAGE, CORPUS)], "all", "bm25", {"documents": 0})
-    return runs.select("params_json", "n_questions", F.round(F.col("summary").getItem("all_gold@5"), 6).alias("all_gold_at_5"),
-                       F.round(F.col("random_summary").getItem("all_gold@5"), 6).alias("random_all_gold_at_5"), "breakdown_json")
+    group = "map<string, struct<n: bigint, system: map<string, double>, random: map<string, double>>>"
+    parsed = runs.withColumn("b", F.from_json("breakdown_json", "struct<" + ", ".join(f"{d}: {group}" for d in evaluation.DIMENSIONS) + ">"))
+    whole = F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value"), F.col("n_questions").alias("n"),
+                     F.col("summary")["all_gold@5"].alias("all_gold_at_5"), F.col("random_summary")["all_gold@5"].alias("random_all_gold_at_5"))
+
+    def groups(d: str):
+        return F.transform(F.map_entries(F.col(f"b.{d}")), lambda e: F.struct(
+            F.lit(d).alias("dimension"), e["key"].alias("value"), e["value"]["n"].alias("n"),
+            e["value"]["system"]["all_gold@5"].alias("all_gold_at_5"), e["value"]["random"]["all_gold@5"].alias("random_all_gold_at_5")))
+
+    rows = parsed.select("params_json", "split", "retriever", "silver_versions_json", F.inline(F.concat(F.array(whole), *map(groups, evaluation.DIMENSIONS))))
+    return _rounded(rows)
 
 
 def conversation_metrics(spark, sf_dir):
@@ -394,14 +476,15 @@ QUERIES: dict[str, Query] = {
     "documents_profile": documents_profile, "order_documents": order_documents, "text_units": text_units,
     "table_row_units": table_row_units, "units_union": units_union, "page_dedupe": page_dedupe,
     "evidence_type": evidence_type, "train_units": train_units, "json_round_trip": json_round_trip,
-    "file_manifest": manifest, "upsert": upsert_orders,
+    "json_lineage": json_lineage, "file_manifest": manifest, "upsert": upsert_orders, "table_writes": table_writes,
     "parse_numbers": parse_numbers, "program_values": program_values, "program_errors": program_errors,
-    "program_arith": program_arith, "program_greater": program_greater, "program_table_ops": program_table_ops,
+    "program_arith": program_arith, "program_overflow": program_overflow, "program_greater": program_greater, "program_table_ops": program_table_ops,
     "numbers_match": numbers_match_query, "label_status": label_status, "questions": questions,
     "quality_metrics": quality_metrics, "quality_gate": quality_gate, "status_histogram": status_histogram,
     "split_leak": split_leak, "duplicate_keys": duplicate_texts, "quality_report": quality_report, "audit_counts": audit_counts,
     "tokens": tokens_query, "stem_map": stem_map, "page_term_df": page_term_df, "page_sizes": page_sizes,
     "corpus_term_df": corpus_term_df, "bm25_page": bm25_page, "bm25_corpus": bm25_corpus,
+    "bm25_train_corpus": bm25_train_corpus, "order_rank_metrics": order_rank_metrics, "order_question_results": order_question_results,
     "ranking_full": ranking_full, "ranking_top10": ranking_top10, "ranking_checks": ranking_checks,
     "gold_ranks": gold_ranks, "rank_metrics": rank_metrics, "expected_random": expected_random,
     "question_results": question_results, "run_summary": run_summary, "breakdown": breakdown,

@@ -8,13 +8,14 @@ nothing is grouped into arrays that grows with a key.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalspark.functions.text import tokens
+from evalspark.functions.text import let, tokenize, tokens
 from evalspark.operators.silver import text_units
 
-# Scans with fewer partitions than this many tasks are spread; larger ones are left as they are.
-MAX_SPREAD = 200
+# Set by a caller whose input is a few small files, to give their rows to all cores.
+INPUT_PARTITIONS = "spark.evalspark.inputPartitions"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +23,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan of very few splits to all cores. A scan that already has enough is not shuffled."""
-    tasks = min(df.sparkSession.sparkContext.defaultParallelism, MAX_SPREAD)
-    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+    """The scan as it is, or dealt over as many partitions as the session's setting says."""
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def fixed(x: Column, digits: int = 2) -> Column:
@@ -120,12 +121,11 @@ def _document_name() -> Column:
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page per document: its first line is the question, the lines after it are the text units."""
-    lines = F.split("text", "\n")
+    """One page per document, its lines are the text units."""
     return spread(load(spark, sf_dir, "documents")).select(
         _document_name().alias("filename"),
         F.col("lang").alias("split"),
-        F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))).alias("pre_text"),
+        F.split("text", "\n").alias("pre_text"),
         F.array().cast("array<string>").alias("post_text"),
         F.array().cast("array<array<string>>").alias("table"),
     )
@@ -136,27 +136,25 @@ def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_units(document_pages(spark, sf_dir)).select("doc_id", "unit_id", "position", "text")
 
 
-GOLD_LINES = 3
-
-
 def document_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which lines follow this first line? Gold is the next three lines, or as many as there are.
+    """Which later lines speak of what the first line says? Gold are all lines after the first that share a term with it.
 
-    Documents of a single line ask nothing. The evidence type says whether gold lines are table-like,
+    Documents without such a line ask nothing. The evidence type says whether gold lines are table-like,
     the label status comes from ``labels``.
     """
     lines = F.split("text", "\n")
+    numbered = F.filter(F.transform("lines", lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: x["i"] > 0)
+    gold = let(tokenize(F.get("lines", F.lit(0))), lambda terms: F.filter(
+        numbered, lambda x: F.arrays_overlap(tokenize(x["t"]), terms)))
     docs = spread(load(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("number"), _document_name().alias("doc_id"), F.col("lang").alias("split"), lines.alias("lines"),
-    ).filter(F.size("lines") > 1)
+    ).select("number", "doc_id", "split", F.get("lines", F.lit(0)).alias("question"), gold.alias("gold")).filter(F.size("gold") > 0)
     labels = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("number"), "quality", "toxic")
-    gold = F.slice("lines", 2, GOLD_LINES)
-    table_like = F.exists(gold, lambda t: F.contains(t, F.lit("|")))
-    plain = F.exists(gold, lambda t: ~F.contains(t, F.lit("|")))
+    table_like = F.exists("gold", lambda x: F.contains(x["t"], F.lit("|")))
+    plain = F.exists("gold", lambda x: ~F.contains(x["t"], F.lit("|")))
     return docs.join(labels, "number", "left").select(
-        F.concat("doc_id", F.lit("-1")).alias("question_id"), "doc_id", "split",
-        F.get("lines", F.lit(0)).alias("question"),
-        F.transform(gold, lambda t, i: F.concat("doc_id", F.lit("#text_"), i)).alias("gold_unit_ids"),
+        F.concat("doc_id", F.lit("-1")).alias("question_id"), "doc_id", "split", "question",
+        F.transform("gold", lambda x: F.concat("doc_id", F.lit("#text_"), x["i"])).alias("gold_unit_ids"),
         F.when(table_like & plain, "table+text").when(table_like, "table").otherwise("text").alias("evidence_type"),
         F.when(F.col("toxic") == 1, "boolean").when(F.col("quality") == 1, "consistent")
         .when(F.col("quality") == 0, "conflict").otherwise("non_numeric").alias("label_status"),
@@ -165,45 +163,31 @@ def document_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------- conversations: pages of turns ----------
 
-ANSWER_TURNS = 6
-
-
-def _opening_turns(turns: DataFrame) -> DataFrame:
-    return turns.filter(F.col("role") == "user").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("q"))
-
-
-def _turn_id(turn: str) -> Column:
-    return F.concat(F.col("conv_id"), F.lit("#text_"), F.col(turn))
-
-
 def conversation_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, unit_id, text): every turn but the one that asks. One question per conversation keeps the
-    number of question-candidate pairs at the number of turns."""
-    turns = load(spark, sf_dir, "conversations")
-    asking = _opening_turns(turns).select("conv_id", F.col("q.turn").alias("turn"))
-    return spread(turns).join(asking, ["conv_id", "turn"], "left_anti").select(
-        F.col("conv_id").cast("string").alias("doc_id"), _turn_id("turn").alias("unit_id"), "text")
+    """(doc_id, unit_id, text): every turn."""
+    return spread(load(spark, sf_dir, "conversations")).select(
+        F.col("conv_id").cast("string").alias("doc_id"), F.concat("conv_id", F.lit("#text_"), "turn").alias("unit_id"), "text")
 
 
 def conversation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first user turn asks; the assistant turns among the next six are gold."""
-    turns = load(spark, sf_dir, "conversations")
-    opening = _opening_turns(turns)
-    replies = (
-        turns.filter(F.col("role") == "assistant").join(opening, "conv_id")
-        .filter(F.col("turn").between(F.col("q.turn") + 1, F.col("q.turn") + ANSWER_TURNS))
-        .groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("gold"))
+    """Every user turn asks; the assistant turns before the next user turn are gold. Turns without an answer ask nothing."""
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    so_far = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
+    exchanges = (
+        load(spark, sf_dir, "conversations").withColumn("q", F.sum(user.cast("int")).over(so_far)).filter("q > 0")
+        .groupBy("conv_id", "q").agg(
+            F.min(F.when(user, F.struct("turn", "text"))).alias("asked"),
+            F.array_sort(F.collect_list(F.when(assistant, F.col("turn")))).alias("gold"),
+            F.max(F.struct("turn", "role"))["role"].alias("last"))
     )
-    ends = turns.groupBy("conv_id").agg(
-        F.max(F.col("role") == "system").alias("has_system"), F.max(F.struct("turn", "role")).alias("last"))
-    return opening.join(replies, "conv_id").join(ends, "conv_id").select(
-        F.concat("conv_id", F.lit("-"), "q.turn").alias("question_id"),
+    return exchanges.filter(F.size("gold") > 0).select(
+        F.concat("conv_id", F.lit("-"), "asked.turn").alias("question_id"),
         F.col("conv_id").cast("string").alias("doc_id"),
         F.lit("test").alias("split"),
-        F.col("q.text").alias("question"),
+        F.col("asked.text").alias("question"),
         F.transform("gold", lambda t: F.concat("conv_id", F.lit("#text_"), t)).alias("gold_unit_ids"),
-        F.when(F.col("has_system"), "table+text").otherwise("text").alias("evidence_type"),
-        F.when(F.col("last.role") == "assistant", "consistent").otherwise("conflict").alias("label_status"),
+        F.when(F.size("gold") > 1, "table+text").otherwise("text").alias("evidence_type"),
+        F.when(F.col("last") == "assistant", "consistent").otherwise("conflict").alias("label_status"),
     )
 
 
