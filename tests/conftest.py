@@ -14,6 +14,7 @@ def spark(tmp_path_factory):
         "tests", master="local[8]", shuffle_partitions=4,
         **{
             "spark.ui.enabled": "false",
+            "spark.evalspark.inputPartitions": "4",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         },

@@ -9,20 +9,20 @@ from evalspark.functions.labels import audit_labels, classify_labels
 from evalspark.functions.numbers import double_text, numbers_match, parse_cell, parse_number
 from evalspark.functions.programs import evaluate_programs
 
-QUARTERS = [
-    ["2014", "high", "low"],
-    ["first quarter", "$ 62.42", "$ 54.10"],
-    ["revenue", "$ 1,200", "$ -300 ( 300 )"],
-    ["margin", "12.5%", "n/a"],
-    ["notes", "n/a", "-"],
-    ["2013", "high", "low"],
-    ["First Quarter ", "$ 38.02", "$ 34.19"],
+CATCH = [
+    ["north", "trawlers", "boats"],
+    ["spring", "$ 71.25", "$ 63.5"],
+    ["landed", "$ 8,050", "$ -45 ( 45 )"],
+    ["share", "37.5%", "none"],
+    ["remarks", "see below", "-"],
+    ["south", "trawlers", "boats"],
+    ["Spring ", "$ 19.75", "$ 22.4"],
     [],
 ]
 SCHEMA = "program string, table array<array<string>>"
 
 
-def run(spark, programs, table=QUARTERS):
+def run(spark, programs, table=CATCH):
     df = spark.createDataFrame([(p, table) for p in programs], SCHEMA)
     rows = evaluate_programs(df, "program", "table").collect()
     return {r["program"]: r for r in rows}
@@ -30,22 +30,21 @@ def run(spark, programs, table=QUARTERS):
 
 def test_values(spark):
     cases = {
-        "subtract(2.90, 2.60), divide(#0, 2.60)": (2.90 - 2.60) / 2.60,
-        "divide(3.8, 1%)": 380.0,
-        "multiply(const_100, const_1)": 100.0,
-        "multiply(const_m1, const_1)": -1.0,
-        "multiply(const_1000000, const_1)": 1e6,
-        "subtract(-23158, 6427)": -29585.0,
-        "divide(const_1, const_5), exp(2, #0)": 2**0.2,
-        "table_sum(revenue, none)": 900.0,
-        "table_max(first quarter, none)": 38.02,
-        "table_min(first quarter, none)": 34.19,
-        "table_average(revenue, none)": 450.0,
-        "table_max(margin, none)": 0.125,
-        "add(1, 2), EOF": 3.0,
-        "  add($ 1,2 ), ": 3.0,
-        "add(1_000, 1e3)": 2000.0,
-        "table_max(revenue, none), divide(#0, const_100)": 12.0,
+        "subtract(7.25, 5.75), divide(#0, 5.75)": (7.25 - 5.75) / 5.75,
+        "divide(4.2, 3%)": 4.2 / (3 / 100),
+        "multiply(const_1000, const_3)": 3000.0,
+        "multiply(const_m1, 6)": -6.0,
+        "subtract(-811, 94)": -905.0,
+        "divide(const_1, const_4), exp(81, #0)": 3.0,
+        "table_sum(landed, none)": 8005.0,
+        "table_max(spring, none)": 22.4,
+        "table_min(spring, none)": 19.75,
+        "table_average(landed, none)": 4002.5,
+        "table_max(share, none)": 0.375,
+        "add(8, 9), EOF": 17.0,
+        "  add($ 6,5 ), ": 11.0,
+        "add(2_500, 4e2)": 2900.0,
+        "table_max(landed, none), divide(#0, const_100)": 80.5,
     }
     got = run(spark, list(cases))
     for program, value in cases.items():
@@ -55,60 +54,60 @@ def test_values(spark):
 
 
 def test_trace_and_warning(spark):
-    got = run(spark, ["subtract(5, 3), greater(#0, 1)", "table_max(first quarter, none)"])
-    row = got["subtract(5, 3), greater(#0, 1)"]
-    assert row["step_values"] == ["2.0", "yes"]
-    assert run(spark, ["add(1, 2), divide(#0, 0), add(#1, 1)"]).popitem()[1]["step_values"] == ["3.0"]
+    got = run(spark, ["subtract(9, 4), greater(#0, 3)", "table_min(spring, none)"])
+    row = got["subtract(9, 4), greater(#0, 3)"]
+    assert row["step_values"] == ["5.0", "yes"]
+    assert run(spark, ["add(4, 3), divide(#0, 0), add(#1, 6)"]).popitem()[1]["step_values"] == ["7.0"]
     assert row["value_text"] == "yes" and row["value_num"] is None
-    assert got["table_max(first quarter, none)"]["warnings"] == ["ambiguous_row:first quarter:2_matches"]
+    assert got["table_min(spring, none)"]["warnings"] == ["ambiguous_row:spring:2_matches"]
 
 
 def test_error_names(spark):
     cases = {
-        "": "no_steps",
-        "add(1)": "arity",
-        "add(1, 2, 3)": "arity",
-        "foo(1, 2)": "unknown_op",
-        "add(1, 2) garbage": "junk",
-        "divide(1, 0)": "division_by_zero",
-        "add(#1, 2)": "forward_reference",
-        "add(#0, 2)": "forward_reference",
-        "add(1, 2), add(#-1, 1)": "bad_reference",
-        "add(1, 2), add(#x, 1)": "bad_reference",
-        "greater(5, 3), add(#0, 1)": "boolean_reference",
-        "add(const_x, 1)": "bad_constant",
-        "add(one, 1)": "not_a_number",
-        "add(5d, 1)": "not_a_number",
-        "table_max(missing, none)": "row_not_found",
-        "table_sum(notes, none)": "no_numeric_cells",
-        "exp(0, -1)": "non_finite",
-        "exp(10, 400)": "non_finite",
-        "exp(-8, 0.33)": "non_finite",
+        " ": "no_steps",
+        "subtract(8)": "arity",
+        "multiply(4, 5, 6)": "arity",
+        "modulo(9, 4)": "unknown_op",
+        "divide(9, 4) and so on": "junk",
+        "divide(6, 0)": "division_by_zero",
+        "multiply(#2, 3)": "forward_reference",
+        "subtract(#0, 7)": "forward_reference",
+        "add(3, 4), add(#-1, 5)": "bad_reference",
+        "add(3, 4), add(#y, 5)": "bad_reference",
+        "greater(8, 6), multiply(#0, 2)": "boolean_reference",
+        "add(const_many, 4)": "bad_constant",
+        "add(seven, 4)": "not_a_number",
+        "add(7f, 4)": "not_a_number",
+        "table_max(autumn, none)": "row_not_found",
+        "table_sum(remarks, none)": "no_numeric_cells",
+        "exp(0, -3)": "non_finite",
+        "exp(12, 390)": "non_finite",
+        "exp(-5, 0.4)": "non_finite",
         # the first failing step decides, argument one before argument two
-        "add(1, 2), divide(#0, 0), add(x, y)": "division_by_zero",
-        "add(#3, x)": "forward_reference",
-        "foo(1, 2), add(1)": "unknown_op",
+        "add(3, 4), divide(#0, 0), add(p, q)": "division_by_zero",
+        "add(#5, p)": "forward_reference",
+        "modulo(3, 4), add(6)": "unknown_op",
     }
     got = run(spark, list(cases))
     assert {p: got[p]["program_err"] for p in cases} == cases
     assert all(r["value_text"] is None for r in got.values())
-    assert run(spark, ["table_max(revenue, none)"], None)["table_max(revenue, none)"]["program_err"] == "no_table"
-    assert run(spark, ["table_max(revenue, none)"], [])["table_max(revenue, none)"]["program_err"] == "no_table"
+    assert run(spark, ["table_max(landed, none)"], None)["table_max(landed, none)"]["program_err"] == "no_table"
+    assert run(spark, ["table_max(landed, none)"], [])["table_max(landed, none)"]["program_err"] == "no_table"
 
 
 def test_cells_and_literals(spark):
     df = spark.createDataFrame(
-        [("$ -23158 ( 23158 )",), ("12.5%",), ("n/a",), ("$ 1,234.5 %",), (" 7 ",), ("5%",), ("",), ("1e3",)], "c string")
+        [("$ -4096 ( 4096 )",), ("37.5%",), ("none",), ("$ 8,765.5 %",), (" 6 ",), ("4%",), ("",), ("3e2",)], "c string")
     rows = df.select("c", parse_cell(F.col("c")).alias("cell"), parse_number(F.col("c")).alias("num")).collect()
     got = {r["c"]: (r["cell"], r["num"]) for r in rows}
-    assert got["$ -23158 ( 23158 )"] == (-23158.0, None)
-    assert got["12.5%"] == (0.125, 0.125)
-    assert got["n/a"] == (None, None)
-    assert got["$ 1,234.5 %"] == (12.345, 12.345)
-    assert got[" 7 "] == (7.0, 7.0)
-    assert got["5%"] == (0.05, 0.05)
+    assert got["$ -4096 ( 4096 )"] == (-4096.0, None)
+    assert got["37.5%"] == (0.375, 0.375)
+    assert got["none"] == (None, None)
+    assert got["$ 8,765.5 %"] == (87.655, 87.655)
+    assert got[" 6 "] == (6.0, 6.0)
+    assert got["4%"] == (0.04, 0.04)
     assert got[""] == (None, None)
-    assert got["1e3"] == (1.0, 1000.0)
+    assert got["3e2"] == (3.0, 300.0)
 
 
 def test_percent_scale_is_opt_in(spark):
@@ -127,27 +126,27 @@ def test_percent_scale_is_opt_in(spark):
 
 
 def test_label_classes(spark):
-    cases = [("14.1%", "0.14099", "consistent"), ("7%", "0.07157", "rounding"), ("380", "3.8", "conflict"),
-             ("yes", "yes", "boolean"), ("n/a", "1.0", "non_numeric"), ("12%", "12", "consistent"),
-             ("", "1", "non_numeric"), ("$ 1,000", "1e3", "consistent")]
+    cases = [("26.3%", "0.26302", "consistent"), ("9%", "0.09198", "rounding"), ("640", "6.4", "conflict"),
+             ("no", "no", "boolean"), ("unknown", "2.0", "non_numeric"), ("31%", "31", "consistent"),
+             ("", "4", "non_numeric"), ("$ 5,000", "5e3", "consistent")]
     df = spark.createDataFrame(cases, "answer string, exe_ans string, want string")
     for r in classify_labels(df, "answer", "exe_ans").collect():
         assert r["label_status"] == r["want"], r
 
 
 def test_audit_agreement(spark):
-    rows = [("subtract(79.41, 57.92), divide(#0, 57.92)", "0.37103", "37.1%"),
-            ("greater(5, 3)", "yes", "yes"), ("add(1, 1)", "3", "2"), ("add(1)", "2", "2")]
+    rows = [("subtract(7.25, 5.75), divide(#0, 5.75)", "0.26087", "26.1%"),
+            ("greater(8, 6)", "yes", "yes"), ("add(2, 2)", "7", "4"), ("add(6)", "6", "6")]
     df = spark.createDataFrame([(p, None, e, a) for p, e, a in rows],
                                "program string, table array<array<string>>, exe_ans string, answer string")
     got = [(r["executor_matches_gold"], r["label_status"], r["gold_exe_ans"])
            for r in audit_labels(df, "program", "table", "exe_ans", "answer").collect()]
-    assert got == [(True, "consistent", "0.37103"), (True, "boolean", "yes"),
-                   (False, "conflict", "3.0"), (False, "consistent", "2.0")]
+    assert got == [(True, "consistent", "0.26087"), (True, "boolean", "yes"),
+                   (False, "conflict", "7.0"), (False, "consistent", "6.0")]
 
 
 def test_double_text_is_one_rendering(spark):
-    values = [0.0, -0.0, 1.0, 1e-4, 9.9e-5, 1e-5, 123456789.125, 2.13247004e8, 1e15, 1e16, 1.5e16, -2.5e-7, 0.1 + 0.2,
+    values = [0.0, -0.0, 1.0, 1e-4, 9.9e-5, 1e-5, 123456789.125, 7.7001e8, 1e15, 1e16, 1.5e16, -2.5e-7, 0.1 + 0.2,
               1 / 3, 1e22, 1e-300, 9007199254740993.0, float("inf"), float("nan")]
     df = spark.createDataFrame([(json.dumps(i), v) for i, v in enumerate(values)], "i string, x double")
     got = {r["i"]: r["t"] for r in df.select("i", double_text(F.col("x")).alias("t")).collect()}
