@@ -30,10 +30,10 @@ from evalspark.llm.vocab import LONGEST
 from evalspark.scratch import materialize
 
 PER_LANG = 4_000
-WORDS, GRAMS, LENGTHS = 30_000, 6_000, 5
+WORDS, GRAMS, LENGTHS = 100_000, 6_000, 5
 PENALTY = 7.0
 UNKNOWN = "und"
-MEMO = 300_000
+MEMO = 500_000
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -111,7 +111,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.room = len(model.scores) + MEMO
-        self.table = np.zeros((self.room + 1, max(1, len(model.langs))))
+        self.table = np.zeros((self.room, max(1, len(model.langs))))
         self.reset()
 
     def reset(self) -> None:
@@ -120,23 +120,26 @@ class Scorer:
         if self.used:
             self.table[:self.used] = self.model.scores
 
-    def backoff(self, word: str) -> np.ndarray | None:
-        edged, grams = f" {word} ", self.model.grams
-        for size in range(LENGTHS, 0, -1):
-            found = [i for k in range(len(edged) - size + 1) if (i := grams.get(edged[k:k + size])) is not None]
-            if found:
-                return self.model.scores[found].mean(axis=0)
-        return None
-
-    def learn(self, new: set[str]) -> None:
+    def learn(self, new: list[str]) -> None:
+        """Vectors of unseen words, all at once: the mean over the n-grams of the first length at which any is known."""
+        get, flat, sizes, words_ = self.model.grams.get, [], [], []
         for word in new:
-            vector = self.backoff(word)
-            if vector is None:
+            edged = f" {word} "
+            for size in range(LENGTHS, 0, -1):
+                found = [i for k in range(len(edged) - size + 1) if (i := get(edged[k:k + size])) is not None]
+                if found:
+                    flat += found
+                    sizes.append(len(found))
+                    words_.append(word)
+                    break
+            else:
                 self.at[word] = -1
-                continue
-            self.table[self.used] = vector
-            self.at[word] = self.used
-            self.used += 1
+        if words_:
+            n = np.array(sizes)
+            sums = np.add.reduceat(self.model.scores[flat], np.cumsum(n) - n, axis=0)
+            self.table[self.used:self.used + len(n)] = sums / n[:, None]
+            self.at.update(zip(words_, range(self.used, self.used + len(n))))
+            self.used += len(n)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         langs = self.model.langs
@@ -146,12 +149,12 @@ class Scorer:
         total, n = np.zeros(len(langs)), 0
         for k in range(0, len(found), MEMO):  # a text has any number of words, the memory a fixed number of places
             part = found[k:k + MEMO]
-            new = set(part) - self.at.keys()
+            new = set(part).difference(self.at)
             if new:
                 if self.used + len(new) > self.room:
                     self.reset()
-                    new = set(part) - self.at.keys()
-                self.learn(new)
+                    new = set(part).difference(self.at)
+                self.learn(list(new))
             i = np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))
             i = i[i >= 0]
             total, n = total + self.table[i].sum(axis=0), n + len(i)

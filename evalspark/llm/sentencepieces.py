@@ -187,7 +187,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[bytes, int]]:
         """Packed ids, and 1 for parity plus 2 for a round trip of all parts. An empty text has no parts."""
         cut = [self.parts(t) if t else [] for t in texts]
-        new = {p for parts in cut for p in parts} - self.known.keys()
+        new = {p for parts in cut for p in parts}.difference(self.known)
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
             new = {p for parts in cut for p in parts}
