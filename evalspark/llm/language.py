@@ -181,14 +181,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, whose text has a language with at least the score ``least``."""
+    """The rows of ``docs``, with all columns, whose text has a language with a score above ``least``."""
     shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
             out = [scorer(t) for t in batch.column(text_col).to_pylist()]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in out], pa.bool_()))
+            yield batch.filter(pa.array([lang != UNKNOWN and score > least for lang, score in out], pa.bool_()))
     return docs.mapInArrow(run, schema)
 
 
