@@ -50,7 +50,7 @@ if __name__ == "__main__":
     names = sys.argv[2:] or list(queries())
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session("compare", master="local[4]", shuffle_partitions=8,
-                          **{"spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+                          **{"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     for name in names:
