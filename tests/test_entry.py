@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="driver data is no
 CHECKED = ["documents_profile", "table_row_units", "page_dedupe", "upsert", "program_values", "questions", "quality_gate",
            "split_leak", "tokens", "bm25_corpus", "ranking_full", "question_results", "breakdown", "bootstrap_weights",
            "compare_to_best", "conversation_metrics", "file_manifest", "json_lineage", "table_writes", "run_rows", "ranking_checks",
-           "order_rank_metrics", "bm25_train_corpus", "program_overflow", "paired_bootstrap"]
+           "bm25_train_corpus", "program_overflow"]
 
 
 def test_every_oracle_has_a_query():
