@@ -30,10 +30,10 @@ from evalspark.llm.vocab import LONGEST
 from evalspark.scratch import materialize
 
 PER_LANG = 4_000
-WORDS, GRAMS, LENGTHS = 100_000, 6_000, 5
+WORDS, GRAMS, LENGTHS = 50_000, 6_000, 5
 PENALTY = 7.0
 UNKNOWN = "und"
-MEMO = 500_000
+MEMO = 250_000
 _RUN = re.compile(r"[^\W\d_]+")
 
 
