@@ -10,7 +10,7 @@ coordinate, up to the limit ahead. A pair is taken in the first cell that it sha
 
 A cell with more than ``CELL`` members is not swept, since pairs would grow with the square. Its members are linked
 exactly by another way: each gives all values within half of the limit of it, and two fingerprints are within the limit if and only if they
-share such a value. That is linear in the members and drops no link.
+share such a value (for an odd limit, one within the smaller and the other within the larger half of it). That is linear in the members and drops no link.
 
 Equal fingerprints are one node, however many documents have them. A text without words has fingerprint zero; null text
 is empty. Rows with the same id are separate rows with equal results. An empty table gives no rows; other columns are not read.
@@ -159,11 +159,20 @@ def sweep(placed: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS, most: int
 
 def crowded_links(members: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``a, b``: links of distinct fingerprints (``fp``) through the values that two of them share."""
-    near = [0] + [sum(1 << i for i in c) for n in range(1, limit // 2 + 1) for c in combinations(range(64), n)]
-    near = [x - (1 << 64) if x >> 63 else x for x in near]
-    flips = F.expr("array(" + ",".join(f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)" for x in near) + ")")
-    met = members.select("fp", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp")))).alias("value"))
-    leader = met.groupBy("value").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).filter("b < top").drop("top")
+    def met_by(sizes) -> DataFrame:
+        near = [sum(1 << i for i in c) for n in sizes for c in combinations(range(64), n)]
+        near = [x - (1 << 64) if x >> 63 else x for x in near]
+        flips = F.expr("array(" + ",".join(f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)" for x in near) + ")")
+        return members.select("fp", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp")))).alias("value"))
+
+    half = limit // 2
+    met = met_by(range(half + 1))
+    if limit % 2:
+        # one of two gives the values a bit farther off too: only a member within the smaller half leads, so no link is longer than the limit
+        leader = met.groupBy("value").agg(F.min("fp").alias("b"))
+        met = met.unionByName(met_by([half + 1]))
+    else:
+        leader = met.groupBy("value").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).filter("b < top").drop("top")
     return met.join(leader, "value").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 

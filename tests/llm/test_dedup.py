@@ -139,6 +139,25 @@ def test_links_lose_no_pair(spark, cell):
         assert [roots.get(x, x) for x in order] == [order[i] for i in want]
 
 
+@pytest.mark.parametrize("limit", [1, 2, 3])
+def test_crowded_links_of_odd_limits(spark, limit):
+    """Chains with steps of exactly the limit, and steps of one bit more that must not link."""
+    rng = random.Random(limit)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    prints = [rng.getrandbits(64) for _ in range(6)]
+    for p in prints[:3]:
+        for _ in range(5):
+            prints.append(p := flip(p, limit))
+    prints += [flip(p, limit + 1) for p in prints[3:6]]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    members = sorted(map(signed, set(prints)))
+    stars = [(r["a"], r["b"]) for r in simhash.crowded_links(spark.createDataFrame([(x,) for x in members], "fp bigint"), limit).collect()]
+    assert stars and all((a % (1 << 64) ^ b % (1 << 64)).bit_count() <= limit for a, b in stars)
+    roots = {r["node"]: r["root"] for r in components(spark.createDataFrame(stars, "a bigint, b bigint")).collect()}
+    want = groups_by_hand([x % (1 << 64) for x in members], limit)
+    assert [roots.get(x, x) for x in members] == [members[i] for i in want]
+
+
 def test_keep_one(spark):
     base = [f"w{i}" for i in range(400)]
     near = base[:200] + ["changed"] + base[201:]
