@@ -8,7 +8,7 @@ the rules; opening an interval makes the rule the active one and closing it make
 
 Bounds and url keys are sorted together into ranges; within a range the last bound before a key tells the
 active rule, and the last bound of each range is carried into the ranges after it. A busy host's keys lie in several ranges,
-and equal keys are joined as one, whatever their number.
+and equal keys, also those that many hosts have of a common parent, are swept as one and joined back by key.
 
 Of all rules that fit the longest (host and path together) wins, then the longer host; of rules with the same host and path a
 blocking one wins. Without a rule the verdict is ``allow``. Host and path of a null url or one without ``://`` are empty,
@@ -79,11 +79,12 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     keys = (urls.filter("host <> ''").select("host", "path").distinct()
             .withColumn("labels", labels).select("host", "path", F.explode(suffix).alias("tail"))
             .select("host", "path", _utf8(F.concat(reversed_host(F.col("tail")), F.lit("/"), "path")).alias("key")))
+    keys = materialize(keys, "url-parents")
     edges = bounds(rules)
     # at one key: intervals close before others open, inner ones first; then the urls come
     order = F.struct("key", F.when(F.col("closing"), 0).when(F.col("depth").isNotNull(), 1).otherwise(2).alias("kind"),
                      F.when(F.col("closing"), -F.col("depth")).otherwise(F.col("depth")).alias("depth"))
-    line = edges.unionByName(keys, allowMissingColumns=True).withColumn("at", order).drop("key", "closing", "depth")
+    line = edges.unionByName(keys.select("key").distinct(), allowMissingColumns=True).withColumn("at", order).drop("key", "closing", "depth")
     line = line.repartitionByRange("at").withColumn("part", F.spark_partition_id())
     line = materialize(line, "url-keys")
     edge = F.col("at.kind") < 2
@@ -95,9 +96,10 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     carried = parts.select("part", F.last("end", True).over(before).alias("carried"))
     met = (swept.filter("at.kind = 2").join(carried, "part").withColumn("active", F.coalesce("last", "carried")["active"])
-           .filter("active is not null"))
+           .filter("active is not null").select(F.col("at.key").alias("key"), "active"))
     size = F.struct(F.length("active.rule").alias("n"), F.length("active.host").alias("h"))
-    best = met.groupBy("host", "path").agg(F.max_by("active", size).alias("active"))
+    # many hosts share a parent's key; each key has one verdict, and the join is one that AQE can split
+    best = keys.join(met, "key").groupBy("host", "path").agg(F.max_by("active", size).alias("active"))
     return urls.join(best, ["host", "path"], "left").select(
         F.col("id").alias(id_col), "host", "path", F.col("active.rule").alias("rule"),
         F.coalesce("active.verdict", F.lit(default)).alias("verdict"))

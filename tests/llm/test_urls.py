@@ -53,3 +53,14 @@ def test_empty_tables_and_no_python(spark):
     assert [tuple(r) for r in out.collect()] == [(1, "a.net", "/", None, "allow")]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_parent_key_is_swept_once(spark, monkeypatch):
+    """All hosts of a domain with one path share their parents' keys."""
+    seen, keep = {}, urls.materialize
+    monkeypatch.setattr(urls, "materialize", lambda df, name: seen.setdefault(name, keep(df, name)))
+    rules = [("net", "/", "block"), ("h7.net", "/", "allow")]
+    pages = [(i, f"http://h{i % 100}.net/", None) for i in range(300)]
+    assert judged(spark, pages, rules) == sorted((i, *by_hand(u, rules)) for i, u, _ in pages)
+    swept = [r["at"]["key"] for r in seen["url-keys"].filter("at.kind = 2").collect()]
+    assert len(swept) == len(set(swept)) == 101
