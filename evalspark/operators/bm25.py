@@ -6,9 +6,10 @@
 
 Shape of the job, for many pages at once:
 
-1. Each text is tokenized once, before its unit meets the page's questions in one join, and only the counts
-   of the question's own terms are kept: an int array aligned with the sorted term list. A small questions side is
-   broadcast, so texts do not move at all.
+1. Each text is tokenized once and becomes a map of its distinct words to their counts, before its unit meets the page's questions
+   in one join. There the question's map of words to slots and the unit's map are matched, one hash lookup per distinct word, and only
+   the counts of the question's own terms are kept: an int array aligned with the sorted term list. A small questions side is
+   broadcast, so texts do not move at all. A unit that asks a question is no candidate of it: that pair is left out here, and so of all statistics.
 2. Page statistics (N, average length, df) are partial aggregates over those counts.
 3. One row per question and configuration holds its idf vector; scoring is arithmetic in the row, so
    the float sum has one order whatever the partitioning.
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import STOPWORDS, let, tokenize, tokens, without_stopwords
+from evalspark.operators.ranking import OWN, with_own_unit
 from evalspark.scratch import materialize
 
 SCOPES = ("page", "corpus")
@@ -91,13 +93,13 @@ def _variant_words(words: str, variant: int, stem: Stemmer | None) -> Column:
 
 
 def _terms_in_row(questions: DataFrame, variants: list[int], stem: Stemmer | None) -> DataFrame:
-    """(question_id, doc_id, variant, terms, forms) where every term stands for itself, stemmed words included."""
+    """(question_id, doc_id, own_unit_id, variant, terms, forms) where every term stands for itself, stemmed words included."""
     def variant(v: int) -> Column:
         return F.struct(F.lit(v).alias("variant"), F.array_sort(F.array_distinct(_variant_words("words", v, stem))).alias("terms"))
 
     return (
-        questions.select("question_id", "doc_id", tokens(F.col("question")).alias("words"))
-        .select("question_id", "doc_id", F.inline(F.array(*map(variant, variants))))
+        questions.select("question_id", "doc_id", OWN, tokens(F.col("question")).alias("words"))
+        .select("question_id", "doc_id", OWN, F.inline(F.array(*map(variant, variants))))
         .select("*", F.transform("terms", lambda t: F.array(t)).alias("forms"))
     )
 
@@ -137,12 +139,13 @@ def _stemmed_terms(questions: DataFrame, variants: list[int], stems: DataFrame)
 
 
 def question_terms(questions: DataFrame, variants: Sequence[int], stems: DataFrame | Stemmer | None = None) -> DataFrame:
-    """(question_id, doc_id, variant, terms, forms), one row per question and tokenizer variant.
+    """(question_id, doc_id, own_unit_id, variant, terms, forms), one row per question and tokenizer variant.
 
-    ``terms`` are distinct and sorted; ``forms[i]`` are the words that count as ``terms[i]``.
+    ``terms`` are distinct and sorted; ``forms[i]`` are the words that count as ``terms[i]``. ``own_unit_id`` is the unit that asks, if ``questions`` tells.
     """
     if stems is None and any(v & 2 for v in variants):
         raise ValueError("stem=True needs a stemmer: an expression or a table (term, stem)")
+    questions = with_own_unit(questions)
     if not isinstance(stems, DataFrame):
         return _terms_in_row(questions, list(variants), stems)
     plain = [v for v in variants if not v & 2]
@@ -153,9 +156,9 @@ def question_terms(questions: DataFrame, variants: Sequence[int], stems: DataFra
     if stemmed:
         # A question with no words still ranks its page.
         parts.append(
-            questions.select("question_id", "doc_id", F.explode(F.array(*map(F.lit, stemmed))).alias("variant"))
+            questions.select("question_id", "doc_id", OWN, F.explode(F.array(*map(F.lit, stemmed))).alias("variant"))
             .join(_stemmed_terms(questions, stemmed, stems), ["question_id", "variant"], "left")
-            .select("question_id", "doc_id", "variant",
+            .select("question_id", "doc_id", OWN, "variant",
                     F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),
                     F.coalesce("forms", F.array().cast("array<array<string>>")).alias("forms")))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -163,35 +166,74 @@ def question_terms(questions: DataFrame, variants: Sequence[int], stems: DataFra
 
 # ---------- term counts per question and candidate ----------
 
-def match_counts(terms: DataFrame, units: DataFrame, stem: Stemmer | None = None) -> DataFrame:
+def _run_starts(keys: Column) -> Column:
+    """Places in a sorted array where a value differs from the one before."""
+    return F.filter(F.transform(keys, lambda k, i: F.when((i == 0) | (F.get(keys, i - 1) != k), i)), lambda i: i.isNotNull())
+
+
+def word_counts(words: Column) -> Column:
+    """Map of each distinct word to its count: once sorted, equal words are runs."""
+    def counted(w: Column) -> Column:
+        return let(_run_starts(w), lambda starts: F.map_from_arrays(
+            F.transform(starts, lambda i: F.get(w, i)),
+            F.transform(starts, lambda i, j: F.coalesce(F.get(starts, j + 1), F.size(w)) - i)))
+
+    return let(F.sort_array(words), counted)
+
+
+def _run_sums(keys: Column, numbers: Column) -> tuple[Column, Column]:
+    """Distinct values of sorted ``keys`` and the sums of ``numbers`` over their runs, as two arrays of one length."""
+    starts = _run_starts(keys)
+    total = lambda i, n: F.aggregate(F.slice(numbers, i + 1, n), F.lit(0), lambda t, x: t + x)
+    sums = let(starts, lambda at: F.transform(at, lambda i, j: total(i, F.coalesce(F.get(at, j + 1), F.size(keys)) - i)))
+    return F.transform(starts, lambda i: F.get(keys, i)), sums
+
+
+def _stem_counts(counts: Column, stem: Stemmer, stopwords: bool) -> Column:
+    """Counts of stems from counts of words: each distinct word is stemmed once, and equal stems are added up."""
+    entries = F.map_entries(counts)
+    if stopwords:
+        entries = F.filter(entries, lambda e: ~e["key"].isin(*STOPWORDS))  # before stemming
+    stemmed = F.sort_array(F.transform(entries, lambda e: F.struct(stem(e["key"]).alias("stem"), e["value"].alias("n"))))
+    return let(stemmed, lambda s: F.map_from_arrays(*_run_sums(s["stem"], s["n"])))
+
+
+def _list_of(variant: int, stem: Stemmer | None) -> int:
+    """The word list a variant is matched in: the plain one (its terms tell stopwords apart), or that of its stems."""
+    return variant if stem is not None and variant & 2 else 0
+
+
+def coded_units(units: DataFrame, variants: Sequence[int], stem: Stemmer | None = None) -> DataFrame:
+    """(doc_id, unit_id, n_words, n_kept, list_0, ...): each unit's lengths and its counts of words, and of stems for stemmed variants."""
+    lists = sorted({_list_of(v, stem) for v in variants} | {0})
+    cut = units.select("doc_id", "unit_id", tokens(F.col("text")).alias("words")).select(
+        "doc_id", "unit_id", F.size("words").alias("n_words"), F.size(without_stopwords(F.col("words"))).alias("n_kept"),
+        word_counts(F.col("words")).alias("list_0"))
+    return cut.select("*", *[_stem_counts(F.col("list_0"), stem, bool(v & 1)).alias(f"list_{v}") for v in lists if v])
+
+
+def match_counts(terms: DataFrame, coded: DataFrame) -> DataFrame:
     """(question_id, variant, unit_id, dl, tfs): one row per question, variant and candidate.
 
-    ``dl`` is the unit's length in tokens and ``tfs`` the counts of the question's terms. ``stem`` is given if the terms of stemmed
-    variants are stems rather than word forms.
+    ``coded`` are units with their word counts. ``dl`` is the unit's length in tokens and ``tfs`` the counts of the question's terms. The
+    unit that asks is no candidate.
     """
-    wanted = terms.groupBy("question_id", "doc_id").agg(
+    wanted = terms.groupBy("question_id", "doc_id", OWN).agg(
         F.collect_list(F.struct(
-            "variant", F.size("terms").alias("n_terms"), F.flatten("forms").alias("words"),
-            F.flatten(F.transform("forms", lambda f, i: F.transform(f, lambda _: i))).alias("slots"))).alias("variants"))
-    cut = units.select("doc_id", "unit_id", tokens(F.col("text")).alias("plain")).select(
-        "doc_id", "unit_id", "plain", F.size("plain").alias("n_words"), F.size(without_stopwords(F.col("plain"))).alias("n_kept"))
-    v = F.col("v.variant")
-    row = cut.join(wanted, "doc_id").select("question_id", "unit_id", "plain", "n_words", "n_kept", F.explode("variants").alias("v"))
-    words = F.col("plain")
-    if stem is not None:
-        # without stopwords first; their stems are left in place as nulls, so lengths stay those of the plain words
-        bare = F.transform("plain", lambda w: F.when((v.bitwiseAND(F.lit(1)) == 0) | ~w.isin(*STOPWORDS), stem(w)))
-        words = F.when(v.bitwiseAND(F.lit(2)) == 2, bare).otherwise(F.col("plain"))
-    # the distinct words in common come from a hash set; only they are searched for in the question's list
-    row = row.withColumn("words", words).withColumn("common", F.array_intersect("words", "v.words"))
-    slots = F.filter(F.sequence(F.lit(0), F.col("v.n_terms")), lambda i: i < F.col("v.n_terms"))
-    kept = F.when(F.size("common") == 0, F.array().cast("array<string>")).otherwise(
-        F.filter("words", lambda w: F.array_contains("common", w)))
-    hits = F.transform(kept, lambda w: F.get(F.col("v.slots"), F.array_position(F.col("v.words"), w).cast("int") - 1))
-    counts = let(hits, lambda found: F.transform(slots, lambda i: F.when(F.size(found) == 0, 0).otherwise(
-        F.size(F.filter(found, lambda h: h == i)))))
+            "variant", F.size("terms").alias("n_terms"), F.map_from_arrays(
+                F.flatten("forms"), F.flatten(F.transform("forms", lambda f, i: F.transform(f, lambda _: i)))).alias("slots"))).alias("variants"))
+    lists = [c for c in coded.columns if c.startswith("list_")]
+    row = coded.join(wanted, "doc_id").filter(~F.col("unit_id").eqNullSafe(F.col(OWN))).select(
+        "question_id", "unit_id", "n_words", "n_kept", *lists, F.explode("variants").alias("v"))
+    v, slots = F.col("v.variant"), F.col("v.slots")
+    counts = F.coalesce(*[F.when(v == int(c.removeprefix("list_")), F.col(c)) for c in lists if c != "list_0"], F.col("list_0"))
+    # Keys of the question come first and in their order; those the unit alone has follow.
+    met = F.map_zip_with(slots, counts, lambda word, slot, n: F.when(slot.isNotNull(), F.struct(slot.alias("slot"), F.coalesce(n, F.lit(0)).alias("n"))))
+    hits = F.slice(F.map_values(met), F.lit(1), F.size(slots))
+    tfs = F.when(F.size(slots) == F.col("v.n_terms"), F.transform(hits, lambda h: h["n"])).otherwise(
+        let(hits, lambda h: _run_sums(h["slot"], h["n"])[1]))  # several forms of a term
     length = F.when(v.bitwiseAND(F.lit(1)) == 1, F.col("n_kept")).otherwise(F.col("n_words"))
-    return row.select("question_id", v.alias("variant"), "unit_id", length.alias("dl"), counts.alias("tfs"))
+    return row.select("question_id", v.alias("variant"), "unit_id", length.alias("dl"), tfs.alias("tfs"))
 
 
 def page_sizes(pairs: DataFrame) -> DataFrame:
@@ -209,16 +251,16 @@ def page_term_df(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _reference_df_in_row(terms: DataFrame, corpus: DataFrame, variants: list[int], stem: Stemmer | None) -> DataFrame:
-    """(question_id, variant, slot, df) with frequencies from the reference corpus: each text is tokenized once, and its
-    distinct terms of every variant are counted together. Stopword removal changes no count of a word that stays, but may change that of a stem."""
-    lists = sorted({v if v & 2 else 0 for v in variants})
-    distinct = F.array(*[F.struct(F.lit(v).alias("list"), F.array_distinct(_variant_words("words", v, stem)).alias("terms")) for v in lists])
+def _reference_df_in_row(terms: DataFrame, coded: DataFrame, variants: list[int], stem: Stemmer | None) -> DataFrame:
+    """(question_id, variant, slot, df) with frequencies from the reference corpus (coded units): the distinct
+    terms of every variant are counted together. Stopword removal changes no count of a word that stays, but may change that of a stem."""
+    lists = sorted({_list_of(v, stem) for v in variants})
+    distinct = F.array(*[F.struct(F.lit(v).alias("list"), F.map_keys(f"list_{v}").alias("terms")) for v in lists])
     counted = (
-        corpus.select(tokens(F.col("text")).alias("words")).select(F.inline(distinct))
-        .select("list", F.explode("terms").alias("term")).groupBy("list", "term").agg(F.count("*").alias("df"))
+        coded.select(F.inline(distinct)).select("list", F.explode("terms").alias("term"))
+        .groupBy("list", "term").agg(F.count("*").alias("df"))
     )
-    of = F.when(F.col("variant").bitwiseAND(F.lit(2)) == 2, F.col("variant")).otherwise(0)
+    of = F.when(F.col("variant").bitwiseAND(F.lit(2)) == 2, F.col("variant")).otherwise(0) if stem is not None else F.lit(0)
     slots = terms.filter(F.col("variant").isin(variants)).select(
         "question_id", "variant", of.alias("list"), F.posexplode("terms").alias("slot", "term"))
     return slots.join(counted, ["list", "term"]).select("question_id", "variant", "slot", "df")
@@ -257,8 +299,8 @@ def _idf_vector(name: str, n: Column) -> Column:
 
 
 def scoring_plan(terms: DataFrame, pairs: DataFrame, configs: Sequence[BM25Config], corpus: DataFrame | None = None,
-                 stems: DataFrame | Stemmer | None = None) -> DataFrame:
-    """(question_id, variant, config_id, k1, b, avgdl, idfs): everything a score needs but the counts."""
+                 stems: DataFrame | Stemmer | None = None, coded: DataFrame | None = None) -> DataFrame:
+    """(question_id, variant, config_id, k1, b, avgdl, idfs): everything a score needs but the counts. ``coded`` are the units of ``corpus``, where they are coded already."""
     keys = ["question_id", "variant"]
     plan = terms.select(*keys, "terms").join(page_sizes(pairs), keys)
     scopes = {c.idf_scope for c in configs}
@@ -270,8 +312,10 @@ def scoring_plan(terms: DataFrame, pairs: DataFrame, configs: Sequence[BM25Confi
         if corpus is None:
             raise ValueError("a configuration takes frequencies from a corpus, but none is given")
         variants = sorted({c.variant for c in configs if c.idf_scope == "corpus"})
-        found = (_reference_df(terms, corpus, variants) if isinstance(stems, DataFrame) else
-                 _reference_df_in_row(terms, corpus, variants, stems))
+        if isinstance(stems, DataFrame):
+            found = _reference_df(terms, corpus, variants)
+        else:
+            found = _reference_df_in_row(terms, coded if coded is not None else coded_units(corpus, variants, stems), variants, stems)
         plan = plan.join(_df_map(found, "corpus_df"), keys, "left")
         plan = plan.withColumn("corpus_n", corpus_size(corpus).scalar())
         vectors["corpus"] = _idf_vector("corpus_df", F.col("corpus_n"))
@@ -298,16 +342,22 @@ def bm25_scores(questions: DataFrame, units: DataFrame, configs: Sequence[BM25Co
                 corpus: DataFrame | None = None, stems: DataFrame | Stemmer | None = None) -> DataFrame:
     """(config_id, question_id, unit_id, score) for every candidate, those sharing no term at score 0.
 
-    ``questions`` has question_id, doc_id, question; ``units`` and ``corpus`` have doc_id, unit_id, text;
-    ``config_id`` is the position in ``configs``.
+    ``questions`` has question_id, doc_id, question and, where a unit of the page asks, own_unit_id; ``units`` and ``corpus`` have
+    doc_id, unit_id, text; ``config_id`` is the position in ``configs``.
     """
     if corpus is None and any(c.idf_scope == "corpus" for c in configs):
         raise ValueError("a configuration takes frequencies from a corpus, but none is given")
-    terms = question_terms(questions, sorted({c.variant for c in configs}), stems)
+    variants = sorted({c.variant for c in configs})
+    terms = question_terms(questions, variants, stems)
+    stem = None if isinstance(stems, DataFrame) else stems
     if isinstance(stems, DataFrame):
         terms = materialize(terms, "question-terms")  # read by the match and by the plan
-    pairs = materialize(match_counts(terms, units, None if isinstance(stems, DataFrame) else stems), "term-counts")
-    plan = scoring_plan(terms, pairs, configs, corpus, stems)
+    coded = coded_units(units, variants, stem)
+    both = corpus is units and stem is stems and any(c.idf_scope == "corpus" for c in configs)
+    if both:
+        coded = materialize(coded, "coded-units")  # read by the match and for the frequencies
+    pairs = materialize(match_counts(terms, coded), "term-counts")
+    plan = scoring_plan(terms, pairs, configs, corpus, stems, coded if both else None)
     # Every pair has its plan rows. As a left join only the plan, one row per question, can be broadcast.
     return pairs.join(plan, ["question_id", "variant"], "left").select(
         "config_id", "question_id", "unit_id", _score().alias("score"))

@@ -20,6 +20,12 @@ SCORE_DECIMALS = 9
 TOP = 10
 PARTS = 32  # over which the candidates of each question are counted
 KEYS = ["config_id", "question_id"]
+OWN = "own_unit_id"  # of questions that a unit of the page asks
+
+
+def with_own_unit(questions: DataFrame) -> DataFrame:
+    """Questions with the unit that asks, which is no candidate of its own question; null where no unit of the page does."""
+    return questions if OWN in questions.columns else questions.withColumn(OWN, F.lit(None).cast("string"))
 
 
 def order_key() -> Column:
@@ -96,14 +102,17 @@ def gold_ranks(scored: DataFrame, questions: DataFrame) -> DataFrame:
 
 def missing_gold(questions: DataFrame, units: DataFrame) -> DataFrame:
     """(question_id, unit_id): gold ids that are not candidates. Must be empty."""
-    gold = questions.select("question_id", "doc_id", F.explode(F.array_distinct("gold_unit_ids")).alias("unit_id"))
-    return gold.join(units.select("doc_id", "unit_id"), ["doc_id", "unit_id"], "left_anti").select("question_id", "unit_id")
+    gold = with_own_unit(questions).select("question_id", "doc_id", OWN, F.explode(F.array_distinct("gold_unit_ids")).alias("unit_id"))
+    # the unit that asks is looked for under no name
+    wanted = gold.withColumn("_candidate", F.when(~F.col("unit_id").eqNullSafe(F.col(OWN)), F.col("unit_id")))
+    there = units.select("doc_id", F.col("unit_id").alias("_candidate"))
+    return wanted.join(there, ["doc_id", "_candidate"], "left_anti").select("question_id", "unit_id")
 
 
 def expected_rankings(questions: DataFrame, config_ids: Sequence[int]) -> DataFrame:
-    """(config_id, question_id, doc_id): every configuration has to rank every question's page."""
+    """(config_id, question_id, doc_id, own_unit_id): every configuration has to rank every question's page, but for the unit that asks."""
     configs = F.explode(F.array(*[F.lit(int(c)) for c in config_ids])).alias("config_id")
-    return questions.select("question_id", "doc_id", configs)
+    return with_own_unit(questions).select("question_id", "doc_id", OWN, configs)
 
 
 def ranking_gaps(scored: DataFrame, questions: DataFrame, units: DataFrame, config_ids: Sequence[int]) -> DataFrame:
@@ -114,7 +123,7 @@ def ranking_gaps(scored: DataFrame, questions: DataFrame, units: DataFrame, conf
     """
     candidates = (
         expected_rankings(questions, config_ids).join(units.select("doc_id", "unit_id"), "doc_id")
-        .select(*KEYS, "unit_id", F.lit(0).alias("s"), F.lit(1).alias("e"))
+        .filter(~F.col("unit_id").eqNullSafe(F.col(OWN))).select(*KEYS, "unit_id", F.lit(0).alias("s"), F.lit(1).alias("e"))
     )
     given = scored.select(*KEYS, "unit_id", F.lit(1).alias("s"), F.lit(0).alias("e"))
     return (
@@ -126,16 +135,28 @@ def ranking_gaps(scored: DataFrame, questions: DataFrame, units: DataFrame, conf
 def incomplete_rankings(scored: DataFrame, questions: DataFrame, units: DataFrame, config_ids: Sequence[int]) -> DataFrame:
     """(config_id, question_id): rankings that are not exactly the page's units, by counts and checksums of unit ids.
 
-    Cheaper than ``ranking_gaps``: the page side is aggregated once per page and no candidate is joined.
+    Cheaper than ``ranking_gaps``: the page side is aggregated once per page and no candidate is joined. The unit that asks, where
+    the page has it, is taken off its page's counts and checksums.
     """
+    unit = [F.xxhash64("unit_id").cast("decimal(38,0)"), F.xxhash64("unit_id", F.lit(1)).cast("decimal(38,0)")]
+
     def summary(n: str) -> list[Column]:
-        unit = F.xxhash64("unit_id").cast("decimal(38,0)")
-        return [F.count("*").alias(n), F.sum(unit).alias(f"{n}_sum"), F.sum(F.xxhash64("unit_id", F.lit(1)).cast("decimal(38,0)")).alias(f"{n}_sum2")]
+        return [F.count("*").alias(n), F.sum(unit[0]).alias(f"{n}_sum"), F.sum(unit[1]).alias(f"{n}_sum2")]
 
-    pages = units.groupBy("doc_id").agg(*summary("want"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(38,0)")
+    pages = units.groupBy("doc_id").agg(*summary("page"))
+    asked = with_own_unit(questions)
     wanted = expected_rankings(questions, config_ids).join(pages, "doc_id", "left")
+    ends = ("", "_sum", "_sum2")
+    if OWN in questions.columns:
+        asking = asked.filter(F.col(OWN).isNotNull()).select("question_id", "doc_id", F.col(OWN).alias("unit_id"))
+        own = asking.join(units.select("doc_id", "unit_id"), ["doc_id", "unit_id"], "left_semi").groupBy("question_id").agg(*summary("own"))
+        wanted = wanted.join(own, "question_id", "left")
+        wanted = wanted.withColumns({f"want{e}": zero(f"page{e}") - zero(f"own{e}") for e in ends})
+    else:
+        wanted = wanted.withColumns({f"want{e}": zero(f"page{e}") for e in ends})
     given = scored.groupBy(*KEYS).agg(*summary("got"))
     same = F.lit(True)
-    for c in ("", "_sum", "_sum2"):
-        same = same & F.col(f"want{c}").eqNullSafe(F.col(f"got{c}"))
+    for e in ends:
+        same = same & (zero(f"want{e}") == zero(f"got{e}"))
     return wanted.join(given, KEYS, "full").filter(~same | F.col("doc_id").isNull()).select(*KEYS)

@@ -30,9 +30,10 @@ def evaluate(retriever: Retriever, questions: DataFrame, units: DataFrame, run_i
              config_ids: Sequence[int] | None = None) -> DataFrame:
     """One row per configuration and question: ranks of the gold units, top 10, metrics, random baseline.
 
-    ``questions`` has question_id, doc_id, split, question, gold_unit_ids, evidence_type, label_status.
+    ``questions`` has question_id, doc_id, split, question, gold_unit_ids, evidence_type, label_status and, where a unit of the page
+    asks, own_unit_id: that unit is no candidate of the question.
     ``retriever`` returns (config_id, question_id, unit_id, score) for the configurations ``config_ids`` (by default as many as
-    ``run_ids``, else the first). Every one of them must score exactly the units of each question's page; anything else is
+    ``run_ids``, else the first). Every one of them must score exactly the units of each question's page (but for the one that asks); anything else is
     an error, never a run with fewer questions or candidates.
     """
     config_ids = list(config_ids) if config_ids is not None else list(range(len(run_ids or [0])))
@@ -40,7 +41,7 @@ def evaluate(retriever: Retriever, questions: DataFrame, units: DataFrame, run_i
     if ranking.incomplete_rankings(scored, questions, units, config_ids).limit(1).collect():
         gaps = ranking.ranking_gaps(scored, questions, units, config_ids).limit(3).collect()
         raise ValueError(f"not a full ranking of the candidates: {[g.asDict() for g in gaps]}")
-    asked = ranking.expected_rankings(questions, config_ids).drop("doc_id").join(questions.select(
+    asked = ranking.expected_rankings(questions, config_ids).drop("doc_id", ranking.OWN).join(questions.select(
         "question_id", "doc_id", "split", "evidence_type", "label_status",
         F.size(F.array_distinct("gold_unit_ids")).alias("_wanted")), "question_id")
     found = ranking.gold_ranks(scored, questions).join(ranking.top_units(scored), ranking.KEYS)

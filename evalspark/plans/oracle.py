@@ -167,7 +167,7 @@ corpus AS (SELECT unit_id FROM units),
 gold AS (SELECT u.doc_id || '-1' AS question_id, unit_id, text FROM units u JOIN docs ON doc = u.doc_id
          WHERE position > 0 AND list_has_any({KEPT.replace('{}', 'text')}, {KEPT.replace('{}', 'l[1]')})),
 kinds AS (SELECT question_id, CASE WHEN bool_and(contains(text, '|')) THEN 'table' WHEN bool_or(contains(text, '|')) THEN 'table+text' ELSE 'text' END AS evidence_type FROM gold GROUP BY 1),
-questions AS (SELECT doc || '-1' AS question_id, doc AS doc_id, lang AS split, l[1] AS question, evidence_type,
+questions AS (SELECT doc || '-1' AS question_id, doc AS doc_id, doc || '#text_0' AS own_unit_id, lang AS split, l[1] AS question, evidence_type,
        CASE WHEN toxic = 1 THEN 'boolean' WHEN quality = 1 THEN 'consistent' WHEN quality = 0 THEN 'conflict' ELSE 'non_numeric' END AS label_status
   FROM docs JOIN kinds ON kinds.question_id = doc || '-1' LEFT JOIN labels ON labels.doc_id = number)"""
 
@@ -177,7 +177,7 @@ corpus AS (SELECT unit_id FROM units),
 asked AS (SELECT conv_id, q, turn, text, conv_id || '-' || turn AS question_id FROM numbered_ WHERE role = 'user'),
 gold AS (SELECT question_id, n.conv_id || '#text_' || n.turn AS unit_id FROM numbered_ n JOIN asked USING (conv_id, q) WHERE n.role = 'assistant'),
 ends AS (SELECT conv_id, q, arg_max(role, turn) AS last_role, count(*) FILTER (role = 'assistant') AS answers FROM numbered_ GROUP BY ALL),
-questions AS (SELECT question_id, CAST(conv_id AS VARCHAR) AS doc_id, 'test' AS split, text AS question,
+questions AS (SELECT question_id, CAST(conv_id AS VARCHAR) AS doc_id, conv_id || '#text_' || turn AS own_unit_id, 'test' AS split, text AS question,
        CASE WHEN answers > 1 THEN 'table+text' ELSE 'text' END AS evidence_type, CASE WHEN last_role = 'assistant' THEN 'consistent' ELSE 'conflict' END AS label_status
   FROM asked JOIN ends USING (conv_id, q) WHERE answers > 0)"""
 
@@ -186,7 +186,7 @@ ORDER_PAGES = """units AS (SELECT doc_id, doc_id || '#text_' || position AS unit
 corpus AS (SELECT unit_id FROM units),
 once AS (SELECT * FROM status QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY evidence_type, label_status) = 1),
 gold AS (SELECT question_id, unnest(string_split(gold_unit_ids, ';')) AS unit_id FROM once),
-questions AS (SELECT question_id, doc_id, split, 'what is the value of line ' || l_linenumber || ' for part ' || l_partkey || ' ?' AS question, evidence_type, label_status FROM once)"""
+questions AS (SELECT question_id, doc_id, NULL AS own_unit_id, split, 'what is the value of line ' || l_linenumber || ' for part ' || l_partkey || ' ?' AS question, evidence_type, label_status FROM once)"""
 
 STEM = """CASE WHEN t LIKE '%ies' AND NOT (t LIKE '%eies' OR t LIKE '%aies') THEN left(t, length(t) - 3) || 'y'
   WHEN t LIKE '%es' AND NOT (t LIKE '%aes' OR t LIKE '%ees' OR t LIKE '%oes') THEN left(t, length(t) - 1)
@@ -208,22 +208,24 @@ def scoring(configs) -> list[str]:
         "tf AS (SELECT variant, doc_id, unit_id, term, count(*) AS tf FROM uterm GROUP BY ALL)",
         "dl AS (SELECT v.variant, u.doc_id, u.unit_id, coalesce(sum(tf.tf), 0) AS dl FROM units u CROSS JOIN variants v "
         "LEFT JOIN tf ON tf.unit_id = u.unit_id AND tf.variant = v.variant GROUP BY ALL)",
+        "candidates AS (SELECT question_id, doc_id, unit_id FROM questions JOIN units USING (doc_id) WHERE unit_id IS DISTINCT FROM own_unit_id)",
         "sizes AS (SELECT variant, question_id, count(*) AS n, CASE WHEN sum(dl) > 0 THEN sum(dl)::DOUBLE / count(*) ELSE 1.0 END AS avgdl "
-        "FROM questions JOIN dl USING (doc_id) GROUP BY ALL)",
-        "page_df AS (SELECT variant, doc_id, term, count(*) AS df FROM tf GROUP BY ALL)",
+        "FROM candidates JOIN dl USING (unit_id) GROUP BY ALL)",
+        "page_df AS (SELECT variant, question_id, term, count(*) AS df FROM qterm JOIN candidates USING (question_id) JOIN tf USING (variant, unit_id, term) GROUP BY ALL)",
         "all_df AS (SELECT variant, term, count(*) AS df FROM tf WHERE unit_id IN (SELECT unit_id FROM corpus) GROUP BY ALL)",
         "all_n AS (SELECT count(*) AS n FROM corpus)",
         """hits AS (SELECT c.config_id, q.question_id, tf.unit_id, q.term, tf.tf::DOUBLE AS tf, dl.dl::DOUBLE AS dl, s.avgdl, c.k1, c.b,
   CASE c.scope WHEN 'page' THEN s.n ELSE all_n.n END::DOUBLE AS n, CASE c.scope WHEN 'page' THEN page_df.df ELSE coalesce(all_df.df, 0) END::DOUBLE AS df
-  FROM configs c JOIN qterm q ON q.variant = c.variant JOIN tf ON tf.variant = c.variant AND tf.doc_id = q.doc_id AND tf.term = q.term
+  FROM configs c JOIN qterm q ON q.variant = c.variant JOIN candidates p ON p.question_id = q.question_id
+  JOIN tf ON tf.variant = c.variant AND tf.unit_id = p.unit_id AND tf.term = q.term
   JOIN dl ON dl.variant = c.variant AND dl.unit_id = tf.unit_id JOIN sizes s ON s.variant = c.variant AND s.question_id = q.question_id
-  JOIN page_df ON page_df.variant = c.variant AND page_df.doc_id = q.doc_id AND page_df.term = q.term
+  JOIN page_df ON page_df.variant = c.variant AND page_df.question_id = q.question_id AND page_df.term = q.term
   LEFT JOIN all_df ON all_df.variant = c.variant AND all_df.term = q.term CROSS JOIN all_n)""",
         """sums AS (SELECT config_id, question_id, unit_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + k1 * (1 - b + b * dl / avgdl)) ORDER BY term) AS score
   FROM hits GROUP BY ALL)""",
-        """scored AS (SELECT c.config_id, q.question_id, u.unit_id, coalesce(s.score, 0) AS score
-  FROM questions q JOIN units u USING (doc_id) CROSS JOIN configs c
-  LEFT JOIN sums s ON s.config_id = c.config_id AND s.question_id = q.question_id AND s.unit_id = u.unit_id)""",
+        """scored AS (SELECT c.config_id, q.question_id, q.unit_id, coalesce(s.score, 0) AS score
+  FROM candidates q CROSS JOIN configs c
+  LEFT JOIN sums s ON s.config_id = c.config_id AND s.question_id = q.question_id AND s.unit_id = q.unit_id)""",
     ]
 
 
@@ -367,7 +369,7 @@ UNION ALL SELECT 'turn', conv_id || '-' || turn, text FROM conversations), cut A
 SELECT kind, id, CAST(len(w) AS INTEGER) AS n_tokens, CAST(len(list_filter(w, lambda t: t NOT IN ({STOP}))) AS INTEGER) AS n_kept,
 md5(array_to_string(w, ' ')) AS token_hash FROM cut""",
     "stem_map": f"SELECT t AS term, {STEM} AS stem FROM (SELECT DISTINCT unnest({toks('text')}) AS t FROM documents)",
-    "page_term_df": with_(ONE, "SELECT question_id, term, df FROM qterm JOIN page_df USING (doc_id, term)"),
+    "page_term_df": with_(ONE, "SELECT question_id, term, df FROM page_df"),
     "page_sizes": with_(ONE, f"SELECT question_id, n, {r6('avgdl')} FROM sizes"),
     "corpus_term_df": with_(ONE, "SELECT term, df FROM all_df"),
     "bm25_page": with_(ONE, f"SELECT question_id, unit_id, {r6('score')} FROM scored"),
@@ -377,13 +379,12 @@ md5(array_to_string(w, ' ')) AS token_hash FROM cut""",
     "bm25_corpus": with_([DOCS, *scoring([CORPUS])], f"SELECT question_id, unit_id, {r6('score')} FROM scored"),
     "ranking_full": with_([*ONE, *RANKED], "SELECT question_id, unit_id, rank FROM ranked"),
     "ranking_top10": with_(EVAL, "SELECT question_id, top_unit_ids FROM results"),
-    "ranking_checks": with_([DOCS, """pairs AS (SELECT *, contains(text, '|') AS bar FROM questions JOIN units USING (doc_id)),
-wrong AS (SELECT question_id, bool_or(bar OR position = 0) AS w FROM pairs GROUP BY 1)"""], """SELECT 'scored' AS "check", count(*) AS n FROM pairs
+    "ranking_checks": with_([DOCS, """pairs AS (SELECT *, contains(text, '|') AS bar FROM questions JOIN units USING (doc_id) WHERE unit_id IS DISTINCT FROM own_unit_id)"""], """SELECT 'scored' AS "check", count(*) AS n FROM pairs
 UNION ALL SELECT 'whole_gaps', count(*) FROM pairs WHERE unit_id IS NULL
 UNION ALL SELECT 'whole_rankings', count(*) FROM questions WHERE question_id NOT IN (SELECT question_id FROM pairs)
 UNION ALL SELECT 'whole_missing_gold', count(*) FROM gold WHERE unit_id NOT IN (SELECT unit_id FROM units)
-UNION ALL SELECT 'broken_gaps', (SELECT count(*) FROM pairs WHERE bar OR position = 0) + (SELECT count(*) FROM questions)
-UNION ALL SELECT 'broken_rankings', count(*) FROM wrong WHERE w
+UNION ALL SELECT 'broken_gaps', (SELECT count(*) FROM pairs WHERE bar OR position = 1) + (SELECT count(*) FROM questions)
+UNION ALL SELECT 'broken_rankings', count(*) FROM questions
 UNION ALL SELECT 'broken_missing_gold', count(*) FROM questions"""),
     "gold_ranks": with_(EVAL, "SELECT question_id, n_candidates, gold_ranks FROM results"),
     "rank_metrics": with_(EVAL, f"SELECT question_id, {r6(*METRICS)} FROM results"),

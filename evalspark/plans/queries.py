@@ -285,14 +285,14 @@ def stem_map(spark, sf_dir):
 def page_term_df(spark, sf_dir):
     units, asked = _units_and_questions(spark, sf_dir)
     terms = bm25.question_terms(asked, [PAGE.variant])
-    pairs = bm25.match_counts(terms, units)
+    pairs = bm25.match_counts(terms, bm25.coded_units(units, [PAGE.variant]))
     found = bm25.page_term_df(pairs).join(terms, ["question_id", "variant"])
     return found.select("question_id", F.get("terms", F.col("slot")).alias("term"), "df")
 
 
 def page_sizes(spark, sf_dir):
     units, asked = _units_and_questions(spark, sf_dir)
-    pairs = bm25.match_counts(bm25.question_terms(asked, [PAGE.variant]), units)
+    pairs = bm25.match_counts(bm25.question_terms(asked, [PAGE.variant]), bm25.coded_units(units, [PAGE.variant]))
     return _rounded(bm25.page_sizes(pairs).drop("variant"))
 
 
@@ -329,15 +329,15 @@ def ranking_top10(spark, sf_dir):
 
 
 def ranking_checks(spark, sf_dir):
-    """Rows that break a rule, for the scores as they are and after they were broken: units with a bar lost, first lines scored twice, a
-    foreign unit for each question, and a gold unit that no page has for each question."""
+    """Rows that break a rule, for the scores as they are and after they were broken: units with a bar lost, second lines scored twice, the
+    first line, which asks, scored for each question, and a gold unit that no page has for each question."""
     units, asked = _units_and_questions(spark, sf_dir)
     scored = materialize(bm25.bm25_scores(asked, units, [PAGE]), "scores")
     placed = scored.join(units.select("unit_id", "position", "text"), "unit_id").filter(~F.contains("text", F.lit("|")))
     once = placed.select(*scored.columns)
-    twice = placed.filter("position = 0").select(*scored.columns)
-    foreign = asked.select(F.lit(0).alias("config_id"), "question_id", F.concat("doc_id", F.lit("#foreign")).alias("unit_id"), F.lit(1.0).alias("score"))
-    broken = once.unionByName(twice).unionByName(foreign)
+    twice = placed.filter("position = 1").select(*scored.columns)
+    asking = asked.select(F.lit(0).alias("config_id"), "question_id", F.col("own_unit_id").alias("unit_id"), F.lit(1.0).alias("score"))
+    broken = once.unionByName(twice).unionByName(asking)
     lost = asked.withColumn("gold_unit_ids", F.array_append("gold_unit_ids", F.concat("doc_id", F.lit("#lost"))))
     count = lambda name, df: df.agg(F.lit(name).alias("check"), F.count("*").alias("n"))
     parts = [count("scored", scored)]

@@ -139,7 +139,7 @@ def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which later lines speak of what the first line says? Gold are all lines after the first that share a term with it.
 
-    Documents without such a line ask nothing. The evidence type says whether gold lines are table-like,
+    The first line itself is no candidate. Documents without such a line ask nothing. The evidence type says whether gold lines are table-like,
     the label status comes from ``labels``.
     """
     lines = F.split("text", "\n")
@@ -153,7 +153,7 @@ def document_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     table_like = F.exists("gold", lambda x: F.contains(x["t"], F.lit("|")))
     plain = F.exists("gold", lambda x: ~F.contains(x["t"], F.lit("|")))
     return docs.join(labels, "number", "left").select(
-        F.concat("doc_id", F.lit("-1")).alias("question_id"), "doc_id", "split", "question",
+        F.concat("doc_id", F.lit("-1")).alias("question_id"), "doc_id", "split", "question", F.concat("doc_id", F.lit("#text_0")).alias("own_unit_id"),
         F.transform("gold", lambda x: F.concat("doc_id", F.lit("#text_"), x["i"])).alias("gold_unit_ids"),
         F.when(table_like & plain, "table+text").when(table_like, "table").otherwise("text").alias("evidence_type"),
         F.when(F.col("toxic") == 1, "boolean").when(F.col("quality") == 1, "consistent")
@@ -170,7 +170,7 @@ def conversation_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn asks; the assistant turns before the next user turn are gold. Turns without an answer ask nothing."""
+    """Every user turn asks the other turns; the assistant turns before the next user turn are gold. Turns without an answer ask nothing."""
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
     so_far = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
     exchanges = (
@@ -185,6 +185,7 @@ def conversation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").cast("string").alias("doc_id"),
         F.lit("test").alias("split"),
         F.col("asked.text").alias("question"),
+        F.concat("conv_id", F.lit("#text_"), "asked.turn").alias("own_unit_id"),
         F.transform("gold", lambda t: F.concat("conv_id", F.lit("#text_"), t)).alias("gold_unit_ids"),
         F.when(F.size("gold") > 1, "table+text").otherwise("text").alias("evidence_type"),
         F.when(F.col("last") == "assistant", "consistent").otherwise("conflict").alias("label_status"),
