@@ -5,10 +5,9 @@ Retrieval here is the long form (one row per token, term and candidate) that the
 
 from __future__ import annotations
 
-import math
-
 from evalspark.functions.metrics import HEADLINE, KS, METRICS
 from evalspark.functions.text import STOPWORDS
+from evalspark.operators import bootstrap
 from evalspark.operators.bm25 import bm25_grid
 
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -279,12 +278,15 @@ EVAL_GRID = [DOCS, *scoring(GRID), *RANKED, *results()]
 EVAL_ORDERS = [LINES, AUDIT, PAGES, ORDER_PAGES, *scoring([PAGE]), *RANKED, *results()]
 EVAL_TURNS = [TURNS, *scoring([PAGE]), *RANKED, *results()]
 RANDOM = tuple(f"random_{m}" for m in METRICS)
-def draws(key: str, what: str) -> str:
-    return f"('0x' || substr(md5('0:' || {key}), CAST(1 + 8 * ({what} % 4) AS INTEGER), 8))::UBIGINT"
+def mixed(x: str) -> str:
+    """``x`` (below 2**32) spread over all numbers below 2**32."""
+    for _ in range(2):
+        x = f"((xor({x}, ({x}) // 65536) * {bootstrap.MULTIPLIER}) % 4294967296)"
+    return f"xor({x}, {x} // 65536)"
 
 
 def at(m: str, q: float) -> str:
-    """The value at a share of the replicates that have a mean."""
+    """The value at a share of the replicates."""
     return f"list_sort(list({m}))[1 + CAST(round_even({q!r}::DOUBLE * (count(*) - 1), 0) AS INTEGER)]"
 
 
@@ -295,14 +297,36 @@ def interval(metrics) -> list[str]:
     return [f"interval_ AS ({parts})"]
 
 
+TREE = [
+    "asked AS (SELECT DISTINCT question_id, ('0x' || substr(md5(question_id), 1, 8))::BIGINT AS number FROM vals)",
+    f"""tree AS (SELECT count(*) AS n, CASE WHEN count(*) < {bootstrap.LEAF} THEN 0 ELSE CAST(floor(log2(count(*) // {bootstrap.LEAF})) AS BIGINT) END AS depth FROM asked)""",
+    """placed AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY question_id) - 1 AS place, count(*) OVER (PARTITION BY node) AS m
+  FROM (SELECT question_id, depth, (number >> (32 - depth)) + (1::BIGINT << depth) AS node FROM asked, tree))""",
+    "sizes_ AS (SELECT node >> l AS node, count(*) AS size FROM placed, range(40) r(l) WHERE l <= depth GROUP BY 1)",
+    f"""states AS (SELECT replicate, {mixed('x')} AS state FROM (SELECT range AS replicate, (range * {bootstrap.MULTIPLIER}) % 4294967296 AS x FROM range({bootstrap.N_BOOT})))""",
+    f"""reached AS (WITH RECURSIVE down AS (
+    SELECT replicate, state, 1::BIGINT AS node, n::BIGINT AS d FROM states, tree
+    UNION ALL
+    SELECT replicate, state, below, CASE WHEN below % 2 = 0 THEN share ELSE d - share END
+    FROM (SELECT *, unnest([2 * node, 2 * node + 1]) AS below,
+             least(d, greatest(0, CAST(floor(d * p + sqrt(-2.0::DOUBLE * ln((first + 1)::DOUBLE / 4294967296)) * cos(second::DOUBLE / 4294967296 * (2 * pi())) * sqrt(d * p * (1 - p)) + 0.5::DOUBLE) AS BIGINT))) AS share
+          FROM (SELECT *, {mixed('y')} AS second FROM (SELECT *, (first + {bootstrap.SECOND}) % 4294967296 AS y
+          FROM (SELECT *, {mixed('x')} AS first FROM (SELECT replicate, state, d.node, d, coalesce(l.size, 0)::DOUBLE / s.size AS p, (state + d.node * {bootstrap.STRIDE}) % 4294967296 AS x
+             FROM down d JOIN sizes_ s ON s.node = d.node LEFT JOIN sizes_ l ON l.node = 2 * d.node JOIN tree ON d.node < (1::BIGINT << depth))))))
+  ) SELECT * FROM down)""",
+    f"""picked AS (SELECT replicate, node, m, {mixed('z')} * m // 4294967296 AS place FROM (
+    SELECT *, (own + draw * {bootstrap.DRAW}) % 4294967296 AS z FROM (
+      SELECT replicate, node, m, {mixed('x')} AS own, unnest(range(1, d + 1)) AS draw FROM (
+        SELECT r.*, m, (state + r.node * {bootstrap.STRIDE}) % 4294967296 AS x FROM reached r JOIN (SELECT DISTINCT node, m FROM placed) USING (node)))))""",
+    "drawn AS (SELECT replicate, question_id, count(*) AS w FROM picked JOIN placed USING (node, place) GROUP BY ALL)",
+]
+
+
 def weighted(keys: str, metrics) -> list[str]:
-    """CTEs from ``vals(question_id, <keys>, <metrics>)`` to the mean of each replicate."""
-    cdf = [math.fsum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
-    cases = " ".join(f"WHEN u < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(cdf))
+    """CTEs from ``vals(question_id, <keys>, <metrics>)`` to the mean of each replicate: as many draws as questions, split down a tree."""
     return [
-        f"drawn AS (SELECT v.*, r.range AS replicate, {draws(chr(39).join(['question_id || ', ':', ' || (r.range // 4)']), 'r.range')}::DOUBLE / 4294967296 AS u FROM vals v, range(1000) r)",
-        f"weighted AS (SELECT *, CASE {cases} ELSE 12 END AS w FROM drawn WHERE u >= {cdf[0]!r}::DOUBLE)",
-        f"means AS (SELECT {keys} replicate, {', '.join(f'sum({m} * w) / sum(w) AS {m}' for m in metrics)} FROM weighted GROUP BY ALL)",
+        *TREE,
+        f"means AS (SELECT {keys} replicate, {', '.join(f'sum({m} * w) / sum(w) AS {m}' for m in metrics)} FROM drawn JOIN vals USING (question_id) GROUP BY ALL)",
     ]
 
 
@@ -395,7 +419,8 @@ UNION ALL SELECT 'broken_missing_gold', count(*) FROM questions"""),
     "breakdown": with_(EVAL, _breakdown()),
     "grid_summary": with_(EVAL_GRID, f"SELECT config_id, count(*) AS n_questions, {avg6('all_gold_at_5', 'recall_at_5', 'rr', 'ndcg_at_10')} FROM results GROUP BY config_id"),
     "bootstrap_ci": with_([*EVAL, *weights(_HEAD, HEADLINE)], _INTERVAL),
-    "bootstrap_weights": with_([*EVAL, *weights(_HEAD, HEADLINE)], _INTERVAL),
+    "bootstrap_weights": with_([*EVAL, "vals AS (SELECT question_id FROM results)", *TREE],
+                               "SELECT CAST(replicate AS INTEGER) AS replicate, CAST(sum(w) AS BIGINT) AS draws, count(*) AS n_drawn, max(w) AS most FROM drawn GROUP BY replicate"),
     "paired_bootstrap": with_([*EVAL_TWO, *weights(_PAIRED, COMPARED)], _INTERVAL),
     "compare_to_best": _compare(),
     "report": _report(),

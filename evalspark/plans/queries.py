@@ -418,8 +418,10 @@ def bootstrap_ci(spark, sf_dir):
 
 
 def bootstrap_weights(spark, sf_dir):
+    """Per replicate: its draws, how many questions they hit, and the largest weight of one."""
     results = materialize(_results(spark, sf_dir), "results")
-    return _rounded(bootstrap.bootstrap_ci(results, "question_id", HEADLINE))
+    weights = bootstrap.draws(results, "question_id", [], bootstrap.N_BOOT, bootstrap.SEED).groupBy("replicate", "question_id").agg(F.count("*").alias("w"))
+    return weights.groupBy("replicate").agg(F.sum("w").alias("draws"), F.count("*").alias("n_drawn"), F.max("w").alias("most"))
 
 
 def paired_bootstrap(spark, sf_dir):
