@@ -14,7 +14,7 @@ from evalspark.operators import bootstrap, ranking
 from evalspark.operators.bm25 import BM25Config, bm25_retriever
 from evalspark.scratch import materialize, temporary
 from evalspark.sinks import tables
-from evalspark.sources.tables import read_table, units_of_split
+from evalspark.sources.tables import read_split
 
 Retriever = Callable[[DataFrame, DataFrame], DataFrame]
 DIMENSIONS = ("evidence_type", "n_gold", "label_status")
@@ -75,30 +75,35 @@ def _means(names: Sequence[str]) -> list[Column]:
 
 
 def run(spark: SparkSession, split: str, configs: Sequence[BM25Config], prefix: str = "qa", stems: DataFrame | None = None,
-        commit: str | None = None, dirty: bool = False, **options) -> DataFrame:
+        commit: str | None = None, dirty: bool = False, run_ids: Sequence[str] | None = None, **options) -> DataFrame:
     """One evaluation from the silver tables to the gold tables; returns the run rows.
 
     The questions of ``split`` are asked, document frequencies come from the units of the pages of the train split, and the runs carry
-    the versions of the tables that were read. Runs and per-question rows are appended. Choosing among several
+    the versions of the tables that were read. Only the files of these splits are opened. Choosing among several
     configurations is for the other splits: on ``test`` only one may run.
+
+    Gold tables have a partition per run. Runs and per-question rows are both written before either is seen, results come first, and
+    a run id that is there already (``run_ids``, one per configuration) is replaced: a run repeated, also after a crash between the two, equals one.
     """
     if split == "test" and len(configs) > 1:
         raise ValueError("a grid is not run on the test split")
     names = {n: f"silver.{prefix}_{n}" for n in ("documents", "evidence_units", "questions")}
     versions = tables.table_versions(spark, list(names.values()))
-    questions = read_table(spark, names["questions"]).filter(F.col("split") == split)
-    units = read_table(spark, names["evidence_units"], ["doc_id", "unit_id", "text"])
-    pages = read_table(spark, names["documents"], ["doc_id", "split"])
-    retriever = bm25_retriever(configs, corpus=units_of_split(units, pages, "train"), stems=stems)
-    run_ids = [new_run_id() for _ in configs]
-    candidates = units_of_split(units, pages, split)
+    units = ["doc_id", "unit_id", "text"]
+    asked = ["question_id", "doc_id", "split", "question", "gold_unit_ids", "evidence_type", "label_status"]
+    questions = read_split(spark, names["questions"], split, asked)
+    candidates = read_split(spark, names["evidence_units"], split, units)
+    corpus = read_split(spark, names["evidence_units"], "train", units)
+    run_ids = list(run_ids) if run_ids else [new_run_id() for _ in configs]
+    gold = [f"gold.{prefix}_retrieval_results", f"gold.{prefix}_retrieval_runs"]
     with temporary(spark):
-        results = materialize(evaluate(retriever, questions, candidates, run_ids), "results")
-        runs = materialize(build_runs(results, [c.params_json for c in configs], split, "bm25", versions, commit, dirty, **options), "runs")
+        results = materialize(evaluate(bm25_retriever(configs, corpus=corpus, stems=stems), questions, candidates, run_ids), "results")
+        runs = build_runs(results, [c.params_json for c in configs], split, "bm25", versions, commit, dirty, **options)
         tables.create_layers(spark)
-        tables.append_table(gold_rows(results), f"gold.{prefix}_retrieval_results")
-        tables.append_table(runs, f"gold.{prefix}_retrieval_runs")
-    return spark.table(f"gold.{prefix}_retrieval_runs").filter(F.col("run_id").isin(run_ids))
+        written = [tables.stage(df, table, ["run_id"]) for df, table in zip((gold_rows(results), runs), gold, strict=True)]
+        for staged in written:
+            tables.publish_partitions(staged)
+    return spark.table(gold[1]).filter(F.col("run_id").isin(run_ids))
 
 
 def run_means(results: DataFrame) -> DataFrame:

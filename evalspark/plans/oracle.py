@@ -67,6 +67,19 @@ status AS (
     CASE WHEN l_linenumber IN (1, 4) THEN 2 WHEN l_linenumber = 5 THEN 3 ELSE 1 END AS n_steps
   FROM audit)"""
 
+PROGRAM = f"""CASE l_linenumber WHEN 1 THEN 'multiply(' || {fixed('l_extendedprice')} || ', ' || {fixed('l_discount')} || '), subtract(' || {fixed('l_extendedprice')} || ', #0)'
+  WHEN 2 THEN 'divide(' || {fixed('l_extendedprice')} || ', ' || {fixed('l_quantity')} || ')'
+  WHEN 3 THEN 'greater(' || {fixed('l_quantity')} || ', 25), EOF'
+  WHEN 4 THEN 'table_max(total price, none), divide(#0, const_100)'
+  WHEN 5 THEN 'table_average(total price, none), exp(' || {fixed('l_quantity')} || ', 2), add(#0, #1)'
+  WHEN 6 THEN 'add(' || {fixed('l_quantity')} || ', ' || {fixed('l_discount')} || '%)'
+  ELSE CASE l_returnflag WHEN 'R' THEN 'divide(' || {fixed('l_extendedprice')} || ', 0)' WHEN 'A' THEN 'add(#1, 2)'
+       ELSE 'table_sum(missing row, none)' END END"""
+
+# The lines whose program works and whose id occurs once, as a load lets pass.
+LOADABLE = LINES.replace("lines AS (", "every_line AS (") + """,
+lines AS (SELECT * FROM every_line WHERE l_linenumber < 7 QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1)"""
+
 MONEY = f"'$ ' || {fixed('o_totalprice')}"
 PAGES = f"""pages_ AS (SELECT DISTINCT doc_id, ticker, fiscal_year, page, split, o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM lines),
 text_ AS (
@@ -94,6 +107,13 @@ SELECT 'text' AS kind, doc_id FROM text_ UNION ALL SELECT 'table_row', doc_id FR
 FROM orders, (VALUES ('flat'), ('partitioned')) s(shape)""",
     "file_manifest": r"""SELECT coalesce(regexp_extract(url, '([a-z_]+)\.html$', 1), '') AS split, string_split(url, '/')[-1] AS name, sha256(html) AS sha256,
 octet_length(encode(html)) AS bytes, 'c0ffee' AS source_commit FROM pages""",
+    "json_arrays": with_([LINES, AUDIT], f"""SELECT question_id AS id, doc_id AS filename, split, {PROGRAM} AS program, 4 AS n_rows, split || '.json' AS file FROM status"""),
+    "load_twice": with_([LOADABLE, AUDIT], """SELECT question_id, split, label_status, 3 AS n_text_units, 4 AS n_table_rows, 7 AS n_units,
+(SELECT count(*) FROM status) AS bronze_rows, 'created;merged' AS outcome, 'run-1' AS run_ids FROM status"""),
+    "report_sink": with_([LINES, AUDIT], """SELECT split, count(*) AS questions, count(DISTINCT doc_id) AS documents, count(DISTINCT ticker) AS tickers,
+round(avg(executor_matches_gold::INT), 4) AS executor_agreement, count(*) FILTER (label_status = 'consistent') AS consistent FROM status GROUP BY split"""),
+    "bucketed_upsert": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE round(o_totalprice * 2, 2) END AS o_totalprice, 'F' AS o_orderstatus,
+'merged' AS outcome, 2 AS version FROM orders""",
     "evidence_type": with_([LINES, AUDIT], "SELECT question_id, evidence_type, gold_unit_ids, n_steps FROM status"),
     "program_values": with_([LINES, AUDIT], """SELECT question_id, round(v, 6) AS value_num, value_text, program_err,
 CASE WHEN l_linenumber < 7 THEN n_steps ELSE 0 END AS n_results,
@@ -102,14 +122,7 @@ CASE WHEN l_linenumber IN (4, 5) THEN 'ambiguous_row:total price:2_matches' ELSE
     "label_status": with_([LINES, AUDIT], "SELECT question_id, split, gold_exe_ans, executor_matches_gold, label_status FROM status"),
     "questions": with_([LINES, AUDIT], f"""SELECT question_id, doc_id, split,
 'what is the value of line ' || l_linenumber || ' for part ' || l_partkey || ' ?' AS question,
-CASE l_linenumber WHEN 1 THEN 'multiply(' || {fixed('l_extendedprice')} || ', ' || {fixed('l_discount')} || '), subtract(' || {fixed('l_extendedprice')} || ', #0)'
-  WHEN 2 THEN 'divide(' || {fixed('l_extendedprice')} || ', ' || {fixed('l_quantity')} || ')'
-  WHEN 3 THEN 'greater(' || {fixed('l_quantity')} || ', 25), EOF'
-  WHEN 4 THEN 'table_max(total price, none), divide(#0, const_100)'
-  WHEN 5 THEN 'table_average(total price, none), exp(' || {fixed('l_quantity')} || ', 2), add(#0, #1)'
-  WHEN 6 THEN 'add(' || {fixed('l_quantity')} || ', ' || {fixed('l_discount')} || '%)'
-  ELSE CASE l_returnflag WHEN 'R' THEN 'divide(' || {fixed('l_extendedprice')} || ', 0)' WHEN 'A' THEN 'add(#1, 2)'
-       ELSE 'table_sum(missing row, none)' END END AS gold_program,
+{PROGRAM} AS gold_program,
 gold_exe_ans, gold_unit_ids, evidence_type, n_steps, value_text AS executor_value, executor_matches_gold, label_status FROM status"""),
     "quality_metrics": with_([LINES, AUDIT], """SELECT count(*) AS questions, count(*) - count(DISTINCT question_id) AS duplicate_ids,
 round(avg(executor_matches_gold::INT), 6) AS agreement, count(*) AS bronze_rows,
@@ -184,7 +197,7 @@ ORDER_PAGES = """units AS (SELECT doc_id, doc_id || '#text_' || position AS unit
   UNION ALL SELECT doc_id, doc_id || '#table_' || position, text FROM rows_),
 corpus AS (SELECT unit_id FROM units),
 once AS (SELECT * FROM status QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY evidence_type, label_status) = 1),
-gold AS (SELECT question_id, unnest(string_split(gold_unit_ids, ';')) AS unit_id FROM once),
+gold AS (SELECT question_id, unnest(string_split(gold_unit_ids, ';')) AS unit_id FROM once ),
 questions AS (SELECT question_id, doc_id, NULL AS own_unit_id, split, 'what is the value of line ' || l_linenumber || ' for part ' || l_partkey || ' ?' AS question, evidence_type, label_status FROM once)"""
 
 STEM = """CASE WHEN t LIKE '%ies' AND NOT (t LIKE '%eies' OR t LIKE '%aies') THEN left(t, length(t) - 3) || 'y'
@@ -277,6 +290,8 @@ EVAL_TWO = [DOCS, *scoring([PAGE, CORPUS]), *RANKED, *results()]
 EVAL_GRID = [DOCS, *scoring(GRID), *RANKED, *results()]
 EVAL_ORDERS = [LINES, AUDIT, PAGES, ORDER_PAGES, *scoring([PAGE]), *RANKED, *results()]
 EVAL_TURNS = [TURNS, *scoring([PAGE]), *RANKED, *results()]
+EVAL_DEV = [LOADABLE, AUDIT, PAGES, ORDER_PAGES.replace("corpus AS (SELECT unit_id FROM units)", "corpus AS (SELECT unit_id FROM units JOIN pages_ USING (doc_id) WHERE split = 'train')")
+            .replace("FROM once)", "FROM once WHERE split = 'dev')"), *scoring([PAGE, CORPUS]), *RANKED, *results()]
 RANDOM = tuple(f"random_{m}" for m in METRICS)
 def mixed(x: str) -> str:
     """``x`` (below 2**32) spread over all numbers below 2**32."""
@@ -428,6 +443,8 @@ UNION ALL SELECT 'broken_missing_gold', count(*) FROM questions"""),
     "order_question_results": with_(EVAL_ORDERS, f"""SELECT question_id, doc_id, split, evidence_type, label_status, n_candidates, n_gold, gold_ranks, top_unit_ids,
 {r6('rr', 'ndcg_at_10', 'random_rr')} FROM results"""),
     "run_rows": with_(EVAL_TWO, _run_rows()),
+    "evaluation_run": with_(EVAL_DEV, f"""SELECT CASE config_id WHEN 0 THEN 'page' ELSE 'corpus' END AS run_id, question_id, split, n_candidates, gold_ranks,
+{r6('rr', 'random_ndcg_at_5')}, count(*) OVER (PARTITION BY config_id) AS n_questions FROM results"""),
     "conversation_metrics": with_(EVAL_TURNS, f"SELECT question_id, evidence_type, label_status, n_candidates, n_gold, gold_ranks, {r6(*METRICS)} FROM results"),
     "conversation_summary": with_(EVAL_TURNS, f"SELECT count(*) AS n_questions, {avg6(*METRICS, *RANDOM)} FROM results"),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -15,12 +16,13 @@ from evalspark.functions.programs import evaluate_programs
 from evalspark.functions.text import tokenize, tokens
 from evalspark.operators import bm25, bootstrap, quality, ranking, silver
 from evalspark.plans import evaluation
+from evalspark.plans.load import load
 from evalspark.scratch import materialize, new_folder
 from evalspark.sinks import tables
 from evalspark.sinks.tables import upsert
 from evalspark.sources import standins
 from evalspark.sources.bronze import manifest_rows, read_bronze
-from evalspark.sources.tables import units_of_split
+from evalspark.sources.tables import read_table, units_of_split
 
 Query = Callable[[SparkSession, str], DataFrame]
 GRID = bm25.bm25_grid()
@@ -94,6 +96,82 @@ def json_lineage(spark, sf_dir):
                          F.col("_source_file").endswith(".json").alias("from_json"), F.col("_ingested_at").isNotNull().alias("stamped"))
 
 
+def _arrays(spark, sf_dir, records) -> str:
+    """JSON arrays of records, in files named by split; returns the glob that reads them."""
+    path = new_folder(spark, "arrays")
+    standins.write_arrays(records, path)
+    return f"{path}/[0-9]*"
+
+
+def json_arrays(spark, sf_dir):
+    """Records written as JSON arrays, each cut by many tasks, with the split from the file's name."""
+    bronze = read_bronze(spark, _arrays(spark, sf_dir, standins.order_records(spark, sf_dir)), "c0ffee", "run-1")
+    return bronze.select("id", "filename", "split", F.col("qa.program").alias("program"), F.size("table").alias("n_rows"),
+                         F.regexp_extract("_source_file", "[a-z]+[.]json$", 0).alias("file"))
+
+
+def _loaded(spark, sf_dir, times: int = 1) -> tuple[str, list]:
+    """A load from JSON arrays under a prefix of its own, the same run id each time."""
+    prefix = f"q{uuid.uuid4().hex}"
+    path = _arrays(spark, sf_dir, standins.loadable_records(spark, sf_dir))
+    return prefix, [load(spark, path, "c0ffee", "run-1", prefix=prefix, buckets=8).first() for _ in range(times)]
+
+
+def _dropped(spark, prefix: str, result):
+    """The result as a written table, and the catalog entries and snapshots of its run removed."""
+    result = materialize(result, "from-tables")
+    tables.drop_tables(spark, prefix)
+    return result
+
+
+def load_twice(spark, sf_dir):
+    """Questions of the silver tables after the same load was run twice, with the units of their page; and the rows kept in bronze."""
+    prefix, loads = _loaded(spark, sf_dir, 2)
+    name = lambda t: f"silver.{prefix}_{t}"
+    units = read_table(spark, name("evidence_units")).groupBy("doc_id", "split").agg(F.count("*").alias("n_units"))
+    pages = read_table(spark, name("documents"), ["doc_id", "split", "n_text_units", "n_table_rows"])
+    asked = read_table(spark, name("questions"), ["question_id", "doc_id", "split", "label_status"])
+    outcome = ";".join(sorted({o for row in loads for o in json.loads(row["writes_json"]).values()}))
+    return _dropped(spark, prefix, asked.join(pages, ["doc_id", "split"]).join(units, ["doc_id", "split"]).select(
+        "question_id", "split", "label_status", "n_text_units", "n_table_rows", "n_units",
+        F.lit(spark.table(f"bronze.{prefix}_records").count()).alias("bronze_rows"), F.lit(outcome).alias("outcome"),
+        F.lit(";".join(sorted({r["run_id"] for r in loads}))).alias("run_ids")))
+
+
+def evaluation_run(spark, sf_dir):
+    """Gold rows of one evaluation of the dev split, run twice under the same ids: files to silver tables to gold tables."""
+    prefix, _ = _loaded(spark, sf_dir)
+    for _ in range(2):
+        evaluation.run(spark, "dev", [PAGE, CORPUS], prefix=prefix, run_ids=["page", "corpus"], n_boot=20)
+    runs = spark.table(f"gold.{prefix}_retrieval_runs").select("run_id", "n_questions")
+    rows = spark.table(f"gold.{prefix}_retrieval_results").select(
+        "run_id", "question_id", "split", "n_candidates", F.array_join("gold_ranks", ";").alias("gold_ranks"),
+        F.col("metrics")["rr"].alias("rr"), F.col("random_metrics")["ndcg@5"].alias("random_ndcg_at_5"))
+    return _dropped(spark, prefix, _rounded(rows.join(runs, "run_id")))
+
+
+def report_sink(spark, sf_dir):
+    """The quality report written as JSON lines and read back."""
+    bronze = standins.order_records(spark, sf_dir)
+    path = new_folder(spark, "report")
+    tables.write_report(quality.quality_report(silver.documents(bronze), silver.questions(bronze)), path)
+    schema = "split string, questions bigint, documents bigint, tickers bigint, executor_agreement double, label_status map<string, bigint>"
+    return spark.read.schema(schema).json(path).select("split", "questions", "documents", "tickers", "executor_agreement",
+                                                       F.coalesce(F.col("label_status")["consistent"], F.lit(0)).alias("consistent"))
+
+
+def bucketed_upsert(spark, sf_dir):
+    """Orders kept by buckets of their key and partitioned by status: orders open or in part are closed with a new price, so they change their partition."""
+    name = f"silver.writes_{uuid.uuid4().hex}"
+    tables.create_layers(spark)
+    orders = standins.load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    closed = orders.filter("o_orderstatus != 'F'").select("o_orderkey", F.round(F.col("o_totalprice") * 2, 2).alias("o_totalprice"), F.lit("F").alias("o_orderstatus"))
+    for df in (orders.filter("o_orderstatus != 'P'"), closed, closed.limit(1)):
+        outcome = tables.merge_into(df, name, ["o_orderkey"], ["o_orderstatus"], 8)
+    result = read_table(spark, name).withColumns({"outcome": F.lit(outcome), "version": F.lit(tables.table_version(spark, name))})
+    return _dropped(spark, name.removeprefix("silver."), result)
+
+
 def table_writes(spark, sf_dir):
     """Orders written as a table, appended to, merged into twice and read back, flat and partitioned."""
     name = f"writes_{uuid.uuid4().hex}"
@@ -110,7 +188,7 @@ def table_writes(spark, sf_dir):
         out.append(spark.table(table).select(
             F.lit(shape).alias("shape"), "o_orderkey", "o_totalprice", "o_orderstatus", F.lit(written).alias("written"),
             F.lit(added).alias("added"), F.lit(tables.table_version(spark, table)).alias("version")))
-    return out[0].unionByName(out[1])
+    return _dropped(spark, name, out[0].unionByName(out[1]))
 
 
 def manifest(spark, sf_dir):
@@ -479,6 +557,7 @@ QUERIES: dict[str, Query] = {
     "table_row_units": table_row_units, "units_union": units_union, "page_dedupe": page_dedupe,
     "evidence_type": evidence_type, "train_units": train_units, "json_round_trip": json_round_trip,
     "json_lineage": json_lineage, "file_manifest": manifest, "upsert": upsert_orders, "table_writes": table_writes,
+    "json_arrays": json_arrays, "load_twice": load_twice, "evaluation_run": evaluation_run, "report_sink": report_sink, "bucketed_upsert": bucketed_upsert,
     "parse_numbers": parse_numbers, "program_values": program_values, "program_errors": program_errors,
     "program_arith": program_arith, "program_overflow": program_overflow, "program_greater": program_greater, "program_table_ops": program_table_ops,
     "numbers_match": numbers_match_query, "label_status": label_status, "questions": questions,

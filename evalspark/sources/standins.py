@@ -7,6 +7,7 @@ nothing is grouped into arrays that grows with a key.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -114,6 +115,45 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def loadable_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that a load's checks let pass: without the lines whose program is broken, and without ids that occur twice."""
+    records = order_records(spark, sf_dir).filter(~F.col("id").rlike("-7-[0-9]+-[0-9]+$"))
+    twice = records.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    return records.join(twice, "id", "left_anti")
+
+
+def write_arrays(records: DataFrame, path: str) -> None:
+    """Records as JSON arrays in files named by their split, ``<path>/<n>/<split>.json``, as many as the writing tasks made."""
+    def bracketed(batches):
+        at = None
+        for batch in batches:
+            out = {"text": [], "split": []}
+            for text, split in zip(*(c.to_pylist() for c in batch.columns)):
+                if split != at and at is not None:
+                    out["text"].append("]")
+                    out["split"].append(at)
+                out["text"].append((", " if split == at else "[") + text)
+                out["split"].append(split)
+                at = split
+            yield pa.RecordBatch.from_pydict(out)
+        if at is not None:
+            yield pa.RecordBatch.from_pydict({"text": ["]"], "split": [at]})
+
+    spark = records.sparkSession
+    fields = [F.col(c) for c in records.columns if c != "split"]
+    lines = records.select(F.to_json(F.struct(*fields)).alias("text"), "split").sortWithinPartitions("split")
+    lines.mapInArrow(bracketed, "text string, split string").write.partitionBy("split").text(f"{path}/written")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    store = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+    for folder in store.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/written")):
+        name = folder.getPath().getName()
+        if name.startswith("split="):
+            for n, file in enumerate(store.listStatus(folder.getPath())):
+                target = jvm.org.apache.hadoop.fs.Path(f"{path}/{n}")
+                store.mkdirs(target)
+                store.rename(file.getPath(), jvm.org.apache.hadoop.fs.Path(target, f"{name[6:]}.json"))
+
+
 # ---------- documents: pages of text ----------
 
 def _document_name() -> Column:
