@@ -1,7 +1,7 @@
 """Ids and token counts of whole texts through small caches over the ``tokenizers`` library.
 
-A text is cut where the tokenizer's own splitting rule is certain to cut, and each different piece is
-encoded once per worker. Pieces with characters outside a plain range are encoded by the library as
+A text is cut where the tokenizer's own splitting rule is certain to cut, and different pieces are
+encoded once while a worker remembers them. Pieces with characters outside a plain range are encoded by the library as
 they stand, so every text gets exactly the library's ids.
 """
 
@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE = 400_000  # pieces kept by a worker
+CACHE = 800_000  # words kept by a worker, in two halves
 LONGEST = 64  # characters of a piece that is worth keeping
 #: Printable ASCII and the Latin letters whose lower case and byte form are simple.
 PLAIN = re.compile("[!-~À-įı-ňŊ-ž]+")
@@ -37,8 +38,30 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Recent(dict):
+    """Values of the keys seen last. A full half becomes the old one; old keys that come again return to the young half."""
+
+    def __init__(self, make: Callable[[str], object]):
+        super().__init__()
+        self.make, self.half, self.old = make, CACHE // 2, {}
+
+    def __missing__(self, key: str):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class _Pieces:
-    """``ids`` of one pre-token by the model alone, remembered."""
+    """``ids`` of one pre-token by the model alone."""
+
+    #: Marks that are a pre-token of their own behind a word, and begin nothing else.
+    MARKS = frozenset(".,;:!?)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,8 +72,13 @@ class _Pieces:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def piece(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
+    def tokens(self, piece: str) -> list:
+        return self.model.tokenize(piece if piece.isascii() and " " not in piece and "\n" not in piece else piece.encode().decode("latin-1").translate(self.table))
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordIds(_Pieces):
@@ -60,39 +88,25 @@ class WordIds(_Pieces):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words = Recent(self._word)
 
     def _word(self, word: str) -> bytes:
+        if word.isalpha() and (word.isascii() or PLAIN.fullmatch(word)):  # one pre-token
+            low = word.lower()
+            return _packed([t.id for t in self.tokens(low)]) if low == word else self.words[low]
         # "<|" begins the special strings, which the library finds before it splits
         if not PLAIN.fullmatch(word) or "<|" in word:
-            return np.array(self.whole(word), "<u4").tobytes()
-        out = []
-        for p in self.RULE.findall(word.lower()):
-            got = self.pieces.get(p)
-            if got is None:
-                got = np.array(self.piece(p), "<u4").tobytes()
-                if len(p) <= LONGEST:
-                    self.pieces[p] = got
-            out.append(got)
-        return b"".join(out)
+            return _packed(self.whole(word))
+        pieces = (word[:-1], word[-1]) if word[-1] in self.MARKS and word[:-1].isalpha() else self.RULE.findall(word.lower())
+        if len(pieces) > 1:
+            return b"".join([self.words[p] for p in pieces])
+        return _packed([t.id for t in self.tokens(pieces[0])])
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if ODD.search(text):
-            return np.array(self.whole(text), "<u4").tobytes()
-        words, known = text.split(), self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        new = {w: self._word(w) for w in set(words) if w not in known}
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            self.pieces.clear()
-        out = b"".join([new[w] if w in new else known[w] if w in known else self._word(w) for w in words])
-        known.update((w, b) for w, b in new.items() if len(w) <= LONGEST)
-        return out
+            return _packed(self.whole(text))
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 class WholeTokens(_Pieces):
@@ -118,33 +132,31 @@ class WholeTokens(_Pieces):
         tokenizer = self.tokenizer
         self.proven = {s for s, e in zip(strings, tokenizer.encode_batch_fast(strings, add_special_tokens=False))
                        if len(e.ids) == 1 and self.RULE.findall(s) == [s]}
-        self.counts: dict[str, int] = {}
+        self.counts = Recent(lambda word: self._count(" " + word))
+
+    def _one(self, piece: str) -> int:
+        return 1 if piece in self.proven else len(self.tokens(piece))
 
     def _count(self, part: str) -> int:
         """Tokens of a part that begins at a cut; ``part`` has its leading space."""
+        word = part[1:]
+        if part[:1] == " " and (word.isascii() or PLAIN.fullmatch(word)):
+            if word.isalpha():
+                return self._one(part)
+            if word[-1:] in self.MARKS and word[:-1].isalpha():
+                return self.counts[word[:-1]] + self._one(word[-1])
         if not PLAIN.fullmatch(part.replace(" ", "").replace("\n", "") or "!") or "<|" in part:
             return len(self.whole(part))
-        return sum(1 if p in self.proven else len(self.model.tokenize(p.encode().decode("latin-1").translate(self.table)))
-                   for p in self.RULE.findall(part))
+        return sum(map(self._one, self.RULE.findall(part)))
 
     def count(self, text: str) -> int:
         """A space that something other than white space follows always begins a pre-token."""
         if ODD.search(text) or not text:
             return len(self.whole(text))
-        parts, counts = self.CUT.split(text) if self.GLUED.search(text) else text.split(" "), self.counts
-        first, total = self._count(parts[0]) if parts[0] else 0, 0
+        parts = self.CUT.split(text) if self.GLUED.search(text) else text.split(" ")
+        first = self._count(parts[0]) if parts[0] else 0
         del parts[0]
-        try:
-            return first + sum(map(counts.__getitem__, parts))
-        except KeyError:
-            pass
-        new = {w: self._count(" " + w) for w in set(parts) if w not in counts}
-        if len(counts) + len(new) > CACHE:
-            counts.clear()
-        for w in parts:
-            total += new[w] if w in new else counts[w] if w in counts else self._count(" " + w)
-        counts.update((w, n) for w, n in new.items() if len(w) <= LONGEST)
-        return first + total
+        return first + sum(map(self.counts.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)

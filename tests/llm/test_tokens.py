@@ -11,7 +11,7 @@ from rows import clashing, documents, rows
 from tokenizers import Tokenizer
 
 from evalspark.llm import packing, token_counts
-from evalspark.llm.vocab import default_path, whole_tokens, word_ids
+from evalspark.llm.vocab import WholeTokens, WordIds, default_path, whole_tokens, word_ids
 
 WORD, BYTE = default_path("word_bpe_49k.json"), default_path("byte_bpe_50k.json")
 ODD = ["", " ", "a", "  two  spaces \n x ", "\n\nA\n b", "it's IT'S don't 's ' s'll", "<|endoftext|> x<|endoftext|>y <|startoftext|>",
@@ -47,8 +47,11 @@ def test_any_text_gets_the_library_ids(tokenizers_, text):
 
 def test_caches_that_overflow_change_nothing(tokenizers_, monkeypatch):
     monkeypatch.setattr("evalspark.llm.vocab.CACHE", 3)
-    for text in ["one two three four five one two", "six seven one two", "a b c d e f a b"]:
-        check(tokenizers_, text)
+    words, counts = WordIds(WORD), WholeTokens(BYTE)
+    for text in ["one two three four five one two", "six seven, one two One", "a b c d e f a b", *ODD]:
+        assert np.frombuffer(words.ids(text), "<u4").tolist() == tokenizers_[WORD].encode(text, add_special_tokens=False).ids
+        assert counts.count(text) == len(tokenizers_[BYTE].encode(text, add_special_tokens=False).ids)
+    assert len(words.words) <= 2 and len(counts.counts) <= 2
 
 
 def test_whole_tokens_are_proven():
