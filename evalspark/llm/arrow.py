@@ -36,3 +36,13 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def text_key(text_col: str) -> Column:
+    """Tells rows of one id apart by their texts; a null text is empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(1))
+
+
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Whole rows as one column ``row`` beside ``keys``, so that their columns may have any names; ``row.*`` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[k.alias(name) for name, k in keys.items()])

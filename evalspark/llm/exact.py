@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.arrow import arrow_schema
+from evalspark.llm.arrow import arrow_schema, packed
 from evalspark.scratch import materialize
 
 SHARD = 16_384  # digests of one shard, about
@@ -158,7 +158,7 @@ def exact_groups(docs: DataFrame, history: Column | None = None, id_col: str = "
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns, one for each id and text."""
     groups = exact_groups(docs, id_col=id_col, text_col=text_col)
-    kept = groups.filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    sha = F.sha2(normalised(F.col(text_col)), 256)
-    stays = docs.join(kept, F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_semi")
-    return stays.withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha")
+    kept = groups.filter("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    rows = packed(docs, id=F.col(id_col).cast("bigint"), sha=F.sha2(normalised(F.col(text_col)), 256))
+    stays = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    return stays.dropDuplicates(["id", "sha"]).select("row.*")

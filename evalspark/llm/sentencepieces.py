@@ -5,9 +5,9 @@ rebuilt as a ``tokenizers`` pipeline: the compiled character map, the extra-spac
 unigram model with its scores or a BPE model whose merges follow from the scores, both with byte fallback.
 
 A text is cut before each marker that follows another character, if no piece of the vocabulary crosses such a place, and
-each different part is encoded once per worker, in batches over ``threads`` threads. Every part is also encoded by the
-``sentencepiece`` library, and decoded again; ``parity`` and ``round_trip`` tell whether all parts of the text agreed. A
-part on which the libraries differ gets the ids of ``sentencepiece``.
+each different part is encoded once while a worker remembers it, in batches over ``threads`` threads. Ids and decoded texts are those of
+the rebuilt tokenizer. Every part is also encoded by the ``sentencepiece`` library, only to compare, and decoded again; ``parity`` and
+``round_trip`` tell whether all parts of the text agreed.
 
 Null text is empty and has no ids. Rows are independent: repeated rows give repeated rows, an empty table gives no rows, other
 columns are not read.
@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,17 +153,11 @@ class Codec:
         crossed = any(MARK in p.lstrip(MARK) for p, _, kind in self.spec.pieces if kind in (NORMAL, USER))
         self.by_part = self.spec.dummy_prefix and not self.spec.charsmap and not self.spec.squeeze and not crossed
         self.known: dict[str, tuple[bytes, int]] = {}
-        self.table = [self._bytes(p, kind) for p, _, kind in self.spec.pieces]
+        self.old: dict[str, tuple[bytes, int]] = {}  # known before; those that come again are known again
 
-    @staticmethod
-    def _bytes(piece: str, kind: int) -> bytes:
-        if kind == BYTE:
-            return bytes([int(piece[1:-1], 16)])
-        return b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNK else piece.replace(MARK, " ").encode()
-
-    def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.spec.dummy_prefix and text.startswith(" ") else text
+    def decode(self, ids: list[bytes]) -> list[str]:
+        """Texts of packed ids."""
+        return self.tokenizer.decode_batch([list(struct.unpack(f"<{len(x) // 4}I", x)) for x in ids], skip_special_tokens=False)
 
     def parts(self, text: str) -> list[str]:
         """Parts without the space that the marker stands for; the first part has none."""
@@ -181,27 +174,31 @@ class Codec:
         back = self.tokenizer.decode_batch(mine, skip_special_tokens=False)
         out = {}
         for part, text, a, b, again in zip(new, bare, mine, theirs, back):
-            out[part] = np.array(b, "<u4").tobytes(), (a == b) + 2 * (again == text)
+            out[part] = struct.pack(f"<{len(a)}I", *a), (a == b) + 2 * (again == text)
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, int]]:
         """Packed ids, and 1 for parity plus 2 for a round trip of all parts. An empty text has no parts."""
         cut = [self.parts(t) if t else [] for t in texts]
         new = {p for parts in cut for p in parts}.difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = {p for parts in cut for p in parts}
-        got = self.learn(list(new))
-        if len(got) > CACHE:
-            known = got
+        again = {p: self.old[p] for p in new if p in self.old}
+        got = again | self.learn(list(new.difference(again)))
+        if len(self.known) + len(got) > CACHE // 2:
+            here = {p: self.known[p] for parts in cut for p in parts if p in self.known}
+            self.old, self.known = self.known, here
+        if len(got) > CACHE // 2:
+            known = {**self.known, **got}
         else:
-            self.known.update((p, x) for p, x in got.items() if len(p) <= LONGEST)
-            known = {**got, **self.known} if any(len(p) > LONGEST for p in got) else self.known
+            self.known.update(got)  # long parts leave again below
+            known = self.known
         out = []
         for parts in cut:
             found = [known[p] for p in parts]
             out.append((b"".join([x[0] for x in found]), 3 if all(x[1] == 3 for x in found) else
                         int(all(x[1] & 1 for x in found)) + 2 * int(all(x[1] & 2 for x in found))))
+        for p in got:
+            if len(p) > LONGEST:
+                self.known.pop(p, None)
         return out
 
 
@@ -236,7 +233,7 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id",
         coder = codec(path, 1)
 
         def step(batch: pa.RecordBatch) -> dict[str, list]:
-            return {id_col: batch.column("id"), "text": [coder.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column("ids").to_pylist()]}
+            return {id_col: batch.column("id"), "text": coder.decode([x or b"" for x in batch.column("ids").to_pylist()])}
         return step
 
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
@@ -255,7 +252,7 @@ def verify(docs: DataFrame, path: str | None = None, threads: int = 2, id_col: s
             out = [x for i in range(0, len(found), 256) for x in coder.encode(found[i:i + 256])]
             return {id_col: batch.column("id"), "n_tokens": [len(x[0]) // 4 for x in out], "ids_crc32": [zlib.crc32(x[0]) for x in out],
                     "parity": [bool(x[1] & 1) for x in out], "round_trip": [bool(x[1] & 2) for x in out],
-                    "decoded_equal": [coder.decode(np.frombuffer(x[0], "<u4")) == t for x, t in zip(out, found)]}
+                    "decoded_equal": [back == t for i in range(0, len(out), 256) for back, t in zip(coder.decode([x[0] for x in out[i:i + 256]]), found[i:i + 256])]}
         return step
 
     kind = dict(docs.dtypes)[id_col]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.arrow import arrow_schema, map_batches, texts
+from evalspark.llm.arrow import arrow_schema, map_batches, packed, text_key, texts
 from evalspark.llm.components import components
 from evalspark.scratch import materialize
 
@@ -59,11 +59,15 @@ def fingerprint(text: str, words: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp`` of every row."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """``id, fp`` of every row, and with ``keyed`` the ``key`` of its text."""
+    rows, more = texts(docs, id_col, text_col), ["id"]
+    if keyed:
+        rows, more = rows.withColumn("key", text_key("text")), ["id", "key"]
+
     def start():
-        return lambda batch: {"id": batch.column("id"), "fp": [fingerprint(t, words) for t in batch.column("text").to_pylist()]}
-    return map_batches(texts(docs, id_col, text_col), f"id {dict(docs.dtypes)[id_col]}, fp bigint", start)
+        return lambda batch: {c: batch.column(c) for c in more} | {"fp": [fingerprint(t, words) for t in batch.column("text").to_pylist()]}
+    return map_batches(rows, f"id {dict(docs.dtypes)[id_col]}, {'key bigint, ' if keyed else ''}fp bigint", start)
 
 
 def block_masks(blocks: int) -> list[int]:
@@ -179,7 +183,15 @@ def crowded_links(members: DataFrame, limit: int = LIMIT) -> DataFrame:
 def near_groups(docs: DataFrame, words: int = SHINGLE, limit: int = LIMIT, blocks: int = BLOCKS, id_col: str = "doc_id",
                 text_col: str = "text", cell: int = CELL) -> DataFrame:
     """``doc_id, fingerprint, component_id`` per row of ``docs``."""
-    rows = materialize(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    rows, shared = _grouped(fingerprints(docs, words, id_col, text_col), limit, blocks, cell)
+    component = F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("id"))
+    return rows.join(shared, "fp", "left").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+
+
+def _grouped(found: DataFrame, limit: int, blocks: int, cell: int) -> tuple[DataFrame, DataFrame]:
+    """``found`` (id, fp) as a written table, and ``fp, root, component_id, shared`` of the fingerprints whose component has several rows."""
+    rows = materialize(found, "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
     found = materialize(sweep(cells(nodes.select("fp"), limit, blocks), limit, blocks, cell), "links")
     crowded = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
@@ -187,14 +199,18 @@ def near_groups(docs: DataFrame, words: int = SHINGLE, limit: int = LIMIT, block
     roots = components(edges).select(F.col("node").alias("fp"), "root")
     named = nodes.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("size"))
-    shared = named.join(smallest.filter("size > 1"), "root").select("fp", "component_id", F.lit(True).alias("shared"))
-    component = F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("id"))
-    return rows.join(shared, "fp", "left").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+    return rows, named.join(smallest.filter("size > 1"), "root").select("fp", "root", "component_id", F.lit(True).alias("shared"))
+
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, limit: int = LIMIT, blocks: int = BLOCKS,
+             cell: int = CELL) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the smallest id, and of its texts one, stays.
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; rows without an id stay."""
-    groups = near_groups(docs, id_col=id_col, text_col=text_col, **options)
-    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    Rows without an id stay. Rows with an id in common are told apart by their texts; repeated rows stay or go together.
+    """
+    rows, shared = _grouped(fingerprints(docs, words, id_col, text_col, keyed=True), limit, blocks, cell)
+    member = F.struct("id", "key")
+    members = rows.filter("id IS NOT NULL").select("id", "key", "fp").join(shared.select("fp", "root"), "fp")
+    first = members.groupBy("root").agg(F.min(member).alias("first"))
+    gone = members.join(first, "root").filter(member != F.col("first")).select("id", "key").distinct()
+    return packed(docs, id=F.col(id_col), key=text_key(text_col)).join(gone, ["id", "key"], "left_anti").select("row.*")

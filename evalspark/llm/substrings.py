@@ -9,8 +9,8 @@ neighbouring repeated chunks of at least ``least`` words are repeats.
 Texts without white space are cut at characters where the hash has a number of zero bits. A run in which no cut falls is cut after a fixed
 number of words.
 
-Null text is empty and has no chunk. Repeats inside one document, and rows that share an id, are not repeats of each other. Rows without an
-id are neither cut nor sources. An empty table gives no rows; other columns are not read by ``repeats`` and pass through ``cut_repeats``.
+Null text is empty and has no chunk. Repeats inside one document, and rows that share an id, are not repeats of each other; rows of one id are
+told apart by their texts, so each is cut by its own repeats. Rows without an id are neither cut nor sources. An empty table gives no rows; other columns are not read by ``repeats`` and pass through ``cut_repeats``.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalspark.llm.arrow import map_batches, texts
+from evalspark.llm.arrow import map_batches, packed, text_key, texts
 from evalspark.scratch import materialize
 
 AROUND = 4  # word starts on either side of a cut that are no cuts
@@ -83,61 +83,68 @@ def cuts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, start, length, words, d0, d1``: byte range, words and digest of every chunk."""
+    """``id, key, start, length, words, d0, d1``: byte range, words and digest of every chunk; ``key`` is its text's."""
     def start():
         def step(batch: pa.RecordBatch) -> dict[str, list]:
             out: dict[str, list] = defaultdict(list)
             digests, digest = [], xxhash.xxh3_128_digest
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+            for key, own, text in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "text"))):
                 data = text.encode()
                 if not data:
                     continue
                 at, words = cuts(data)
                 ends = np.append(at[1:], len(data))
                 out["id"].append(np.full(len(at), key, np.int64))
+                out["key"].append(np.full(len(at), own, np.int64))
                 out["start"].append(at)
                 out["length"].append(ends - at)
                 out["words"].append(words)
                 digests += [digest(data[a:b].rstrip()) for a, b in zip(at.tolist(), ends.tolist())]
             found = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             none = np.empty(0, np.int64)
-            return {k: np.concatenate(out[k] or [none]) for k in ("id", "start", "length", "words")} | {
+            return {k: np.concatenate(out[k] or [none]) for k in ("id", "key", "start", "length", "words")} | {
                 "d0": np.ascontiguousarray(found[:, 0]), "d1": np.ascontiguousarray(found[:, 1])}
         return step
 
-    rows = texts(docs, id_col, text_col).filter("id is not null")
-    return map_batches(rows, "id bigint, start bigint, length bigint, words bigint, d0 bigint, d1 bigint", start)
+    rows = texts(docs, id_col, text_col).filter("id is not null").withColumn("key", text_key("text"))
+    return map_batches(rows, "id bigint, key bigint, start bigint, length bigint, words bigint, d0 bigint, d1 bigint", start)
 
 
-def repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, start, length, n_words, first_doc_id`` of every repeat: its bytes in the text, and a document that keeps them."""
+def _runs(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, key, start, length, n_words, first_doc_id`` of every repeat."""
     found = materialize(chunks(docs, id_col, text_col), "chunks")
     held = (found.groupBy("d0", "d1").agg(F.min("id").alias("first"), F.max("id").alias("last"))
             .filter("first < last").drop("last"))
     again = found.join(held, ["d0", "d1"]).filter("id > first")
-    by_place = W.partitionBy("id").orderBy("start")
+    by_place = W.partitionBy("id", "key").orderBy("start")
     begins = F.coalesce(F.lag(F.col("start") + F.col("length")).over(by_place) < F.col("start"), F.lit(True))
-    runs = again.select("id", "start", "length", "words", "first").distinct().withColumn("begins", begins.cast("int"))
+    runs = again.select("id", "key", "start", "length", "words", "first").distinct().withColumn("begins", begins.cast("int"))
     runs = runs.withColumn("run", F.sum("begins").over(by_place))
-    return (runs.groupBy("id", "run").agg(F.min("start").alias("start"), F.sum("length").alias("length"),
-                                          F.sum("words").alias("n_words"), F.min("first").alias("first_doc_id"))
-            .filter(F.col("n_words") >= least).select(F.col("id").alias(id_col), "start", "length", "n_words", "first_doc_id"))
+    return (runs.groupBy("id", "key", "run").agg(F.min("start").alias("start"), F.sum("length").alias("length"),
+                                                 F.sum("words").alias("n_words"), F.min("first").alias("first_doc_id"))
+            .filter(F.col("n_words") >= least).drop("run"))
+
+
+def repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, start, length, n_words, first_doc_id`` of every repeat: its bytes in the text, and a document that keeps them."""
+    return _runs(docs, least, id_col, text_col).select(F.col("id").alias(id_col), "start", "length", "n_words", "first_doc_id")
 
 
 def cut_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text",
                 size_col: str | None = "n_chars") -> DataFrame:
     """``docs`` without the repeats. ``size_col`` is counted again where it exists; a row of which only white space is left goes."""
-    spans = (repeats(docs, least, id_col, text_col).groupBy(F.col(id_col).alias("__id"))
-             .agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__spans")))
-    both = docs.join(spans, F.col(id_col) == F.col("__id"), "left").withColumn("__bytes", F.encode(F.col(text_col), "UTF-8"))
-    left = F.expr("""aggregate(__spans, struct(cast(0 as bigint) as at, cast('' as binary) as kept),
-        (s, x) -> struct(x.start + x.length as at, concat(s.kept, substring(__bytes, int(s.at + 1), int(x.start - s.at))) as kept),
-        s -> concat(s.kept, substring(__bytes, int(s.at + 1))))""")
-    cut = both.withColumn("__cut", F.when(F.col("__spans").isNotNull(), F.decode(left, "UTF-8")))
-    cut = cut.filter(r"__cut is null or __cut rlike '[^\\x20\\x09-\\x0D]'")
-    out = {c: F.col(c) for c in docs.columns}
-    out[text_col] = F.coalesce("__cut", F.col(text_col)).alias(text_col)
+    spans = (_runs(docs, least, id_col, text_col).groupBy("id", "key")
+             .agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans")))
+    rows = packed(docs, id=F.col(id_col).cast("bigint"), key=text_key(text_col), bytes=F.encode(F.col(text_col), "UTF-8"))
+    both = rows.join(spans, ["id", "key"], "left")
+    left = F.expr("""aggregate(spans, struct(cast(0 as bigint) as at, cast('' as binary) as kept),
+        (s, x) -> struct(x.start + x.length as at, concat(s.kept, substring(bytes, int(s.at + 1), int(x.start - s.at))) as kept),
+        s -> concat(s.kept, substring(bytes, int(s.at + 1))))""")
+    cut = both.withColumn("cut", F.when(F.col("spans").isNotNull(), F.decode(left, "UTF-8")))
+    cut = cut.filter(r"cut is null or cut rlike '[^\x20\x09-\x0D]'")
+    out = {c: F.col("row")[c].alias(c) for c in docs.columns}
+    out[text_col] = F.coalesce("cut", F.col("row")[text_col]).alias(text_col)
     if size_col in docs.columns:
         kind = dict(docs.dtypes)[size_col]
-        out[size_col] = F.when(F.col("__cut").isNotNull(), F.length("__cut").cast(kind)).otherwise(F.col(size_col)).alias(size_col)
+        out[size_col] = F.when(F.col("cut").isNotNull(), F.length("cut").cast(kind)).otherwise(F.col("row")[size_col]).alias(size_col)
     return cut.select(*out.values())

@@ -13,7 +13,7 @@ def documents(spark, texts, ids=None, langs=None):
 def clashing(df):
     """The same rows with columns named like those that operators use inside."""
     from pyspark.sql import functions as F
-    names = ["id", "fp", "digest", "key", "part", "start", "length", "group", "slot", "shard", "kept", "score", "size", "path", "host"]
+    names = ["id", "fp", "digest", "key", "part", "start", "length", "group", "slot", "shard", "kept", "score", "size", "path", "host", "row", "bytes", "cut", "spans", "sha", "__id", "__sha", "__cut", "__spans", "__bytes"]
     return df.select("*", *[F.lit(f"x{i}").alias(n) for i, n in enumerate(names) if n not in df.columns])
 
 

@@ -234,3 +234,21 @@ def test_whole_copies_and_rows_with_the_same_id(spark):
     docs = documents(spark, [text, text, text, text], ids=[4, 4, 9, None])
     assert {r["doc_id"] for r in substrings.repeats(docs).collect()} == {9}
     assert rows(substrings.cut_repeats(docs), "doc_id") == [(4,), (4,), (None,)]  # of 9 nothing is left
+
+
+def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
+    """Of two rows with an id, the one that is a copy goes; the unrelated one stays whole."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(4000)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    one, two, passage = text(300), text(300), text(80)
+    near = one.replace(" ", "  ", 1) + " "  # other white space, the same words
+    docs = clashing(documents(spark, [one, near, two, near, two], ids=[3, 5, 5, 3, 5]))
+    assert sorted((r["doc_id"], r["text"] == two) for r in simhash.keep_one(docs).collect()) == [(3, False), (5, True), (5, True)]
+    exactly = clashing(documents(spark, [one, one, two, two, None, ""], ids=[3, 5, 5, 5, 7, 7]))
+    assert sorted((r["doc_id"], r["text"] or "") for r in exact.keep_first(exactly).collect()) == sorted([(3, one), (5, two), (7, "")])
+    holding, plain = f"{text(50)}\n{passage}", text(200)
+    cut = substrings.cut_repeats(clashing(documents(spark, [passage + " " + text(40), holding, plain], ids=[1, 9, 9])))
+    left = {r["text"] for r in cut.collect() if r["doc_id"] == 9}
+    assert plain in left and holding not in left and len(left) == 2
+    assert set(cut.columns) == set(clashing(docs).columns)

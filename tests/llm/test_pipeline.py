@@ -64,7 +64,7 @@ def test_empty_table(spark, folder, tmp_path):
 @pytest.mark.skipif(not Path(SF).exists(), reason="driver data is not here")
 def test_registered_queries(spark):
     names = [n for n in queries() if n.startswith("op")]
-    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11)) and "pipeline" in queries()
+    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 14)) and "pipeline" in queries()
     for name in names:
         if name in oracle_sql():
             assert difference(queries()[name](spark, SF), connect(SF), oracle_sql()[name]) is None, name

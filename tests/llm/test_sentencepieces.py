@@ -24,7 +24,24 @@ def test_whole_texts_get_the_library_ids(library):
         want = library.encode(text)
         packed, _ = codec.encode([text])[0]
         assert np.frombuffer(packed, "<u4").tolist() == want, text
-        assert codec.decode(np.array(want, "u4")) == library.decode(want), text
+        assert codec.decode([packed]) == [library.decode(want)], text
+
+
+def test_ids_are_those_of_the_rebuilt_tokenizer(monkeypatch):
+    """The other library only judges: where it says something else, ids stay and parity is false."""
+    codec = sp.Codec(PATH, 1)
+    right = codec.encode(["one two"])[0]
+    monkeypatch.setattr(codec, "other", type("Wrong", (), {"encode": staticmethod(lambda texts, num_threads: [[7]] * len(texts))})())
+    codec.known.clear()
+    assert right[1] == 3 and codec.encode(["one two"])[0] == (right[0], 2)
+
+
+def test_caches_that_overflow_change_nothing(monkeypatch, library):
+    monkeypatch.setattr(sp, "CACHE", 6)
+    codec = sp.Codec(PATH, 1)
+    for texts in (["one two three", "two four"], ["one five six seven eight nine ten"], [*ODD], ["one two", "x" * 99 + " one"]) * 2:
+        got = [np.frombuffer(x, "<u4").tolist() for x, _ in codec.encode(texts)]
+        assert got == [library.encode(t) for t in texts]
 
 
 def test_encode_and_decode(spark, library):
@@ -38,7 +55,7 @@ def test_encode_and_decode(spark, library):
     assert len(checked) == len(ODD) + 2 and all(r["n_tokens"] == len(got[r["doc_id"]]) for r in checked)
     plain = [r for r in checked if r["doc_id"] is None or "▁" not in ODD[r["doc_id"]]]
     assert all(r["parity"] and r["decoded_equal"] for r in plain)
-    assert sp.encode(docs.limit(0)).count() == 0
+    assert sp.encode(docs.limit(0)).count() == 0 and sp.verify(docs.limit(0)).count() == 0 and sp.decode(coded.limit(0)).count() == 0
 
 
 def message(*fields):
