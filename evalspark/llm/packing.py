@@ -18,6 +18,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from evalspark.scratch import materialize
 
 CAPACITY = 2048
 GROUP = 16_384  # rests that one group holds, about
+ENCODED = 12 << 20  # bytes of texts encoded together, about
 FULL = 1 << 62  # sequences of one full piece are numbered from here
 
 
@@ -46,14 +48,22 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         def step(batch: pa.RecordBatch) -> dict[str, list]:
             nonlocal slot
             out: dict[str, list] = defaultdict(list)
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encoder.ids(text) + end
-                for at in range(0, len(ids), 4 * capacity):
-                    part = ids[at:at + 4 * capacity]
-                    for name, value in ((id_col, key), ("start", at // 4), ("length", len(part) // 4),
-                                        ("ids_crc32", zlib.crc32(part)), ("doc_tokens", len(ids) // 4), ("slot", slot)):
-                        out[name].append(value)
-                    slot += 1
+            keys, found = batch.column("id").to_pylist(), batch.column("text")
+            sizes = pc.binary_length(found).to_numpy()
+            # neighbouring texts of some ENCODED bytes at a time
+            firsts = np.flatnonzero(np.diff(np.cumsum(sizes) // ENCODED, prepend=-1)).tolist()
+            for first, last in zip(firsts, [*firsts[1:], len(keys)]):
+                ids, counts = encoder.batch(found.slice(first, last - first))
+                at = 0
+                for key, n in zip(keys[first:last], counts.tolist()):
+                    own = ids[at:at + n].tobytes() + end
+                    at += n
+                    for cut in range(0, len(own), 4 * capacity):
+                        part = own[cut:cut + 4 * capacity]
+                        for name, value in ((id_col, key), ("start", cut // 4), ("length", len(part) // 4),
+                                            ("ids_crc32", zlib.crc32(part)), ("doc_tokens", n + 1), ("slot", slot)):
+                            out[name].append(value)
+                        slot += 1
             return {name: out[name] for name in names}
         return step
 

@@ -13,6 +13,9 @@ import struct
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -108,6 +111,24 @@ class WordIds(_Pieces):
             return _packed(self.whole(text))
         return b"".join(map(self.words.__getitem__, text.split()))
 
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind each other, and how many each text has.
+
+        Texts are split and their different words found by Arrow; only those are looked up. White space outside of ASCII stays in
+        its word, which the library then splits.
+        """
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        found = [self.words[w] if w else b"" for w in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        table, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        words = coded.indices.to_numpy()
+        n = sizes[words]
+        ends = np.cumsum(n)
+        out = table[np.repeat(starts[words] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        edges = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return out, np.diff(edges)
+
 
 class WholeTokens(_Pieces):
     """Token counts under a byte-level vocabulary that keeps white space.

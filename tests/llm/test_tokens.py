@@ -3,6 +3,7 @@ from collections import defaultdict
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,6 +46,20 @@ def test_any_text_gets_the_library_ids(tokenizers_, text):
     check(tokenizers_, text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab 's\n\t.,1ÀéŒß\u0301Σ中<|>_-\xa0\u2028\x1c\x85\x0b")), max_size=30), max_size=6))
+def test_batches_get_the_library_ids(tokenizers_, texts):
+    ids, counts = word_ids(WORD).batch(pa.array(["x", *texts, ""], pa.string()).slice(1))
+    want = [tokenizers_[WORD].encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
+    assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == list(map(len, want))
+
+
+def test_odd_texts_in_one_batch(tokenizers_):
+    ids, counts = word_ids(WORD).batch(pa.array(ODD * 2))
+    want = [tokenizers_[WORD].encode(t, add_special_tokens=False).ids for t in ODD * 2]
+    assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == list(map(len, want))
+
+
 def test_caches_that_overflow_change_nothing(tokenizers_, monkeypatch):
     monkeypatch.setattr("evalspark.llm.vocab.CACHE", 3)
     words, counts = WordIds(WORD), WholeTokens(BYTE)
