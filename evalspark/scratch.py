@@ -7,6 +7,7 @@ recomputing, cuts the lineage, keeps column pruning, and gives the optimizer rea
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -17,9 +18,18 @@ _open: list[list[str]] = []  # folders made inside each open ``temporary`` block
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the session's checkpoint folder, else a folder in its warehouse."""
+    """Shared folder for intermediate tables: the session's checkpoint folder, else a folder in its warehouse.
+
+    On a cluster a warehouse on local disks is refused: each executor would write to its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    one_machine = re.match(r"local(\[|$)", spark.sparkContext.master)
+    if not one_machine and (warehouse.startswith("file:") or ":" not in warehouse):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the warehouse {warehouse} is on local disks")
+    return f"{warehouse}/_scratch"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
