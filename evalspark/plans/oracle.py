@@ -5,6 +5,7 @@ Retrieval here is the long form (one row per token, term and candidate) that the
 
 from __future__ import annotations
 
+from evalspark.functions import stems
 from evalspark.functions.metrics import HEADLINE, KS, METRICS
 from evalspark.functions.text import STOPWORDS
 from evalspark.operators import bootstrap
@@ -205,8 +206,52 @@ STEM = """CASE WHEN t LIKE '%ies' AND NOT (t LIKE '%eies' OR t LIKE '%aies') THE
   WHEN t LIKE '%s' AND NOT (t LIKE '%us' OR t LIKE '%ss') THEN left(t, length(t) - 1) ELSE t END"""
 
 
-def scoring(configs) -> list[str]:
-    """CTEs up to ``scored(config_id, question_id, unit_id, score)`` for the units and questions CTEs before them."""
+def english(words: str) -> list[str]:
+    """CTEs up to ``stems_(term, stem)`` for the words of a query that gives ``term``: a table per step of the algorithm."""
+    def found(suffixes) -> str:
+        return f"regexp_extract(w, '{stems.ending(suffixes)}')"
+
+    def exchanged(suffixes: dict[str, str], region: str, allowed: str) -> str:
+        cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in suffixes.items())
+        return (f"SELECT term, r1, r2, CASE WHEN f <> '' AND length(rest) >= {region} AND ({allowed}) THEN rest || CASE f {cases} END ELSE w END AS w "
+                f"FROM (SELECT *, left(w, length(w) - length(f)) AS rest FROM (SELECT *, {found(suffixes)} AS f FROM {{}}))")
+
+    has = lambda x, pattern: f"regexp_matches({x}, '{pattern}')"
+    begins = f"^(?:{'|'.join(stems.BEGINNINGS)})"
+    first = f"CASE WHEN {has('w', begins)} THEN length(regexp_extract(w, '{begins}')) WHEN {has('w', stems.REGION)} THEN length(regexp_extract(w, '{stems.REGION}')) ELSE length(w) END"
+    last = "left(x, length(x) - 1)"
+    return [
+        f"terms_ AS ({words})",
+        f"""marked_ AS (SELECT term, regexp_replace(regexp_replace(term, '^y', 'Y'), '({stems.VOWEL})y', '\\1Y', 'g') AS w FROM terms_)""",
+        f"region_ AS (SELECT *, {first} AS r1 FROM marked_)",
+        f"""regions_ AS (SELECT term, r1, r1 + CASE WHEN {has('rest', stems.REGION)} THEN length(regexp_extract(rest, '{stems.REGION}')) ELSE length(rest) END AS r2, w
+  FROM (SELECT *, substr(w, r1 + 1) AS rest FROM region_))""",
+        f"""singular_ AS (SELECT term, r1, r2, CASE WHEN ends_with(w, 'sses') THEN left(w, length(w) - 2)
+  WHEN {has('w', '(?:ied|ies)$')} THEN left(w, length(w) - 3) || CASE WHEN length(w) > 4 THEN 'i' ELSE 'ie' END
+  WHEN {has('w', '(?:us|ss)$')} THEN w WHEN {has('w', stems.VOWEL + '.+s$')} THEN left(w, length(w) - 1) ELSE w END AS w FROM regions_)""",
+        f"""past_ AS (SELECT term, r1, r2, w AS before, CASE WHEN f IN ('eed', 'eedly') THEN CASE WHEN length(x) >= r1 THEN x || 'ee' ELSE w END
+  WHEN f = '' OR NOT {has('x', stems.VOWEL)} THEN w
+  WHEN {has('x', '(?:at|bl|iz)$')} OR ({has('x', stems.SHORT)} AND length(x) <= r1 AND NOT {has('x', stems.DOUBLE)}) THEN x || 'e'
+  WHEN {has('x', stems.DOUBLE)} THEN {last} ELSE x END AS w
+  FROM (SELECT *, left(w, length(w) - length(f)) AS x FROM (SELECT *, regexp_extract(w, '(?:eedly|eed|edly|ed|ingly|ing)$') AS f FROM singular_)))""",
+        f"ys_ AS (SELECT term, r1, r2, CASE WHEN {has('w', '^.+' + stems.OTHER + '[yY]$')} THEN left(w, length(w) - 1) || 'i' ELSE w END AS w FROM past_)",
+        "two_ AS (" + exchanged(stems.STEP_2, "r1", f"CASE f WHEN 'ogi' THEN ends_with(rest, '{stems.BEFORE_OGI}') WHEN 'li' THEN {has('rest', stems.BEFORE_LI + '$')} ELSE true END").format("ys_") + ")",
+        "three_ AS (" + exchanged(stems.STEP_3, "r1", "f <> 'ative' OR length(rest) >= r2").format("two_") + ")",
+        "four_ AS (" + exchanged(dict.fromkeys(stems.STEP_4, ""), "r2", f"f <> 'ion' OR {has('rest', stems.BEFORE_ION + '$')}").format("three_") + ")",
+        f"""five_ AS (SELECT term, CASE WHEN (ends_with(w, 'e') AND (length(x) >= r2 OR (length(x) >= r1 AND NOT {has('x', stems.SHORT)}))) OR (ends_with(w, 'll') AND length(x) >= r2)
+  THEN x ELSE w END AS w FROM (SELECT *, left(w, length(w) - 1) AS x FROM four_))""",
+        f"""stems_ AS (SELECT term, CASE {' '.join(f"WHEN term = '{a}' THEN '{b}'" for a, b in stems.IRREGULAR.items())}
+  WHEN length(term) <= 2 OR term IN ({', '.join(f"'{w}'" for w in stems.UNCHANGED)}) OR NOT {has('term', '^[a-z]+$')} THEN term
+  WHEN before IN ({', '.join(f"'{w}'" for w in stems.UNCHANGED_SINGULAR)}) THEN before ELSE lower(w) END AS stem FROM five_ JOIN (SELECT term, lower(before) AS before FROM past_) USING (term))""",
+    ]
+
+
+ENGLISH_WORDS = f"SELECT DISTINCT t AS term FROM (SELECT unnest({toks('text')}) AS t FROM units UNION ALL SELECT unnest({toks('question')}) FROM questions)"
+
+
+def scoring(configs, stem: str = STEM, stemmed_by: str = "") -> list[str]:
+    """CTEs up to ``scored(config_id, question_id, unit_id, score)`` for the units and questions CTEs before them. ``stem`` is the stem of
+    ``t``, from a table joined by ``stemmed_by``."""
     rows = ", ".join(
         f"({i}, {c.variant}, '{c.idf_scope}', {float(c.k1)}::DOUBLE, {float(c.b)}::DOUBLE)" for i, c in enumerate(configs))
     variants = ", ".join(f"({v}, {bool(v & 2)}, {bool(v & 1)})" for v in sorted({c.variant for c in configs}))
@@ -215,8 +260,8 @@ def scoring(configs) -> list[str]:
         f"variants(variant, stem, stop) AS (VALUES {variants})",
         f"utok AS (SELECT doc_id, unit_id, unnest({toks('text')}) AS t FROM units)",
         f"qtok AS (SELECT question_id, doc_id, unnest({toks('question')}) AS t FROM questions)",
-        f"uterm AS (SELECT variant, doc_id, unit_id, CASE WHEN stem THEN {STEM} ELSE t END AS term FROM utok, variants WHERE NOT (stop AND t IN ({STOP})))",
-        f"qterm AS (SELECT DISTINCT variant, question_id, doc_id, CASE WHEN stem THEN {STEM} ELSE t END AS term FROM qtok, variants WHERE NOT (stop AND t IN ({STOP})))",
+        f"uterm AS (SELECT variant, doc_id, unit_id, CASE WHEN variants.stem THEN {stem} ELSE t END AS term FROM utok {stemmed_by} CROSS JOIN variants WHERE NOT (stop AND t IN ({STOP})))",
+        f"qterm AS (SELECT DISTINCT variant, question_id, doc_id, CASE WHEN variants.stem THEN {stem} ELSE t END AS term FROM qtok {stemmed_by} CROSS JOIN variants WHERE NOT (stop AND t IN ({STOP})))",
         "tf AS (SELECT variant, doc_id, unit_id, term, count(*) AS tf FROM uterm GROUP BY ALL)",
         "dl AS (SELECT v.variant, u.doc_id, u.unit_id, coalesce(sum(tf.tf), 0) AS dl FROM units u CROSS JOIN variants v "
         "LEFT JOIN tf ON tf.unit_id = u.unit_id AND tf.variant = v.variant GROUP BY ALL)",
@@ -288,6 +333,7 @@ ONE = [DOCS, *scoring([PAGE])]
 EVAL = [*ONE, *RANKED, *results()]
 EVAL_TWO = [DOCS, *scoring([PAGE, CORPUS]), *RANKED, *results()]
 EVAL_GRID = [DOCS, *scoring(GRID), *RANKED, *results()]
+EVAL_ENGLISH = [DOCS, *english(ENGLISH_WORDS), *scoring(GRID, "stems_.stem", "JOIN stems_ ON stems_.term = t"), *RANKED, *results()]
 EVAL_ORDERS = [LINES, AUDIT, PAGES, ORDER_PAGES, *scoring([PAGE]), *RANKED, *results()]
 EVAL_TURNS = [TURNS, *scoring([PAGE]), *RANKED, *results()]
 EVAL_DEV = [LOADABLE, AUDIT, PAGES, ORDER_PAGES.replace("corpus AS (SELECT unit_id FROM units)", "corpus AS (SELECT unit_id FROM units JOIN pages_ USING (doc_id) WHERE split = 'train')")
@@ -432,7 +478,8 @@ UNION ALL SELECT 'broken_missing_gold', count(*) FROM questions"""),
 {r6('rr', 'ndcg_at_10', 'random_rr')} FROM results"""),
     "run_summary": with_(EVAL, f"SELECT count(*) AS n_questions, {avg6(*METRICS, *RANDOM)} FROM results"),
     "breakdown": with_(EVAL, _breakdown()),
-    "grid_summary": with_(EVAL_GRID, f"SELECT config_id, count(*) AS n_questions, {avg6('all_gold_at_5', 'recall_at_5', 'rr', 'ndcg_at_10')} FROM results GROUP BY config_id"),
+    "english_stems": with_([DOCS, *english(f"SELECT DISTINCT unnest({toks('text')}) AS term FROM units")], "SELECT term, stem FROM stems_"),
+    "grid_summary": with_(EVAL_ENGLISH, f"SELECT config_id, count(*) AS n_questions, {avg6('all_gold_at_5', 'recall_at_5', 'rr', 'ndcg_at_10')} FROM results GROUP BY config_id"),
     "bootstrap_ci": with_([*EVAL, *weights(_HEAD, HEADLINE)], _INTERVAL),
     "bootstrap_weights": with_([*EVAL, "vals AS (SELECT question_id FROM results)", *TREE],
                                "SELECT CAST(replicate AS INTEGER) AS replicate, CAST(sum(w) AS BIGINT) AS draws, count(*) AS n_drawn, max(w) AS most FROM drawn GROUP BY replicate"),

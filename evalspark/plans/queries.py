@@ -13,6 +13,7 @@ from evalspark.functions.labels import audit_labels
 from evalspark.functions.metrics import HEADLINE, METRICS
 from evalspark.functions.numbers import numbers_match, parse_cell, parse_number
 from evalspark.functions.programs import evaluate_programs
+from evalspark.functions.stems import english_stem
 from evalspark.functions.text import tokenize, tokens
 from evalspark.operators import bm25, bootstrap, quality, ranking, silver
 from evalspark.plans import evaluation
@@ -360,6 +361,12 @@ def stem_map(spark, sf_dir):
     return standins.stem_table(words)
 
 
+def english_stems(spark, sf_dir):
+    """Every distinct word of the documents with its English stem."""
+    words = standins.vocabulary(standins.spread(standins.load(spark, sf_dir, "documents")))
+    return standins.stem_table(words, english_stem)
+
+
 def page_term_df(spark, sf_dir):
     units, asked = _units_and_questions(spark, sf_dir)
     terms = bm25.question_terms(asked, [PAGE.variant])
@@ -485,7 +492,11 @@ def breakdown(spark, sf_dir):
 
 
 def grid_summary(spark, sf_dir):
-    results = _results(spark, sf_dir, GRID, standins.plural_stem)
+    """The grid with the English stemmer as a table over the distinct words of the documents."""
+    units, asked = _units_and_questions(spark, sf_dir)
+    words = standins.vocabulary(units, asked.select(F.col("question").alias("text")))
+    table = materialize(standins.stem_table(words, english_stem), "stems")
+    results = evaluation.evaluate(bm25.bm25_retriever(GRID, corpus=units, stems=table), asked, units, config_ids=range(len(GRID)))
     means = evaluation.run_means(results).select("config_id", "n_questions", "all_gold_at_5", "recall_at_5", "rr", "ndcg_at_10")
     return _rounded(means)
 
@@ -563,7 +574,7 @@ QUERIES: dict[str, Query] = {
     "numbers_match": numbers_match_query, "label_status": label_status, "questions": questions,
     "quality_metrics": quality_metrics, "quality_gate": quality_gate, "status_histogram": status_histogram,
     "split_leak": split_leak, "duplicate_keys": duplicate_texts, "quality_report": quality_report, "audit_counts": audit_counts,
-    "tokens": tokens_query, "stem_map": stem_map, "page_term_df": page_term_df, "page_sizes": page_sizes,
+    "tokens": tokens_query, "stem_map": stem_map, "english_stems": english_stems, "page_term_df": page_term_df, "page_sizes": page_sizes,
     "corpus_term_df": corpus_term_df, "bm25_page": bm25_page, "bm25_corpus": bm25_corpus,
     "bm25_train_corpus": bm25_train_corpus, "order_rank_metrics": order_rank_metrics, "order_question_results": order_question_results,
     "ranking_full": ranking_full, "ranking_top10": ranking_top10, "ranking_checks": ranking_checks,
