@@ -266,23 +266,24 @@ def _reference_df_in_row(terms: DataFrame, coded: DataFrame, variants: list[int]
     return slots.join(counted, ["list", "term"]).select("question_id", "variant", "slot", "df")
 
 
-def _reference_df(terms: DataFrame, corpus: DataFrame, variants: list[int]) -> DataFrame:
-    """(question_id, variant, slot, df) with frequencies from the reference corpus.
+def _reference_df(terms: DataFrame, coded: DataFrame, variants: list[int]) -> DataFrame:
+    """(question_id, variant, slot, df) with frequencies from the reference corpus (coded units), where terms may have several word forms.
 
     A term found as one word takes that word's count, which all variants share (removing stopwords
     changes no other count). Only stems with several word forms need units counted per set of forms.
     """
+    held = coded.select("unit_id", F.explode(F.map_keys("list_0")).alias("term"))
     slots = terms.filter(F.col("variant").isin(variants)).select(
         "question_id", "variant", F.posexplode("forms").alias("slot", "forms"))
     single = slots.filter(F.size("forms") == 1).select("question_id", "variant", "slot", F.get("forms", F.lit(0)).alias("term"))
-    found = single.join(corpus_term_df(corpus, stopwords=False), "term").select("question_id", "variant", "slot", "df")
+    counted = held.groupBy("term").agg(F.count("*").alias("df"))
+    found = single.join(counted, "term").select("question_id", "variant", "slot", "df")
     if not any(v & 2 for v in variants):
         return found
     several = slots.filter(F.size("forms") > 1).withColumn("forms_key", F.array_join("forms", " "))
-    members = several.select("forms_key", F.explode("forms").alias("form")).distinct()
+    members = several.select("forms_key", F.explode("forms").alias("term")).distinct()
     per_set = (
-        corpus.select("unit_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("form"))
-        .join(members, "form").select("unit_id", "forms_key").distinct()
+        held.join(members, "term").select("unit_id", "forms_key").distinct()
         .groupBy("forms_key").agg(F.count("*").alias("df"))
     )
     return found.unionByName(several.join(per_set, "forms_key").select("question_id", "variant", "slot", "df"))
@@ -312,10 +313,9 @@ def scoring_plan(terms: DataFrame, pairs: DataFrame, configs: Sequence[BM25Confi
         if corpus is None:
             raise ValueError("a configuration takes frequencies from a corpus, but none is given")
         variants = sorted({c.variant for c in configs if c.idf_scope == "corpus"})
-        if isinstance(stems, DataFrame):
-            found = _reference_df(terms, corpus, variants)
-        else:
-            found = _reference_df_in_row(terms, coded if coded is not None else coded_units(corpus, variants, stems), variants, stems)
+        stem = None if isinstance(stems, DataFrame) else stems
+        counts = coded if coded is not None else coded_units(corpus, variants, stem)
+        found = _reference_df(terms, counts, variants) if isinstance(stems, DataFrame) else _reference_df_in_row(terms, counts, variants, stem)
         plan = plan.join(_df_map(found, "corpus_df"), keys, "left")
         plan = plan.withColumn("corpus_n", corpus_size(corpus).scalar())
         vectors["corpus"] = _idf_vector("corpus_df", F.col("corpus_n"))
@@ -353,7 +353,7 @@ def bm25_scores(questions: DataFrame, units: DataFrame, configs: Sequence[BM25Co
     if isinstance(stems, DataFrame):
         terms = materialize(terms, "question-terms")  # read by the match and by the plan
     coded = coded_units(units, variants, stem)
-    both = corpus is units and stem is stems and any(c.idf_scope == "corpus" for c in configs)
+    both = corpus is units and any(c.idf_scope == "corpus" for c in configs)
     if both:
         coded = materialize(coded, "coded-units")  # read by the match and for the frequencies
     pairs = materialize(match_counts(terms, coded), "term-counts")
