@@ -25,6 +25,7 @@ def test_whole_texts_get_the_library_ids(library):
         packed, _ = codec.encode([text])[0]
         assert np.frombuffer(packed, "<u4").tolist() == want, text
         assert codec.decode([packed]) == [library.decode(want)], text
+        assert (codec.decode([packed]) == [text]) == bool(codec.encode([text])[0][1] & 2), text  # parts come back if the whole does
 
 
 def test_ids_are_those_of_the_rebuilt_tokenizer(monkeypatch):
