@@ -6,7 +6,8 @@ from the longest to single characters, and takes the mean over the n-grams of th
 The language with the lowest mean over all words of the text wins.
 
 ``fit`` learns from at most about ``per_lang`` rows of each language, taken by a hash of the id, and keeps a fixed number of words
-and n-grams per language, so the model is small whatever the table holds. ``predict`` sees only the text.
+and n-grams per language, so the model is small whatever the table holds; words have up to 64 letters, longer runs give their n-grams
+only. A model of more than ``MODEL_BYTES`` is refused by name before it is sent out. ``predict`` sees only the text.
 
 A null text or one without letters is ``und`` with score 0; so is every text if nothing was learned. A text whose letters were never seen gets the
 language with most training rows and the score of a guess. Equal scores go to the language that comes first in the alphabet. Rows are
@@ -34,6 +35,7 @@ WORDS, GRAMS, LENGTHS = 50_000, 6_000, 5
 PENALTY = 7.0
 UNKNOWN = "und"
 MEMO = 250_000
+MODEL_BYTES = 1 << 30
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -59,7 +61,7 @@ def _counts(sample: DataFrame) -> DataFrame:
         def step(batch: pa.RecordBatch) -> dict[str, list]:
             n = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                n.update((lang, w[:LONGEST]) for w in words(text))
+                n.update((lang, w) for w in words(text))
             return {"lang": [k[0] for k in n], "word": [k[1] for k in n], "n": list(n.values())}
         return step
 
@@ -80,7 +82,8 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, n_words: int = WORDS, n_grams
     sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(whole)) < share[F.col("lang")]).select("lang", "text")
     counts = materialize(_counts(sample), "word-counts")
     edged = F.concat(F.lit(" "), "word", F.lit(" "))
-    parts = [counts.select("lang", F.lit(0).alias("size"), F.col("word").alias("piece"), "n")]
+    # A run of letters longer than a word gives n-grams only: its like is not met again.
+    parts = [counts.filter(F.length("word") <= LONGEST).select("lang", F.lit(0).alias("size"), F.col("word").alias("piece"), "n")]
     for size in range(1, LENGTHS + 1):
         at = F.expr(f"filter(transform(sequence(1, length(edged)), i -> substring(edged, i, {size})), x -> length(x) = {size})")
         parts.append(counts.withColumn("edged", edged).select("lang", F.lit(size).alias("size"), F.explode(at).alias("piece"), "n")
@@ -99,6 +102,9 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, n_words: int = WORDS, n_grams
     for _, size, piece, _ in rows_:
         table = model.grams if size else model.known
         table.setdefault(piece, len(model.known) + len(model.grams))
+    size = 8 * (len(model.known) + len(model.grams)) * len(langs)
+    if size > MODEL_BYTES:
+        raise ValueError(f"a model of {size >> 20} MB for {len(langs)} languages; keep fewer words or n-grams")
     model.scores = np.full((len(model.known) + len(model.grams), len(langs)), PENALTY)
     for lang, size, piece, score in rows_:
         model.scores[(model.grams if size else model.known)[piece], at[lang]] = score
