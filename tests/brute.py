@@ -34,10 +34,12 @@ def ranking(scored):
 
 
 def metrics(ranks):
-    gain = lambda r: 1 / math.log2(r + 1)
-    out = {"rr": 1 / min(ranks)}
+    """From the ranking as a vector of zeros and ones, best place first."""
+    relevant = [int(place in ranks) for place in range(1, max(ranks) + 11)]
+    best = sorted(relevant, reverse=True)
+    out = {"rr": 1 / (1 + relevant.index(1))}
     for k in (1, 3, 5, 10):
-        out[f"recall_at_{k}"] = sum(r <= k for r in ranks) / len(ranks)
-        out[f"all_gold_at_{k}"] = float(max(ranks) <= k)
-        out[f"ndcg_at_{k}"] = sum(gain(r) for r in ranks if r <= k) / sum(gain(i + 1) for i in range(min(k, len(ranks))))
+        found = sum(relevant[:k])
+        gained, possible = (math.fsum(hit * math.log(2) / math.log(2 + i) for i, hit in enumerate(v[:k])) for v in (relevant, best))
+        out |= {f"recall_at_{k}": found / sum(relevant), f"all_gold_at_{k}": float(found == sum(relevant)), f"ndcg_at_{k}": gained / possible}
     return out
