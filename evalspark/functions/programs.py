@@ -20,6 +20,7 @@ BINARY_OPS = ("add", "subtract", "multiply", "divide", "exp", "greater")
 TABLE_OPS = ("table_max", "table_min", "table_sum", "table_average")
 STEP_PATTERN = r"(?U)(\w+)\(([^()]*)\)"
 
+_PLAIN_NUMBER = r"\A-?[0-9]+(?:\.[0-9]+)?\z"
 _NUMBERS = "array<double>"
 
 
@@ -41,10 +42,12 @@ def _argument(arg: Column, steps: Column, i: Column) -> Column:
         )
         return F.struct(a["num"].alias("num"), a["ref"].alias("ref"), err.alias("err"))
 
-    return let(F.struct(
+    # Most arguments are plain digits, which need none of this.
+    plain = F.struct(arg.cast("double").alias("num"), F.lit(None).cast("int").alias("ref"), F.lit(None).cast("string").alias("err"))
+    return F.when(arg.rlike(_PLAIN_NUMBER), plain).otherwise(let(F.struct(
         F.when(is_const, const).when(~is_ref, parse_number(arg)).alias("num"),
         F.when(is_ref, F.regexp_extract(arg, r"^#\s*\+?(\d+)\s*$", 1).try_cast("int")).alias("ref"),
-    ), judged)
+    ), judged))
 
 
 def _row_values(label: Column, table: Column) -> Column:

@@ -53,6 +53,16 @@ def test_values(spark):
         assert got[program]["value_text"] == str(got[program]["value_num"])
 
 
+def test_plain_digits_are_read_like_any_number(spark):
+    """The short cut for plain digits gives what the same number in another spelling gives."""
+    numbers = ["0", "-0", "007", "12.50", "-3.125", "9007199254740993", "1" * 400, "0.1"]
+    got = run(spark, [f"add({n}, {spelled})" for n in numbers for spelled in ("0", "$ 0", "0_0", ".0")] + [f"add({n}, 0)" for n in ("$ 007", "12.5_0", "+0.1")])
+    for n in numbers:
+        same = {(got[f"add({n}, {s})"]["value_text"], got[f"add({n}, {s})"]["program_err"]) for s in ("0", "$ 0", "0_0", ".0")}
+        assert len(same) == 1, (n, same)
+    assert [got[f"add({n}, 0)"]["value_num"] for n in ("$ 007", "12.5_0", "+0.1")] == [got[f"add({n}, 0)"]["value_num"] for n in ("007", "12.50", "0.1")]
+
+
 def test_trace_and_warning(spark):
     got = run(spark, ["subtract(9, 4), greater(#0, 3)", "table_min(spring, none)"])
     row = got["subtract(9, 4), greater(#0, 3)"]
