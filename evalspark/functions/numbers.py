@@ -15,6 +15,7 @@ _FLOAT = (
     r"|[+-]?(?i:inf|infinity)|(?i:nan))\z"
 )
 _CELL_NUMBER = r"-?\d+(?:\.\d+)?"
+PLAIN_NUMBER = r"\A-?[0-9]+(?:\.[0-9]+)?\z"
 
 
 def to_double(text: Column) -> Column:
@@ -30,8 +31,9 @@ def _without_marks(text: Column) -> Column:
 
 def parse_number(token: Column) -> Column:
     """Literal as double: ``,`` and ``$`` dropped, ``5%`` is 0.05; null when not a number."""
-    return let(_without_marks(token), lambda t: F.when(
-        t.endswith("%"), to_double(F.regexp_replace(t, r"%+\z", "")) / 100).otherwise(to_double(t)))
+    # Plain digits, the most common writing, need only the cast.
+    return F.when(token.rlike(PLAIN_NUMBER), token.cast("double")).otherwise(let(_without_marks(token), lambda t: F.when(
+        t.endswith("%"), to_double(F.regexp_replace(t, r"%+\z", "")) / 100).otherwise(to_double(t))))
 
 
 def parse_cell(cell: Column) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.numbers import double_text, parse_cell, parse_number, to_double
+from evalspark.functions.numbers import PLAIN_NUMBER, double_text, parse_cell, parse_number, to_double
 from evalspark.functions.text import let, strip
 
 # Operation names and the step pattern.
@@ -20,7 +20,6 @@ BINARY_OPS = ("add", "subtract", "multiply", "divide", "exp", "greater")
 TABLE_OPS = ("table_max", "table_min", "table_sum", "table_average")
 STEP_PATTERN = r"(?U)(\w+)\(([^()]*)\)"
 
-_PLAIN_NUMBER = r"\A-?[0-9]+(?:\.[0-9]+)?\z"
 _NUMBERS = "array<double>"
 
 
@@ -44,7 +43,7 @@ def _argument(arg: Column, steps: Column, i: Column) -> Column:
 
     # Most arguments are plain digits, which need none of this.
     plain = F.struct(arg.cast("double").alias("num"), F.lit(None).cast("int").alias("ref"), F.lit(None).cast("string").alias("err"))
-    return F.when(arg.rlike(_PLAIN_NUMBER), plain).otherwise(let(F.struct(
+    return F.when(arg.rlike(PLAIN_NUMBER), plain).otherwise(let(F.struct(
         F.when(is_const, const).when(~is_ref, parse_number(arg)).alias("num"),
         F.when(is_ref, F.regexp_extract(arg, r"^#\s*\+?(\d+)\s*$", 1).try_cast("int")).alias("ref"),
     ), judged))
