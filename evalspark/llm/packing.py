@@ -29,7 +29,7 @@ from evalspark.scratch import materialize
 
 CAPACITY = 2048
 GROUP = 16_384  # rests that one group holds, about
-ENCODED = 12 << 20  # bytes of texts encoded together, about
+ENCODED = 4 << 20  # bytes of texts encoded together, about
 FULL = 1 << 62  # sequences of one full piece are numbered from here
 
 

@@ -20,7 +20,7 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE = 800_000  # words kept by a worker, in two halves
+CACHE = 500_000  # words kept by a worker, in two halves
 LONGEST = 64  # characters of a piece that is worth keeping
 #: Printable ASCII and the Latin letters whose lower case and byte form are simple.
 PLAIN = re.compile("[!-~À-įı-ňŊ-ž]+")
