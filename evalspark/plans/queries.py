@@ -115,7 +115,7 @@ def _loaded(spark, sf_dir, times: int = 1) -> tuple[str, list]:
     """A load from JSON arrays under a prefix of its own, the same run id each time."""
     prefix = f"q{uuid.uuid4().hex}"
     path = _arrays(spark, sf_dir, standins.loadable_records(spark, sf_dir))
-    return prefix, [load(spark, path, "c0ffee", "run-1", prefix=prefix, buckets=8).first() for _ in range(times)]
+    return prefix, [load(spark, path, "c0ffee", "run-1", prefix=prefix, buckets=4).first() for _ in range(times)]
 
 
 def _dropped(spark, prefix: str, result):
