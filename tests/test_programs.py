@@ -169,3 +169,21 @@ def test_double_text_round_trips(spark, xs):
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     for r in df.select("x", double_text(F.col("x")).alias("t")).collect():
         assert float(r["t"]) == r["x"]
+
+
+def test_rows_are_looked_up_once_per_label_and_let_keeps_its_type(spark):
+    """Seven steps name two labels: each is searched once, and a missing, repeated or empty row stays its own step's error or warning."""
+    grid = [["", "a", "b"], ["Mix", "9", "9"], [" mix ", "$ 4", "-2 ( x )"], ["none here", "n/a", ""], [], ["one", "50%", "1"]]
+    programs = {
+        "table_max(mix, none), table_min( MIX , none), table_sum(one, none), table_average(mix, none), add(#0, #2)": ("5.5", None, ["ambiguous_row:mix:2_matches", "ambiguous_row:MIX:2_matches", "ambiguous_row:mix:2_matches"]),
+        "table_sum(one, none), table_sum(lost, none)": (None, "row_not_found", []),
+        "table_sum(none here, none), add(1, 2)": (None, "no_numeric_cells", []),
+        "add(1, 2), divide(#0, 2)": ("1.5", None, []),
+    }
+    df = spark.createDataFrame([(p, grid) for p in programs] + [("table_sum(one, none)", None)], "program string, grid array<array<string>>")
+    done = evaluate_programs(df, "program", "grid")
+    got = {r["program"]: (r["value_text"], r["program_err"], r["warnings"]) for r in done.filter("grid is not null").collect()}
+    assert got == programs
+    assert done.filter("grid is null").first()["program_err"] == "no_table"
+    plan = done.select("value_num")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_step_labels" in plan and "element_at(transform(array(" in plan  # bound once, with a kept type
