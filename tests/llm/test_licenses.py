@@ -132,3 +132,22 @@ def test_pattern_finds_what_n_grams_find():
         assert bool(re.search(licenses._pattern(phrases), " " + " ".join(found) + " ")) == some
         assert not some or re.search(licenses._pattern(phrases, licenses.GAP), text)
     assert re.search(licenses._pattern(["a b"], licenses.GAP), "x a\n// rem\nrem b") and not re.search(licenses._pattern([]), "")
+
+
+def test_training_reads_every_line(spark, monkeypatch):
+    """All lines with words, alone and joined with those behind them, are counted, half of them learned from and half held out."""
+    written = {}
+
+    def kept(df, name):
+        written[name] = materialize(df, name)
+        return written[name]
+
+    materialize = licenses.materialize
+    monkeypatch.setattr(licenses, "materialize", kept)
+    texts = ["the river of general\npublic\nhouse of stone\n\n// free", "free stone", None, ""] * 10
+    licenses.train(documents(spark, texts))
+    # of the first text four lines alone and two joined, of the second one
+    grams = [r["grams"] for r in written["licence-lines"].collect()]
+    assert len(grams) == 70 and sum("general public" in g for g in grams) == 10
+    assert {r["half"]: r["sum(n)"] for r in written["licence-examples"].groupBy("half").sum("n").collect()}.keys() == {0, 1}
+    assert written["licence-examples"].groupBy().sum("n").first()[0] == 70
